@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from lagloom.llm.bpe_transducer import op9_bpe_transducer
+from lagloom.llm.simhash_trie import op5_simhash_trie
 from lagloom.llm.substring_dedup import op3_substring_dedup
+from lagloom.llm.token_counts import op1_token_counts
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_simhash_trie": op5_simhash_trie,
+    "op9_bpe_transducer": op9_bpe_transducer,
 }
 
 SQL: dict[str, str] = {}
