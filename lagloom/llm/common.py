@@ -23,6 +23,12 @@ SLICE_BYTES = 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: All ASCII bytes but letters and digits: words free of punctuation.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: A-Z to a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
@@ -123,12 +129,15 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which:
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of every row: byte spans, rows, and hashes on demand."""
+    """The words of every row: byte spans, rows, and hashes on demand.
+
+    Words are runs of bytes that are not in ``gaps``: by default ``[^\\x20\\x09-\\x0D]+``.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE):
         self.data, self.offsets = data, offsets
         self.rows = len(offsets) - 1
-        solid = ~SPACE[data]
+        solid = ~gaps[data]
         first = solid.copy()
         first[1:] &= ~solid[:-1]
         last = solid.copy()

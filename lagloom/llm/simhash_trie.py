@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lagloom.llm.common import Words, documents, materialize, slices, text_bytes
+from lagloom.llm.common import LOWER, Words, documents, materialize, slices, text_bytes
 from lagloom.llm.components import stars
 
 BITS = 64
@@ -36,13 +36,11 @@ SEED = 42
 NODE, NODE_MAX = 1000, 200_000
 #: Fingerprints of partner nodes in one task.
 TASK = 1_000_000
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = 3) -> np.ndarray:
     """Unsigned 64-bit fingerprint of every row."""
-    words = Words(_LOWER[data], offsets)
+    words = Words(LOWER[data], offsets)
     size = words.ends - words.starts
     end = np.cumsum(size + 1) - 1  # of each word, when all are joined by one space
     start = end - size
