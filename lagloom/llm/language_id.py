@@ -172,23 +172,25 @@ def learn(docs: DataFrame) -> tuple:
     return tuple((k, tuple(v)) for k, v in sorted(found.items()))
 
 
-def _predict(shared):
+def _predict(shared, pred, score_name):
     def run(batches):
         model = _model(shared.value)
         for batch in batches:
             for x in slices(batch, limit=1 << 20):
                 langs, score = model.predict([t or "" for t in x.column("text").to_pylist()])
                 kept = {n: x.column(n) for n in x.schema.names}
-                yield pa.record_batch(kept | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(score, pa.float64())})
+                yield pa.record_batch(kept | {pred: pa.array(langs, pa.string()), score_name: pa.array(score, pa.float64())})
 
     return run
 
 
-def identify(docs: DataFrame, samples: tuple) -> DataFrame:
-    """The rows with lang_pred and score added, from the column text."""
+def identify(docs: DataFrame, samples: tuple, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The rows with two columns added: the language of the column text, and the score."""
+    if clash := {pred, score} & set(docs.columns):
+        raise ValueError(f"columns exist already: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(samples)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_predict(shared), f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(_predict(shared, pred, score), f"{fields}, `{pred}` string, `{score}` double")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

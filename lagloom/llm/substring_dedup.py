@@ -29,7 +29,7 @@ Only names and bits are shuffled, as packed blocks; every page sends a name
 once, so a passage that fills a third of the rows costs one name a page.
 
 Null and empty texts have no words; repeated doc_ids count in an order fixed by
-their text; extra columns are ignored.
+their text; extra columns are ignored, or carried along when texts are rewritten.
 """
 
 from __future__ import annotations
@@ -81,10 +81,10 @@ def _page_rows(batches):
         yield page()
 
 
-def _open(blob: bytes) -> tuple[pa.Array, Words, np.ndarray, np.ndarray]:
-    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
+def _open(blob: bytes) -> tuple[pa.Table, Words, np.ndarray, np.ndarray]:
+    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all().combine_chunks()
     words = Words(*text_bytes(table.column("text")))
-    return table.column("doc_id").combine_chunks(), words, words.hashes(0), words.hashes(1)
+    return table, words, words.hashes(0), words.hashes(1)
 
 
 def cuts(names: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -220,11 +220,11 @@ def _send_windows(shift, shift2):
     return run
 
 
-def _finish(shift, shift2, with_text):
+def _finish(shift, shift2, rewrite):
     def run(batches):
         for batch in batches:
             for blob, reply, reply2 in zip(*(batch.column(c) for c in ("blob", "reply", "reply2"))):
-                ids, words, h1, h2 = _open(blob.as_py())
+                table, words, h1, h2 = _open(blob.as_py())
                 starts, n1, _, index = _candidates(words, h1, h2, reply.as_py(), shift)
                 earlier = _bits(reply2.as_py(), n1, shift2)
                 first = np.ones(len(index), bool)
@@ -236,19 +236,19 @@ def _finish(shift, shift2, with_text):
                 delta[gone_at] += 1
                 delta[gone_at + WINDOW] -= 1
                 gone = np.cumsum(delta)[: len(words)] > 0
-                removed, shas, texts, data = [], [], [], words.data.tobytes()
+                removed, kept, data = [], [], words.data.tobytes()
                 for k in range(words.rows):
                     a, b = words.bounds[k], words.bounds[k + 1]
-                    kept, lost = data[words.offsets[k] : words.offsets[k + 1]].split(), int(gone[a:b].sum())
-                    if lost:
-                        kept = compress(kept, ~gone[a:b])
-                    kept = b" ".join(kept)
+                    left, lost = data[words.offsets[k] : words.offsets[k + 1]].split(), int(gone[a:b].sum())
+                    kept.append(b" ".join(compress(left, ~gone[a:b]) if lost else left))
                     removed.append(lost)
-                    shas.append(hashlib.sha256(kept).hexdigest())
-                    if with_text:
-                        texts.append(kept.decode())
-                out = {"doc_id": ids, "n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
-                yield pa.record_batch(out | ({"kept_text": pa.array(texts, pa.string())} if with_text else {}))
+                if rewrite:
+                    texts = [k.decode() if lost else t.as_py() for k, lost, t in zip(kept, removed, table.column("text"))]
+                    out = {n: table.column(n).combine_chunks() for n in table.column_names} | {"text": pa.array(texts, pa.string())}
+                else:
+                    shas = [hashlib.sha256(k).hexdigest() for k in kept]
+                    out = {"doc_id": table.column("doc_id").combine_chunks(), "n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
+                yield pa.record_batch(out)
 
     return run
 
@@ -258,28 +258,27 @@ def _replies(blocks: DataFrame, first_only: bool, name: str) -> DataFrame:
     return answers.groupBy("page").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text of every document."""
-    pages = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(_page_rows, "page long, n_words long, blob binary"),
-        "pages",
-    )
+def remove_repeats(docs: DataFrame, rewrite: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every document.
+
+    rewrite: instead all columns of docs; where words were removed, text is the
+    kept words joined by one space, else it is unchanged.
+    """
+    columns = docs.columns if rewrite else ["doc_id", "text"]
+    docs = docs.select(*[F.col(f"`{c}`").cast({"doc_id": "long", "text": "string"}[c]).alias(c) if c in ("doc_id", "text") else F.col(f"`{c}`") for c in columns])
+    pages = materialize(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_page_rows, "page long, n_words long, blob binary"), "pages")
     words = pages.agg(F.sum("n_words")).first()[0] or 0
     buckets = 64
     while buckets * BLOCK_NAMES < words * 0.45:
         buckets *= 2
     shift = 64 - (buckets.bit_length() - 1)
     block = "bucket long, page long, names binary, more binary"
-    kind = "array<struct<bucket:long,bits:binary>>"
     reply = materialize(_replies(pages.mapInArrow(_send_cuts(shift), block), False, "reply"), "cuts")
-    known = pages.select("page", "blob").join(reply, "page", "left").withColumn("reply", F.col("reply").cast(kind))
+    known = pages.select("page", "blob").join(reply, "page", "left")
     reply2 = materialize(_replies(known.mapInArrow(_send_windows(shift, shift), block), True, "reply2"), "windows")
-    done = known.join(reply2, "page", "left").withColumn("reply2", F.col("reply2").cast(kind))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return done.select("blob", "reply", "reply2").mapInArrow(_finish(shift, shift, with_text), schema)
+    done = known.join(reply2, "page", "left").select("blob", "reply", "reply2")
+    schema = docs.schema if rewrite else "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    return done.mapInArrow(_finish(shift, shift, rewrite), schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
