@@ -40,8 +40,8 @@ from lagloom.llm.token_counts import tokenizer_path
 #: The pre-tokens of a lower-cased, printable ASCII piece under the pattern of the files served here.
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Entries of a worker's table of pieces, and the longest piece (bytes) it holds.
-TABLE, PIECE = 400_000, 64
+#: Entries of a generation of a worker's tables of pre-tokens and of pieces, and the longest entry they hold.
+WORDS, TABLE, PIECE = 500_000, 100_000, 64
 
 
 @functools.lru_cache(maxsize=1)
@@ -74,7 +74,14 @@ class Transducer:
                 self.tokens[self._marked(body) if last else body] = (k, text)
         self.built = {a + b for a, b in merges}
         self.lookahead = max((len(t) for t, (_, s) in self.tokens.items() if s in self.built), default=1) - 1
-        self._pairs: dict[tuple[str, str], bool] = {}
+        #: Trie of the tokens read from their ends; a token's node holds it under 0 and, under 1, which tokens may come before it.
+        self.trie: dict = {}
+        for t in self.tokens:
+            node = self.trie
+            for c in reversed(t):
+                node = node.setdefault(c, {})
+            node[0], node[1] = t, {}
+        self._known = 0
 
     @staticmethod
     def _marked(body: str) -> str:
@@ -99,66 +106,75 @@ class Transducer:
             parts = out
         return parts
 
-    def _valid(self, a: str, b: str) -> bool:
-        """Whether tokens a (may be empty) and b stay as they are next to each other."""
-        found = self._pairs.get((a, b))
-        if found is None:
-            if len(self._pairs) > 2_000_000:
-                self._pairs.clear()
-            want = [self.tokens[x][1] for x in (a, b) if x]
-            found = self._pairs[(a, b)] = self._merge(a + b) == want
+    def _valid(self, a: str, node: dict) -> bool:
+        """Whether token a (may be empty) and the node's token stay as they are next to each other."""
+        b = node[0]
+        if self._known > 2_000_000:  # the table of pairs stays bounded
+            for t in self.tokens:
+                at = self.trie
+                for c in reversed(t):
+                    at = at[c]
+                at[1].clear()
+            self._known = 0
+        self._known += 1
+        found = node[1][a] = self._merge(a + b) == [self.tokens[x][1] for x in (a, b) if x]
         return found
 
+    def _advance(self, window: str, last: list, end: int) -> str | None:
+        """The last token of the prefix window[:end], from those of the shorter prefixes."""
+        node, start = self.trie, end
+        while start:
+            start -= 1
+            node = node.get(window[start])
+            if node is None:
+                return None
+            token = node.get(0)
+            if token is not None:
+                before = last[start]
+                if before is not None:
+                    ok = node[1].get(before)
+                    if self._valid(before, node) if ok is None else ok:
+                        return token
+        return None
+
     def stream(self, letters):
         """Token ids of one pre-token, from an iterator of its symbols, emitted once stable.
 
         Letters that no token has are left out, as the library does without an unknown token.
         """
-        tokens, pairs, most = self.tokens, self._pairs, self.lookahead + 1
-        window = ""  # symbols from position base on
-        base = 0
-        last: list[str] = [""]  # last[i]: last token of the prefix that ends at base + i; last[0] is settled
+        most = self.lookahead + 1
+        window, last = "", [""]  # last[i]: last token of the prefix of i symbols; what is before the window is settled
         for c in letters:
             window += c
-            n = len(window)
-            for start in range(max(0, n - most), n):
-                token = window[start:]
-                if token in tokens:
-                    before = last[start]
-                    if before is None or (before == "" and start + base and start):
-                        continue
-                    ok = pairs.get((before, token))
-                    if self._valid(before, token) if ok is None else ok:
-                        last.append(token)
-                        break
-            else:
-                last.append(None)
-            if n >= 2 * most:
-                yield from (out := self._settle(window, last, n, most))[0]
-                if out[1]:
-                    window, last, base = window[out[1] :], last[out[1] :], base + out[1]
-        chain, at = [], len(window)
+            last.append(self._advance(window, last, len(window)))
+            if len(window) >= 4 * most:
+                ids, cut = self._settle(window, last, len(window), most)
+                if cut:
+                    yield from ids
+                    window, last = window[cut:], last[cut:]
+        yield from self._chain(window, last)
+
+    def _chain(self, window: str, last: list) -> list[int]:
+        ids, at = [], len(window)
         while at:
             token = last[at]
             if token is None:
                 raise KeyError(window[at - 1])
-            chain.append(tokens[token][0])
+            ids.append(self.tokens[token][0])
             at -= len(token)
-        yield from reversed(chain)
+        return ids[::-1]
 
     def _settle(self, window: str, last: list, n: int, most: int) -> tuple[list[int], int]:
-        """Tokens up to the last boundary that the chains of all live prefixes share, and that boundary."""
+        """Tokens up to the last boundary that the chains of all live prefixes share, and that boundary.
+
+        """
         live = {i for i in range(n - most + 1, n + 1) if last[i] is not None}
         while len(live) > 1:
             i = max(live)
             live.discard(i)
             live.add(i - len(last[i]) if i else 0)
-        at = cut = live.pop() if live else 0
-        ids = []
-        while at:
-            ids.append(self.tokens[last[at]][0])
-            at -= len(last[at])
-        return ids[::-1], cut
+        cut = live.pop() if live else 0
+        return (self._chain(window[:cut], last[: cut + 1]), cut) if cut else ([], 0)
 
     def encode(self, word: str) -> list[int]:
         """Token ids of one pre-token."""
@@ -169,7 +185,32 @@ class Transducer:
             if end in tokens:
                 known.append(end)
             return list(self.stream(iter(known)))
-        return list(self.stream(iter(self._marked(word) if self.suffix else word)))
+        word = self._marked(word) if self.suffix else word
+        if len(word) > 4 * self.lookahead:
+            return list(self.stream(iter(word)))
+        last = [""]  # too short to settle anything before its end
+        for end in range(1, len(word) + 1):
+            last.append(self._advance(word, last, end))
+        return self._chain(word, last)
+
+
+class Table:
+    """Results of bounded number: two generations, of which the older one is dropped when the younger is full."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value):
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+        return value
 
 
 class Encoder:
@@ -184,18 +225,13 @@ class Encoder:
             spec = json.load(f)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.plain = _PATTERN in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\") and "Lowercase" in json.dumps(spec["normalizer"])
-        self.words: dict[str, list[int]] = {}
+        self.words = Table(WORDS)
 
     def word(self, word: str) -> list[int]:
         """Ids of one pre-token; those of short ones are kept."""
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.transducer.encode(word)
-            if len(word) <= PIECE:
-                if len(self.words) >= TABLE:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids
+        if len(word) > PIECE:
+            return self.transducer.encode(word)
+        return self.words.get(word) or self.words.put(word, self.transducer.encode(word))
 
     def piece(self, text: str) -> list[int]:
         """Ids of a text without white space, or of any short text."""
@@ -252,31 +288,30 @@ class Decoder:
 
 
 @functools.lru_cache(maxsize=2)
-def _tools(path: str) -> tuple[Encoder, Decoder, dict]:
-    return Encoder(path), Decoder(path), {}
+def _tools(path: str) -> tuple[Encoder, Decoder, Table]:
+    return Encoder(path), Decoder(path), Table(TABLE)
 
 
 def _round_trip(path):
     def run(batches):
         encoder, decoder, table = _tools(path)
+        ascii_ids = [b"%d" % k for k in range(max(decoder.letters) + 1)] if decoder.letters else []
 
         def made(piece: bytes) -> tuple[bytes, bytes]:
             ids = encoder.piece(piece.decode())
-            return " ".join(map(str, ids)).encode(), decoder.decode(ids).encode()
+            return b" ".join([ascii_ids[k] if k < len(ascii_ids) else b"%d" % k for k in ids]), decoder.decode(ids).encode()
 
         for batch in batches:
             for x in slices(batch):
                 n, sha, back = [], [], []
                 for text in binary(x.column("text")):
                     pieces = text.as_py().split()
-                    new = {p for p in pieces if p not in table}
-                    long = {}
-                    if len(table) + len(new) > TABLE:
-                        table.clear()
-                        new = set(pieces)
-                    for p in new:
-                        (table if len(p) <= PIECE else long)[p] = made(p)
-                    got = [table[p] for p in pieces] if not long else [long.get(p) or table[p] for p in pieces]
+                    got = list(map(table.young.get, pieces))
+                    if None in got:
+                        for k, g in enumerate(got):
+                            if g is None:
+                                p = pieces[k]
+                                got[k] = table.get(p) or (made(p) if len(p) > PIECE else table.put(p, made(p)))
                     got = [g for g in got if g[0]]
                     ids = b" ".join([g[0] for g in got])
                     n.append(ids.count(b" ") + 1 if ids else 0)
