@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from lagloom.llm.common import binary, documents, slices
 from lagloom.llm.token_counts import tokenizer_path
 
-#: The pre-tokens of a lower-cased, printable ASCII piece under the pattern of the files served here.
-_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: The pre-tokens of a lower-cased, printable Latin-1 piece under the pattern of the files served here.
+_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Entries of a generation of a worker's tables of pre-tokens and of pieces, and the longest entry they hold.
-WORDS, TABLE, PIECE = 500_000, 100_000, 64
+WORDS, TABLE, PIECE = 500_000, 200_000, 64
 
 
 @functools.lru_cache(maxsize=1)
@@ -120,22 +120,24 @@ class Transducer:
         found = node[1][a] = self._merge(a + b) == [self.tokens[x][1] for x in (a, b) if x]
         return found
 
-    def _advance(self, window: str, last: list, end: int) -> str | None:
-        """The last token of the prefix window[:end], from those of the shorter prefixes."""
-        node, start = self.trie, end
-        while start:
-            start -= 1
-            node = node.get(window[start])
-            if node is None:
-                return None
-            token = node.get(0)
-            if token is not None:
-                before = last[start]
-                if before is not None:
-                    ok = node[1].get(before)
-                    if self._valid(before, node) if ok is None else ok:
-                        return token
-        return None
+    def _advance(self, window: str, last: list, ends) -> None:
+        """Appends the last token of each prefix window[:end], found from those of the shorter prefixes."""
+        trie, valid = self.trie, self._valid
+        for end in ends:
+            node, start, out = trie, end, None
+            while start:
+                start -= 1
+                node = node.get(window[start])
+                if node is None:
+                    break
+                if 0 in node:
+                    before = last[start]
+                    if before is not None:
+                        ok = node[1].get(before)
+                        if valid(before, node) if ok is None else ok:
+                            out = node[0]
+                            break
+            last.append(out)
 
     def stream(self, letters):
         """Token ids of one pre-token, from an iterator of its symbols, emitted once stable.
@@ -146,7 +148,7 @@ class Transducer:
         window, last = "", [""]  # last[i]: last token of the prefix of i symbols; what is before the window is settled
         for c in letters:
             window += c
-            last.append(self._advance(window, last, len(window)))
+            self._advance(window, last, (len(window),))
             if len(window) >= 4 * most:
                 ids, cut = self._settle(window, last, len(window), most)
                 if cut:
@@ -189,8 +191,7 @@ class Transducer:
         if len(word) > 4 * self.lookahead:
             return list(self.stream(iter(word)))
         last = [""]  # too short to settle anything before its end
-        for end in range(1, len(word) + 1):
-            last.append(self._advance(word, last, end))
+        self._advance(word, last, range(1, len(word) + 1))
         return self._chain(word, last)
 
 
@@ -225,31 +226,42 @@ class Encoder:
             spec = json.load(f)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.plain = _PATTERN in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\") and "Lowercase" in json.dumps(spec["normalizer"])
-        self.words = Table(WORDS)
+        self.any_special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
+        self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
 
-    def word(self, word: str) -> list[int]:
-        """Ids of one pre-token; those of short ones are kept."""
-        if len(word) > PIECE:
-            return self.transducer.encode(word)
-        return self.words.get(word) or self.words.put(word, self.transducer.encode(word))
+    def pretokens(self, text: str) -> list[str | int]:
+        """Pre-tokens (in byte letters) of a text, and the ids of special tokens in it.
+
+        A printable Latin-1 piece without white space is the same in every
+        Unicode version, needs no normal form, and is cut here; all else goes
+        through the library.
+        """
+        out: list[str | int] = []
+        at = 0
+        for found in self.any_special.finditer(text):
+            out += self._cut(text[at : found.start()])
+            out.append(self.special[found[0]])
+            at = found.end()
+        return out + self._cut(text[at:]) if at else self._cut(text)
+
+    def _cut(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if self.plain and text.isprintable() and " " not in text:
+            if text.isascii():
+                return _PLAIN.findall(text.lower())
+            if max(text) <= "\xff":
+                return [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in _PLAIN.findall(text.lower())]
+        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
     def piece(self, text: str) -> list[int]:
         """Ids of a text without white space, or of any short text."""
         out: list[int] = []
-        if self.plain and text.isascii() and text.isprintable() and " " not in text and not any(s in text for s in self.special):
-            for word in _PLAIN.findall(text.lower()):
-                out += self.word(word)
-            return out
-        while text:
-            found = min(((k, -len(s), s) for s in self.special if (k := text.find(s)) >= 0), default=None)
-            plain = text[: found[0]] if found else text
-            if plain:
-                for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(plain)):
-                    out += self.word(word)
-            if not found:
-                break
-            out.append(self.special[found[2]])
-            text = text[found[0] + len(found[2]) :]
+        for w in self.pretokens(text):
+            if isinstance(w, int):
+                out.append(w)
+            else:
+                out += self.transducer.encode(w)
         return out
 
 
@@ -288,18 +300,24 @@ class Decoder:
 
 
 @functools.lru_cache(maxsize=2)
-def _tools(path: str) -> tuple[Encoder, Decoder, Table]:
-    return Encoder(path), Decoder(path), Table(TABLE)
+def _tools(path: str) -> tuple[Encoder, Decoder, Table, Table]:
+    return Encoder(path), Decoder(path), Table(TABLE), Table(WORDS)
 
 
 def _round_trip(path):
     def run(batches):
-        encoder, decoder, table = _tools(path)
-        ascii_ids = [b"%d" % k for k in range(max(decoder.letters) + 1)] if decoder.letters else []
+        encoder, decoder, table, words = _tools(path)
+
+        def word(w: str | int) -> tuple[bytes, bytes]:
+            ids = [w] if isinstance(w, int) else encoder.transducer.encode(w)
+            out = " ".join(map(str, ids)).encode(), decoder.decode(ids).encode()
+            return out if isinstance(w, str) and len(w) > PIECE else words.put(w, out)
 
         def made(piece: bytes) -> tuple[bytes, bytes]:
-            ids = encoder.piece(piece.decode())
-            return b" ".join([ascii_ids[k] if k < len(ascii_ids) else b"%d" % k for k in ids]), decoder.decode(ids).encode()
+            got = [words.get(w) or word(w) for w in encoder.pretokens(piece.decode())]
+            if len(got) == 1:
+                return got[0]
+            return b" ".join([g[0] for g in got]), b" ".join([g[1] for g in got])
 
         for batch in batches:
             for x in slices(batch):
