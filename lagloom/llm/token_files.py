@@ -61,12 +61,25 @@ def id_width(path: str) -> int:
     return 2 if _library(path)[0].get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
+def _encode_pieces(library, pieces: list[bytes]) -> list[np.ndarray]:
+    """Ids of each piece: one call for all, on lines, taken apart by the tokens' offsets."""
+    texts = [p.decode() for p in pieces]
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    found = library.encode("\n".join(texts), add_special_tokens=False)
+    ids = np.array(found.ids, np.int64)
+    line = np.searchsorted(starts, np.array([a for a, _ in found.offsets], np.int64), "right") - 1
+    if (np.diff(line) < 0).any():
+        raise ValueError("the tokenizer's offsets do not ascend")
+    cut = np.searchsorted(line, np.arange(len(texts) + 1))
+    return [ids[a:b] for a, b in zip(cut, cut[1:])]
+
+
 def encode_texts(path: str, texts: list[bytes], width: int) -> list[bytes]:
     """Little-endian ids of each text.
 
     For tokenizers whose pre-tokenizer drops white space: pieces between ASCII
-    white space are encoded on their own, each piece that is not in the
-    worker's table once a call.
+    white space stand for themselves; those that are not in the worker's table
+    are encoded together, each once a call.
     """
     library, table = _library(path)
     pieces = [t.split() for t in texts]
@@ -78,8 +91,8 @@ def encode_texts(path: str, texts: list[bytes], width: int) -> list[bytes]:
     order = list(new)
     for k in range(0, len(order), 20_000):
         part = order[k : k + 20_000]
-        for p, e in zip(part, library.encode_batch([p.decode() for p in part], add_special_tokens=False)):
-            (table if len(p) <= PIECE else long)[p] = np.array(e.ids, f"<u{width}").tobytes()
+        for p, ids in zip(part, _encode_pieces(library, part)):
+            (table if len(p) <= PIECE else long)[p] = ids.astype(f"<u{width}").tobytes()
     if long:
         return [b"".join([long[p] if p in long else table[p] for p in row]) for row in pieces]
     return [b"".join([table[p] for p in row]) for row in pieces]
@@ -117,7 +130,7 @@ def _compress(path, end_id, width, shared):
     encode = _encode(path, end_id, width)
 
     def run(batches):
-        packer = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(shared.value))
+        packer = zstandard.ZstdCompressor(level=1, dict_data=_dictionary(shared.value))
         for x in encode(batches):
             yield pa.record_batch({"doc_id": x.column("doc_id"), "n_tokens": x.column("n_tokens"), "frame": pa.array([packer.compress(b.as_py()) for b in x.column("ids")], pa.binary())})
 
