@@ -20,7 +20,7 @@ def events_hour(spark: SparkSession, d: str) -> DataFrame:
 
 def lineitem_day(spark: SparkSession, d: str) -> DataFrame:
     df = spark.read.parquet(f"{d}/lineitem.parquet").select("l_shipdate", "l_quantity", "l_extendedprice", "l_returnflag")
-    return regular_grid(df, "l_shipdate", "day", {"x": _cents("l_extendedprice"), "m": F.sum(F.col("l_quantity").cast("long")).cast("double"), "cat": mode_of("l_returnflag")})
+    return regular_grid(df, "l_shipdate", "day", {"x": _cents("l_extendedprice"), "m": F.sum(F.col("l_quantity").cast("long")).cast("double") / F.lit(1000.0), "cat": mode_of("l_returnflag")})
 
 
 def orders_day(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,7 @@ def _cents_sql(column: str) -> str:
 
 
 EVENTS_HOUR = _sql("events", "ts", "hour", {"x": _cents_sql("value"), "n": "count(*)::DOUBLE"}, "event_type")
-LINEITEM_DAY = _sql("lineitem", "l_shipdate", "day", {"x": _cents_sql("l_extendedprice"), "m": "sum(CAST(l_quantity AS BIGINT))::DOUBLE"}, "l_returnflag")
+LINEITEM_DAY = _sql("lineitem", "l_shipdate", "day", {"x": _cents_sql("l_extendedprice"), "m": "sum(CAST(l_quantity AS BIGINT))::DOUBLE / 1000.0::DOUBLE"}, "l_returnflag")
 ORDERS_DAY = _sql("orders", "o_orderdate", "day", {"x": _cents_sql("o_totalprice"), "n": "count(*)::DOUBLE"})
 
 SIGNALS = {"events_hour": (events_hour, EVENTS_HOUR), "lineitem_day": (lineitem_day, LINEITEM_DAY), "orders_day": (orders_day, ORDERS_DAY)}
