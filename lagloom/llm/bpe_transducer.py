@@ -28,32 +28,17 @@ import codecs
 import functools
 import hashlib
 import json
-import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagloom.llm.common import binary, documents, slices
+from lagloom.llm.pretokens import PIECE, Pretokenizer, Table, byte_letters
 from lagloom.llm.token_counts import tokenizer_path
 
-#: The pre-tokens of a lower-cased, printable Latin-1 piece under the pattern of the files served here.
-_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
-_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Entries of a generation of a worker's tables of pre-tokens and of pieces, and the longest entry they hold.
-WORDS, TABLE, PIECE = 500_000, 200_000, 64
-
-
-@functools.lru_cache(maxsize=1)
-def byte_letters() -> dict[int, str]:
-    """The printable letter that stands for each byte in byte-level vocabularies: bytes that print stand for themselves, others follow from 256."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    out, n = {b: chr(b) for b in plain}, 0
-    for b in range(256):
-        if b not in out:
-            out[b] = chr(256 + n)
-            n += 1
-    return out
+#: Entries of a generation of a worker's tables of pre-tokens and of pieces.
+WORDS, TABLE = 500_000, 200_000
 
 
 class Transducer:
@@ -195,64 +180,12 @@ class Transducer:
         return self._chain(word, last)
 
 
-class Table:
-    """Results of bounded number: two generations, of which the older one is dropped when the younger is full."""
-
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
-
-    def get(self, key):
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key, value):
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-        return value
-
-
-class Encoder:
+class Encoder(Pretokenizer):
     """Whole texts to ids: special tokens, normaliser and pre-tokenizer of the library, merges by the transducer."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        super().__init__(path)
         self.transducer = Transducer(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.plain = _PATTERN in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\") and "Lowercase" in json.dumps(spec["normalizer"])
-        self.any_special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
-        self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
-
-    def pretokens(self, text: str) -> list[str | int]:
-        """Pre-tokens (in byte letters) of a text, and the ids of special tokens in it.
-
-        A printable Latin-1 piece without white space is the same in every
-        Unicode version, needs no normal form, and is cut here; all else goes
-        through the library.
-        """
-        out: list[str | int] = []
-        at = 0
-        for found in self.any_special.finditer(text):
-            out += self._cut(text[at : found.start()])
-            out.append(self.special[found[0]])
-            at = found.end()
-        return out + self._cut(text[at:]) if at else self._cut(text)
-
-    def _cut(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if self.plain and text.isprintable() and " " not in text:
-            if text.isascii():
-                return _PLAIN.findall(text.lower())
-            if max(text) <= "\xff":
-                return [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in _PLAIN.findall(text.lower())]
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
     def piece(self, text: str) -> list[int]:
         """Ids of a text without white space, or of any short text."""

@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import os
 import struct
 import zlib
 
@@ -37,65 +36,56 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagloom.llm.common import binary, documents, driver_rows, materialize, new_path, slices
+from lagloom.llm.pretokens import PIECE, Pretokenizer, Table
 from lagloom.llm.token_counts import tokenizer_path
 
 MAGIC, VERSION, END_ID = b"TKZD", 1, 1
 SAMPLE, SAMPLE_BYTES, DICT_BYTES = 600, 1 << 14, 1 << 16
 BLOCK_BYTES = 4 << 20
-TABLE, PIECE = 400_000, 64
+TABLE, WORDS = 200_000, 500_000
 NULL_ID = -(2**63)
 
 
 @functools.lru_cache(maxsize=2)
-def _library(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path)
-    found.no_truncation()
-    found.no_padding()
-    return found, {}
+def _library(path: str) -> tuple[Pretokenizer, Table, Table]:
+    return Pretokenizer(path), Table(TABLE), Table(WORDS)
 
 
 def id_width(path: str) -> int:
-    return 2 if _library(path)[0].get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-
-
-def _encode_pieces(library, pieces: list[bytes]) -> list[np.ndarray]:
-    """Ids of each piece: one call for all, on lines, taken apart by the tokens' offsets."""
-    texts = [p.decode() for p in pieces]
-    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    found = library.encode("\n".join(texts), add_special_tokens=False)
-    ids = np.array(found.ids, np.int64)
-    line = np.searchsorted(starts, np.array([a for a, _ in found.offsets], np.int64), "right") - 1
-    if (np.diff(line) < 0).any():
-        raise ValueError("the tokenizer's offsets do not ascend")
-    cut = np.searchsorted(line, np.arange(len(texts) + 1))
-    return [ids[a:b] for a, b in zip(cut, cut[1:])]
+    return 2 if _library(path)[0].library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
 def encode_texts(path: str, texts: list[bytes], width: int) -> list[bytes]:
-    """Little-endian ids of each text.
+    """Little-endian ids of each text, by the library's model.
 
     For tokenizers whose pre-tokenizer drops white space: pieces between ASCII
-    white space stand for themselves; those that are not in the worker's table
-    are encoded together, each once a call.
+    white space stand for themselves, and pieces and pre-tokens that came
+    before are looked up.
     """
-    library, table = _library(path)
-    pieces = [t.split() for t in texts]
-    new = {p for row in pieces for p in row if p not in table}
-    if len(table) + len(new) > TABLE:
-        table.clear()
-        new = {p for row in pieces for p in row}
-    long = {}
-    order = list(new)
-    for k in range(0, len(order), 20_000):
-        part = order[k : k + 20_000]
-        for p, ids in zip(part, _encode_pieces(library, part)):
-            (table if len(p) <= PIECE else long)[p] = ids.astype(f"<u{width}").tobytes()
-    if long:
-        return [b"".join([long[p] if p in long else table[p] for p in row]) for row in pieces]
-    return [b"".join([table[p] for p in row]) for row in pieces]
+    cutter, table, words = _library(path)
+    tokenize = cutter.library.model.tokenize
+
+    def word(w: str | int) -> bytes:
+        if isinstance(w, int):
+            return w.to_bytes(width, "little")
+        ids = b"".join([t.id.to_bytes(width, "little") for t in tokenize(w)])
+        return words.put(w, ids) if len(w) <= PIECE else ids
+
+    def piece(p: bytes) -> bytes:
+        ids = b"".join([words.get(w) or word(w) for w in cutter.pretokens(p.decode())])
+        return table.put(p, ids) if len(p) <= PIECE else ids
+
+    out = []
+    for text in texts:
+        pieces = text.split()
+        got = list(map(table.young.get, pieces))
+        if None in got:
+            for k, g in enumerate(got):
+                if g is None:
+                    found = table.get(pieces[k])
+                    got[k] = piece(pieces[k]) if found is None else found
+        out.append(b"".join(got))
+    return out
 
 
 def _encode(path, end_id, width, keep=None):
