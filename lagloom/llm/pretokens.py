@@ -60,6 +60,7 @@ class Pretokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.plain = _PATTERN in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\") and "Lowercase" in json.dumps(spec["normalizer"])
         self.any_special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
+        self.marks = {t[0] for t in self.special}
         self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
 
     def pretokens(self, text: str) -> list[str | int]:
@@ -69,13 +70,18 @@ class Pretokenizer:
         Unicode version, needs no normal form, and is cut here; all else goes
         through the library.
         """
+        for mark in self.marks:
+            if mark in text:
+                break
+        else:
+            return self._cut(text)
         out: list[str | int] = []
         at = 0
         for found in self.any_special.finditer(text):
             out += self._cut(text[at : found.start()])
             out.append(self.special[found[0]])
             at = found.end()
-        return out + self._cut(text[at:]) if at else self._cut(text)
+        return out + self._cut(text[at:])
 
     def _cut(self, text: str) -> list[str]:
         if not text:

@@ -47,8 +47,9 @@ NULL_ID = -(2**63)
 
 
 @functools.lru_cache(maxsize=2)
-def _library(path: str) -> tuple[Pretokenizer, Table, Table]:
-    return Pretokenizer(path), Table(TABLE), Table(WORDS)
+def _library(path: str) -> tuple[Pretokenizer, Table, Table, dict[int, list[bytes]]]:
+    """The pre-tokenizer, the tables of pieces and pre-tokens, and the bytes of every id by its width."""
+    return Pretokenizer(path), Table(TABLE), Table(WORDS), {}
 
 
 def id_width(path: str) -> int:
@@ -62,13 +63,16 @@ def encode_texts(path: str, texts: list[bytes], width: int) -> list[bytes]:
     white space stand for themselves, and pieces and pre-tokens that came
     before are looked up.
     """
-    cutter, table, words = _library(path)
+    cutter, table, words, written = _library(path)
     tokenize = cutter.library.model.tokenize
+    if width not in written:
+        written[width] = [k.to_bytes(width, "little") for k in range(cutter.library.get_vocab_size(with_added_tokens=True))]
+    written = written[width]
 
     def word(w: str | int) -> bytes:
         if isinstance(w, int):
             return w.to_bytes(width, "little")
-        ids = b"".join([t.id.to_bytes(width, "little") for t in tokenize(w)])
+        ids = b"".join([written[t.id] for t in tokenize(w)])
         return words.put(w, ids) if len(w) <= PIECE else ids
 
     def piece(p: bytes) -> bytes:
