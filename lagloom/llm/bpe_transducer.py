@@ -25,7 +25,6 @@ Null and empty texts give no tokens and decode to the empty text.
 from __future__ import annotations
 
 import codecs
-import functools
 import hashlib
 import json
 
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import binary, documents, slices
+from lagloom.llm.common import binary, documents, slices, take_worker, worker_cache
 from lagloom.llm.pretokens import PIECE, Pretokenizer, Table, byte_letters
 from lagloom.llm.token_counts import tokenizer_path
 
@@ -232,13 +231,14 @@ class Decoder:
         return "".join(map(self.feed, ids)) + self.end()
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache(1)
 def _tools(path: str) -> tuple[Encoder, Decoder, Table, Table]:
     return Encoder(path), Decoder(path), Table(TABLE), Table(WORDS)
 
 
 def _round_trip(path):
     def run(batches):
+        take_worker("bpe_transducer")
         encoder, decoder, table, words = _tools(path)
 
         def word(w: str | int) -> tuple[bytes, bytes]:

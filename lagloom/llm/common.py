@@ -8,6 +8,9 @@ slice at once with NumPy.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,6 +37,36 @@ _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
 
+_caches: list = []
+_owner = ""
+
+
+def worker_cache(maxsize: int = 2):
+    """lru_cache for what an operator keeps in a Python worker between tasks."""
+
+    def wrap(f):
+        _caches.append(cached := functools.lru_cache(maxsize)(f))
+        return cached
+
+    return wrap
+
+
+def take_worker(operator: str) -> None:
+    """Called first in a task: a reused worker keeps the tables of one operator at a time."""
+    global _owner
+    if _owner != operator:
+        for c in _caches:
+            c.cache_clear()
+        for p in _POWERS:
+            p.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        _owner = operator
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a local default only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -105,6 +138,9 @@ class _Powers:
 
     def __init__(self, base: np.uint64):
         self.base, self.back = base, np.uint64(pow(int(base), -1, 2**64))
+        self.clear()
+
+    def clear(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,14 +22,12 @@ own.)  Null and empty texts overlap with nothing; repeated items are each report
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import LOWER, PUNCTUATION, Words, documents, mix, slices, text_bytes
+from lagloom.llm.common import LOWER, PUNCTUATION, Words, documents, mix, slices, take_worker, text_bytes, worker_cache
 
 MASKS = ((0, 1, 2, 4, 5, 8), (0, 3, 5, 6, 7, 8))
 SPAN = 9
@@ -134,13 +132,14 @@ class Index:
         return np.stack([row[some], item[some], hits[some], place[first] - base, place[last] + 1 - base], 1)
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache()
 def _index(ids: tuple, texts: tuple) -> Index:
     return Index(list(ids), list(texts))
 
 
 def _search(shared):
     def run(batches):
+        take_worker("decontaminate")
         index = _index(*shared.value)
         for batch in batches:
             for x in slices(batch, limit=1 << 20):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import documents, driver_rows, held_out, slices
+from lagloom.llm.common import documents, driver_rows, held_out, slices, take_worker, worker_cache
 
 SAMPLES, TRAIN, SECTION = 64, 16_384, 512
 MAX_LANGS, MAX_LETTERS = 200, 250
@@ -151,7 +151,7 @@ class Model:
         return [self.langs[k] if h else UND for k, h in zip(best.tolist(), has)], np.where(has, score, 0.0)
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache()
 def _model(samples: tuple) -> Model:
     return Model([(k, list(v)) for k, v in samples])
 
@@ -174,6 +174,7 @@ def learn(docs: DataFrame) -> tuple:
 
 def _predict(shared, pred, score_name):
     def run(batches):
+        take_worker("language_id")
         model = _model(shared.value)
         for batch in batches:
             for x in slices(batch, limit=1 << 20):

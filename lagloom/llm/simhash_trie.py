@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lagloom.llm.common import LOWER, Words, documents, materialize, slices, text_bytes
+from lagloom.llm.common import LOWER, Words, documents, materialize, slices, take_worker, text_bytes
 from lagloom.llm.components import stars
 
 BITS = 64
@@ -71,6 +71,7 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = 3) ->
 
 def _fingerprint_batches(shingle):
     def run(batches):
+        take_worker("simhash")
         for batch in batches:
             for x in slices(batch, limit=1 << 20):
                 fp = fingerprints_of(*text_bytes(x.column("text")), shingle)

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import Words, documents, materialize, mix, slices, span_hashes, text_bytes
+from lagloom.llm.common import Words, documents, materialize, mix, slices, span_hashes, take_worker, text_bytes
 
 WINDOW = 20
 ROUNDS = 3
@@ -56,6 +56,7 @@ BLOCK_NAMES = 1_000_000
 
 
 def _page_rows(batches):
+    take_worker("substring")
     part, n, waiting, size = TaskContext.get().partitionId(), 0, [], 0
     packer = zstandard.ZstdCompressor(level=1)
 
@@ -145,6 +146,7 @@ def _unique_cuts(words, h):
 
 def _send_cuts(shift):
     def run(batches):
+        take_worker("substring")
         for batch in batches:
             for page, blob in zip(batch.column("page").to_pylist(), batch.column("blob")):
                 _, words, h, _ = _open(blob.as_py())
@@ -211,6 +213,7 @@ def _candidates(words: Words, h1: np.ndarray, h2: np.ndarray, reply, shift: int)
 
 def _send_windows(shift, shift2):
     def run(batches):
+        take_worker("substring")
         for batch in batches:
             for page, blob, reply in zip(*(batch.column(c) for c in ("page", "blob", "reply"))):
                 _, words, h1, h2 = _open(blob.as_py())
@@ -222,6 +225,7 @@ def _send_windows(shift, shift2):
 
 def _finish(shift, shift2, rewrite):
     def run(batches):
+        take_worker("substring")
         for batch in batches:
             for blob, reply, reply2 in zip(*(batch.column(c) for c in ("blob", "reply", "reply2"))):
                 table, words, h1, h2 = _open(blob.as_py())

@@ -17,13 +17,11 @@ text has no stable boundary for longer.
 
 from __future__ import annotations
 
-import functools
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import documents, slices
+from lagloom.llm.common import documents, slices, take_worker, worker_cache
 
 CHUNK, OVERLAP, LIMIT = 1 << 15, 512, 4096
 
@@ -34,7 +32,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache()
 def _pieces(path: str):
     import sentencepiece
 
@@ -116,6 +114,7 @@ def _again(sp, text: bytes, start: int, stop: int, left: list) -> list[tuple[int
 
 def _count_batches(path, chunk, overlap, limit):
     def run(batches):
+        take_worker("token_counts")
         sp = _pieces(path)
         for batch in batches:
             for x in slices(batch):

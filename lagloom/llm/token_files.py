@@ -23,7 +23,6 @@ their contents.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import struct
 import zlib
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import binary, documents, driver_rows, materialize, new_path, slices
+from lagloom.llm.common import binary, documents, driver_rows, materialize, new_path, slices, take_worker, worker_cache
 from lagloom.llm.pretokens import PIECE, Pretokenizer, Table
 from lagloom.llm.token_counts import tokenizer_path
 
@@ -46,7 +45,7 @@ TABLE, WORDS = 200_000, 500_000
 NULL_ID = -(2**63)
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache(1)
 def _library(path: str) -> tuple[Pretokenizer, Table, Table, dict[int, list[bytes]]]:
     """The pre-tokenizer, the tables of pieces and pre-tokens, and the bytes of every id by its width."""
     return Pretokenizer(path), Table(TABLE), Table(WORDS), {}
@@ -96,6 +95,7 @@ def _encode(path, end_id, width, keep=None):
     end = int(end_id).to_bytes(width, "little")
 
     def run(batches):
+        take_worker("token_files")
         for batch in batches:
             for x in slices(batch):
                 ids = [b + end for b in encode_texts(path, [t.as_py() for t in binary(x.column("text"))], width)]

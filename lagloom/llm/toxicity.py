@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import LOWER, PUNCTUATION, Words, documents, driver_rows, held_out, mix, slices, text_bytes
+from lagloom.llm.common import LOWER, PUNCTUATION, Words, documents, driver_rows, held_out, mix, slices, take_worker, text_bytes
 
 BUCKETS = 1 << 20
 TRAIN = 8_000
@@ -67,6 +67,7 @@ def train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _feature_rows(batches):
+    take_worker("toxicity")
     for batch in batches:
         for x in slices(batch, limit=1 << 20):
             row, bucket = features(*text_bytes(x.column("text")))
@@ -92,6 +93,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _score(shared):
     def run(batches):
+        take_worker("toxicity")
         at, w = shared.value
         table = np.zeros(BUCKETS, np.float32)
         inner = at < BUCKETS
