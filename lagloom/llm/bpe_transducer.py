@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import binary, documents, slices, take_worker, worker_cache
+from lagloom.llm.common import binary, documents, slices, take_worker, without_gc, worker_cache
 from lagloom.llm.pretokens import PIECE, Pretokenizer, Table, byte_letters
 from lagloom.llm.token_counts import tokenizer_path
 
 #: Entries of a generation of a worker's tables of pre-tokens and of pieces.
-WORDS, TABLE = 500_000, 200_000
+WORDS, TABLE = 400_000, 150_000
 
 
 class Transducer:
@@ -237,6 +237,7 @@ def _tools(path: str) -> tuple[Encoder, Decoder, Table, Table]:
 
 
 def _round_trip(path):
+    @without_gc
     def run(batches):
         take_worker("bpe_transducer")
         encoder, decoder, table, words = _tools(path)
@@ -247,7 +248,7 @@ def _round_trip(path):
             return out if isinstance(w, str) and len(w) > PIECE else words.put(w, out)
 
         def made(piece: bytes) -> tuple[bytes, bytes]:
-            got = [words.get(w) or word(w) for w in encoder.pretokens(piece.decode())]
+            got = [words.get(w) or word(w) for w in encoder.of_piece(piece)]
             if len(got) == 1:
                 return got[0]
             return b" ".join([g[0] for g in got]), b" ".join([g[1] for g in got])

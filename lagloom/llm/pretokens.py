@@ -10,6 +10,7 @@ import re
 #: The pre-tokens of a lower-cased, printable Latin-1 piece under the pattern of the files served here.
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARKS = {b".", b",", b";", b":", b"!", b"?"}
 #: Longest entry (bytes or letters) of the tables.
 PIECE = 64
 
@@ -63,6 +64,16 @@ class Pretokenizer:
         self.marks = {t[0] for t in self.special}
         self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
 
+    def of_piece(self, piece: bytes) -> list[str | int]:
+        """Pre-tokens of a piece without ASCII white space; most are letters, with at most one mark at the end."""
+        if self.plain:
+            low = piece.lower()
+            if low.isalpha():
+                return [low.decode()]
+            if low[-1:] in _MARKS and low[:-1].isalpha():
+                return [low[:-1].decode(), chr(low[-1])]
+        return self.pretokens(piece.decode())
+
     def pretokens(self, text: str) -> list[str | int]:
         """Pre-tokens (in byte letters) of a text, and the ids of special tokens in it.
 

@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import binary, documents, driver_rows, materialize, new_path, slices, take_worker, worker_cache
+from lagloom.llm.common import binary, documents, driver_rows, materialize, new_path, slices, take_worker, without_gc, worker_cache
 from lagloom.llm.pretokens import PIECE, Pretokenizer, Table
 from lagloom.llm.token_counts import tokenizer_path
 
 MAGIC, VERSION, END_ID = b"TKZD", 1, 1
 SAMPLE, SAMPLE_BYTES, DICT_BYTES = 600, 1 << 14, 1 << 16
 BLOCK_BYTES = 4 << 20
-TABLE, WORDS = 200_000, 500_000
+TABLE, WORDS = 100_000, 250_000
 NULL_ID = -(2**63)
 
 
@@ -75,7 +75,8 @@ def encode_texts(path: str, texts: list[bytes], width: int) -> list[bytes]:
         return words.put(w, ids) if len(w) <= PIECE else ids
 
     def piece(p: bytes) -> bytes:
-        ids = b"".join([words.get(w) or word(w) for w in cutter.pretokens(p.decode())])
+        young = words.young.get
+        ids = b"".join([young(w) or words.get(w) or word(w) for w in cutter.of_piece(p)])
         return table.put(p, ids) if len(p) <= PIECE else ids
 
     out = []
@@ -94,6 +95,7 @@ def encode_texts(path: str, texts: list[bytes], width: int) -> list[bytes]:
 def _encode(path, end_id, width, keep=None):
     end = int(end_id).to_bytes(width, "little")
 
+    @without_gc
     def run(batches):
         take_worker("token_files")
         for batch in batches:
@@ -138,6 +140,7 @@ def _block(ids, counts, frames, width, digest) -> bytes:
 
 def _pack(width, digest):
     def run(batches):
+        take_worker("token_files, packing")
         ids, counts, frames, size = [], [], [], 0
 
         def block():
@@ -191,6 +194,7 @@ def blocks_of(content: bytes):
 
 def _read(shared, with_ids):
     def run(batches):
+        take_worker("token_files, reading")
         content = shared.value
         opener, digest = zstandard.ZstdDecompressor(dict_data=_dictionary(content)), hashlib.sha256(content).digest()
         for batch in batches:
