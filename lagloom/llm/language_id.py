@@ -99,17 +99,19 @@ class Model:
         for n, c in enumerate(x for x in seen.tolist() if x != 32):
             self.classes[c] = 2 + n
         self.width = 2 + len(seen)
-        tables, self.roots, base = [], [], 0
+        tables, self.roots, self.dead, base = [], [], [], 0
         for t in texts:
             known = [c for c in self.classes[t].tolist() if c != _OTHER]
             moves = automaton(known)
-            table = np.full((len(moves), self.width), -1, np.int32)
+            # the last state is where a letter leads that the sample has not: a phrase of its own
+            table = np.full((len(moves) + 1, self.width), -1, np.int32)
             for s, row in enumerate(moves):
                 for c, to in row.items():
                     table[s, c] = base + to
             tables.append(table)
             self.roots.append(base)
-            base += len(moves)
+            base += len(moves) + 1
+            self.dead.append(base - 1)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.bits = np.array([np.log2(max(2, len(t))) for t in texts])
 
@@ -122,20 +124,18 @@ class Model:
         size = np.minimum(SECTION, offsets[1:][row] - start)
         order = np.argsort(-size, kind="stable")
         row, start, size = row[order], start[order], size[order]
-        roots = np.array(self.roots, np.int32)[:, None]
-        state = np.repeat(roots, len(row), axis=1)
-        count = np.zeros((len(self.langs), len(row)), np.int32)
-        first = self.table.reshape(-1, self.width)[roots[:, 0]] if len(roots) else None
-        first = np.where(first < 0, roots, first)
+        first = self.table.reshape(-1, self.width)[self.roots]
+        first = np.where(first < 0, np.array(self.dead, np.int32)[:, None], first)
+        state = first[:, classes[start]]
+        count = np.ones((len(self.langs), len(row)), np.int32)
         live = np.searchsorted(-size, -np.arange(SECTION), side="left")  # sections longer than t
-        for t in range(int(size[0]) if len(size) else 0):
+        for t in range(1, int(size[0]) if len(size) else 0):
             m = live[t]
             c = classes[start[:m] + t]
             to = self.table.take(state[:, :m] * self.width + c)
             ends = to < 0
             count[:, :m] += ends
             state[:, :m] = np.where(ends, first[:, c], to)
-        count += 1
         out = np.zeros((len(n), len(self.langs)), np.int64)
         np.add.at(out, row, count.T)
         return out
