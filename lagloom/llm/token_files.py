@@ -41,7 +41,7 @@ from lagloom.llm.token_counts import tokenizer_path
 MAGIC, VERSION, END_ID = b"TKZD", 1, 1
 SAMPLE, SAMPLE_BYTES, DICT_BYTES = 600, 1 << 14, 1 << 16
 BLOCK_BYTES = 4 << 20
-TABLE, WORDS = 100_000, 250_000
+TABLE, WORDS = 250_000, 250_000
 NULL_ID = -(2**63)
 
 
@@ -76,7 +76,8 @@ def encode_texts(path: str, texts: list[bytes], width: int) -> list[bytes]:
 
     def piece(p: bytes) -> bytes:
         young = words.young.get
-        ids = b"".join([young(w) or words.get(w) or word(w) for w in cutter.of_piece(p)])
+        got = [young(w) or words.get(w) or word(w) for w in cutter.of_piece(p)]
+        ids = got[0] if len(got) == 1 else b"".join(got)
         return table.put(p, ids) if len(p) <= PIECE else ids
 
     out = []

@@ -9,9 +9,9 @@ so the model that is broadcast is the list of the non-zero ones.
 Labels are read only from rows whose crc32(doc_id) mod 4 is not 2.  The sample
 is bounded: about ``TRAIN`` labelled documents, chosen by a threshold on a hash
 of doc_id that follows the number of labels.  A doc_id with several labels
-counts as toxic if one of them says so; null labels are ignored; without any
-label all scores are 0.5 of an untrained model.  Null and empty texts are
-scored by the bias alone.
+counts as toxic if one of them says so, and a doc_id with several texts gives
+its smallest one to training; null labels are ignored; without any label all
+scores are (next to) 0.  Null and empty texts are scored by the bias alone.
 """
 
 from __future__ import annotations
@@ -85,7 +85,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     # the labels that are kept are about TRAIN, at any number of labels
     share = min(1.0, TRAIN / max(1, total))
     picked = known.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "toxic", h.alias("h"))
-    rows = docs.join(F.broadcast(picked), "doc_id").select("h", "toxic", "text").mapInArrow(_feature_rows, "h long, toxic int, x binary")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    once = texts.groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    rows = once.mapInArrow(_feature_rows, "h long, toxic int, x binary")
     found = driver_rows(rows, 4 * TRAIN, "labelled sample")
     found.sort(key=lambda r: (r.h, r.x))
     return train([(np.append(np.frombuffer(r.x, "<i4").astype(np.int64), BIAS), r.toxic) for r in found])
@@ -104,7 +106,7 @@ def _score(shared):
                 row, bucket = features(*text_bytes(x.column("text")))
                 used = table[bucket] != 0
                 pairs = np.unique(row[used] * BUCKETS + bucket[used])
-                total = np.bincount(pairs // BUCKETS, table[pairs % BUCKETS].astype(float), x.num_rows) + bias
+                total = np.bincount(pairs // BUCKETS, table[pairs % BUCKETS].astype(float), x.num_rows) + (bias if len(at) else -np.inf)
                 score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
                 kept = {n: x.column(n) for n in x.schema.names if n != "text"}
                 yield pa.record_batch(kept | {"score": pa.array(score, pa.float64()), "predicted": pa.array((score >= THRESHOLD).astype(np.int32))})
