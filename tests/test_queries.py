@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -18,7 +19,7 @@ def duck(sf_dir):
 
 
 def values(df, columns):
-    return sorted(tuple("" if v is None or v != v else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in row) for row in df[columns].astype(object).itertuples(index=False))
+    return sorted(tuple("" if pd.isna(v) else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in row) for row in df[columns].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
