@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagloom.functions import kernels as K
-from lagloom.operators import bootstrap, candidates, fir, graph, learn, oof, windows
+from lagloom.operators import bootstrap, candidates, diagnose, fir, graph, learn, oof, windows
 from lagloom.operators.features import KernelFeatureBuilder, build_feature_evidence, feature_evidence_table
 from lagloom.operators.fir import ident
 from lagloom.plans import signals, statements
@@ -261,6 +261,36 @@ _usum = statements.loss(" + ".join(f"{num(1 / len(STEPS))} * x_{k}" for k in STE
 _add("fit_uniform", lambda spark, d: _fit_row(spark, "uniform", learn.UniformKernelLearner(6).solve(_data(spark, d), HOUR)), f"WITH {_w} SELECT 'uniform' AS learner, round(avg({_usum}) FILTER (is_train), 9) AS train_loss, round(avg({_usum}) FILTER (NOT is_train), 9) AS validation_loss FROM win")
 
 
+# reports on a fit: the uniform kernel, so that every figure is exact
+
+
+def _uniform_fit(spark, d):
+    data = _data(spark, d)
+    learner = learn.UniformKernelLearner(6)
+    return learn.assemble(learner, data, HOUR, learner.solve(data, HOUR), "n->x", {"input_col": "n", "target_col": "x"})
+
+
+_ul = f"avg({_usum}) FILTER (NOT is_train)"
+_single_valid = ", ".join("avg(" + statements.loss(f"x_{k} - y", "huber") + ") FILTER (NOT is_train)" for k in STEPS)
+_exp_valid = ", ".join("avg(" + statements.loss(" + ".join(f"{num(w)} * x_{k}" for k, w in zip(STEPS, windows.exponential_weights(len(STEPS), a))) + " - y", "huber") + ") FILTER (NOT is_train)" for a in windows.EXPONENTIAL_GRID)
+_losses = f"losses AS (SELECT {_ul} AS learned, avg({_usum}) FILTER (is_train) AS train, avg({statements.loss('x_0 - y', 'huber')}) FILTER (NOT is_train) AS no_lag, least({_single_valid}) AS best_single_lag, avg({statements.loss(f'{_mean} - y', 'huber')}) FILTER (NOT is_train) AS uniform, least({_exp_valid}) AS exponential FROM win)"
+_add(
+    "baseline_report",
+    lambda spark, d: _rounded(diagnose.fit_result_baseline_summary_table(spark, _uniform_fit(spark, d)).where("baseline <> 'uniform'"), ("baseline", "beats_learned", "is_learned")),
+    f"WITH {_w}, {_losses}, r AS (UNPIVOT (SELECT learned, no_lag, best_single_lag, exponential FROM losses) ON learned, no_lag, best_single_lag, exponential INTO NAME baseline VALUE v) SELECT baseline, round(v, 9) + 0.0 AS validation_loss, round(l.learned, 9) + 0.0 AS learned_validation_loss, round((l.learned - v) / greatest(abs(l.learned), 1e-12), 9) + 0.0 AS delta_fraction_vs_learned, baseline <> 'learned' AND v < l.learned AS beats_learned, baseline = 'learned' AS is_learned FROM r, losses l",
+)
+_add(
+    "identifiability",
+    lambda spark, d: diagnose.warning_summary_table(spark, _uniform_fit(spark, d).identifiability_report).select("warning_code", "warning_severity"),
+    f"WITH {_w}, {_losses}, v AS (SELECT var_pop(x) AS vx, (SELECT var_pop(y) FROM win) AS vy FROM (SELECT unnest([{', '.join(f'x_{k}' for k in STEPS)}]) AS x FROM win)), rules AS ("
+    "SELECT 'INPUT_TOO_FLAT' AS c, 'high' AS s, vx < 1e-8 AS hit FROM v UNION ALL SELECT 'TARGET_TOO_FLAT', 'high', vy < 1e-8 FROM v "
+    "UNION ALL SELECT 'WEAK_NO_LAG_IMPROVEMENT', 'medium', (no_lag - learned) / greatest(no_lag, 1e-8) < 0.05 FROM losses "
+    "UNION ALL SELECT 'LARGE_VALIDATION_GAP', 'high', learned / greatest(train, 1e-8) > 2 FROM losses "
+    f"UNION ALL SELECT 'BOUNDARY_PILED_KERNEL', 'medium', {1 / 7 >= 0.35} UNION ALL SELECT 'DIFFUSE_KERNEL', 'medium', true "
+    "UNION ALL SELECT 'BEST_SINGLE_LAG_BEATS_LEARNED', 'medium', (learned - best_single_lag) / greatest(learned, 1e-8) >= 0.05 FROM losses "
+    "UNION ALL SELECT 'EXPONENTIAL_BASELINE_BEATS_LEARNED', 'medium', (learned - exponential) / greatest(learned, 1e-8) >= 0.05 FROM losses) SELECT c AS warning_code, s AS warning_severity FROM rules WHERE hit",
+)
+
 # learned kernels: rows only
 
 
@@ -343,6 +373,18 @@ _add("bootstrap_intervals", _bootstrap)
 _boot = bootstrap.blocked_splits(200, bootstrap.BlockedBootstrapConfig(5, 16, 3))
 _add("bootstrap_splits", lambda spark, d: bootstrap.splits_frame(spark, 200, bootstrap.BlockedBootstrapConfig(5, 16, 3)), "WITH r(b, ids) AS (VALUES " + ", ".join(f"({b}, {i.tolist()})" for b, i in enumerate(_boot)) + ") SELECT b::BIGINT AS bootstrap_id, w::BIGINT AS window_id, count(*)::BIGINT AS count FROM (SELECT b, unnest(ids) AS w FROM r) GROUP BY 1, 2")
 
+# bootstrap tables over samples that SQL can make as well
+_add(
+    "bootstrap_interval_table",
+    lambda spark, d: _rounded(bootstrap.interval(spark.range(300).selectExpr("id % 3 AS lag_step", "cast(id * 7919 % 1009 AS double) / 1000 AS weight"), ["lag_step"], "weight", "weight_estimate"), ("lag_step", "n_samples")),
+    "WITH s AS (SELECT i % 3 AS lag_step, (i * 7919 % 1009)::DOUBLE / 1000 AS w FROM generate_series(0, 299) AS g(i)) SELECT lag_step, round(avg(w), 9) + 0.0 AS weight_estimate, round(quantile_cont(w, 0.025), 9) + 0.0 AS lower, round(quantile_cont(w, 0.975), 9) + 0.0 AS upper, round(stddev_pop(w), 9) + 0.0 AS bootstrap_std, count(*)::BIGINT AS n_samples FROM s GROUP BY 1",
+)
+_add(
+    "bootstrap_selection",
+    lambda spark, d: bootstrap.select_replicates(spark.range(400).selectExpr("id div 4 AS bootstrap_id", "concat('c', id % 4) AS candidate_id", "cast(id % 4 % 3 + 1 AS int) AS simplicity_rank", "1 + cast(id * 31 % 101 AS double) / 2000 AS validation_loss")),
+    "WITH s AS (SELECT i // 4 AS b, 'c' || (i % 4) AS c, i % 4 % 3 + 1 AS r, 1 + (i * 31 % 101)::DOUBLE / 2000 AS v FROM generate_series(0, 399) AS g(i)), p AS (SELECT *, min(v) OVER (PARTITION BY b) AS lo FROM s), q AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY r, v, c) AS n FROM p WHERE (v - lo) / greatest(lo, 1e-12) <= 0.02) SELECT b::BIGINT AS bootstrap_id, c AS candidate_id FROM q WHERE n = 1",
+)
+
 # out of fold
 
 _SPLIT = oof.ForwardChainingSplitConfig(4, 200, 100, 12, 300)
