@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import binary, documents, slices, take_worker, without_gc, worker_cache
+from lagloom.llm.common import binary, documents, slices, spread, take_worker, without_gc, worker_cache
 from lagloom.llm.pretokens import PIECE, Pretokenizer, Table, byte_letters
 from lagloom.llm.token_counts import tokenizer_path
 
@@ -280,7 +280,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     For tokenizers that drop white space and have no decoder, so that pieces
     between ASCII white space are encoded and decoded on their own.
     """
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/lagloom-{tag}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The frame over all cores, where it is read from files with fewer splits than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():  # it has a shuffle of its own
+        return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write once to the shared folder and read back, so that the lineage ends there."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import documents, driver_rows, held_out, slices, take_worker, worker_cache
+from lagloom.llm.common import documents, driver_rows, held_out, slices, spread, take_worker, worker_cache
 
 SAMPLES, TRAIN, SECTION = 64, 16_384, 512
 MAX_LANGS, MAX_LETTERS = 200, 250
@@ -191,7 +191,7 @@ def identify(docs: DataFrame, samples: tuple, pred: str = "lang_pred", score: st
         raise ValueError(f"columns exist already: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(samples)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_predict(shared, pred, score), f"{fields}, `{pred}` string, `{score}` double")
+    return spread(docs).mapInArrow(_predict(shared, pred, score), f"{fields}, `{pred}` string, `{score}` double")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lagloom.llm.common import LOWER, Words, documents, materialize, slices, take_worker, text_bytes
+from lagloom.llm.common import LOWER, Words, documents, materialize, slices, spread, take_worker, text_bytes
 from lagloom.llm.components import stars
 
 BITS = 64
@@ -81,7 +81,7 @@ def _fingerprint_batches(shingle):
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint_batches(shingle), "doc_id long, fp long")
+    return spread(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(_fingerprint_batches(shingle), "doc_id long, fp long")
 
 
 def _root(parent: np.ndarray) -> np.ndarray:

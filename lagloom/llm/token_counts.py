@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import documents, slices, take_worker, worker_cache
+from lagloom.llm.common import documents, slices, spread, take_worker, worker_cache
 
 CHUNK, OVERLAP, LIMIT = 1 << 15, 512, 4096
 
@@ -133,7 +133,7 @@ def _count_batches(path, chunk, overlap, limit):
 
 def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every document, for the sentencepiece model at ``path``."""
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_count_batches(path, chunk, overlap, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return spread(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(_count_batches(path, chunk, overlap, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

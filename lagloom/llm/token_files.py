@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import binary, documents, driver_rows, materialize, new_path, slices, take_worker, without_gc, worker_cache
+from lagloom.llm.common import binary, documents, driver_rows, materialize, new_path, slices, spread, take_worker, without_gc, worker_cache
 from lagloom.llm.pretokens import PIECE, Pretokenizer, Table
 from lagloom.llm.token_counts import tokenizer_path
 
@@ -170,7 +170,7 @@ def write_tokens(docs: DataFrame, path: str, to: str, end_id: int = END_ID) -> s
     digest, shared = hashlib.sha256(content).digest(), spark.sparkContext.broadcast(content)
     text = lambda df, name: df.select(F.col(name).cast("string").alias("value"))
     text(spark.createDataFrame([(bytearray(content),)], "block binary").coalesce(1), "block").write.text(f"{to}/dict")
-    frames = materialize(docs.mapInArrow(_compress(path, end_id, width, shared), "doc_id long, n_tokens long, frame binary"), "frames")
+    frames = materialize(spread(docs).mapInArrow(_compress(path, end_id, width, shared), "doc_id long, n_tokens long, frame binary"), "frames")
     rows = frames.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "frame")
     text(rows.mapInArrow(_pack(width, digest), "block binary"), "block").write.text(f"{to}/data")
     return to

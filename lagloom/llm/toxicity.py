@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import LOWER, PUNCTUATION, Words, documents, driver_rows, held_out, mix, slices, take_worker, text_bytes
+from lagloom.llm.common import LOWER, PUNCTUATION, Words, documents, driver_rows, held_out, mix, slices, spread, take_worker, text_bytes
 
 BUCKETS = 1 << 20
 TRAIN = 8_000
@@ -118,7 +118,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """The columns of docs but the text, with score and predicted added."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(_score(shared), f"{fields}score double, predicted int")
+    return spread(docs).mapInArrow(_score(shared), f"{fields}score double, predicted int")
 
 
 def op2_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
