@@ -184,7 +184,8 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which:
     """Hash of values[start:end] for many spans: polynomial prefix sums modulo 2**64, length mixed in."""
     up, down = _POWERS[which].get(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
+    np.multiply(values, up[: len(values)], out=total[1:])
+    np.cumsum(total, out=total)
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
