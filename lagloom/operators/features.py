@@ -253,6 +253,33 @@ class KernelFeatureBuilder:
             full = full.withColumns({s.name: F.coalesce(ident(s.name), F.lit(float("nan"))) for s in specs})
         return TransformResult(self, full, FeatureRegistry(tuple(specs)), zero)
 
+    def specs(self, requested: list[str] | None = None) -> FeatureRegistry:
+        """The features of this configuration without data, or those of them that are requested, in their order.
+
+        Levels come from category_levels, else from the share names among the requested ones.
+        """
+        found: list[FeatureSpec] = []
+        for kn, k in self.kernels.items():
+            made = lambda name, source, family, metric, level=None: found.append(FeatureSpec(name, kn, source, family, metric, level, tuple(k.lag_steps), k.summary()))  # noqa: B023, E731
+            for c in self.numeric_cols:
+                for m in NUMERIC_METRICS:
+                    made(numeric_feature_name(kn, c, m), c, "numeric", m)
+            for c in self.category_cols:
+                head = f"{kn}_cat_{c}_"
+                levels = self.category_levels.get(c) or sorted({n[len(head) : -len("_frac")] for n in requested or () if n.startswith(head) and n.endswith("_frac")})
+                for v in levels:
+                    made(categorical_fraction_feature_name(kn, c, v), c, "categorical", "frac", v)
+                if levels or requested and categorical_entropy_feature_name(kn, c) in requested:
+                    made(categorical_entropy_feature_name(kn, c), c, "categorical", "entropy")
+            for m in AGE_METRICS:
+                made(age_feature_name(kn, m), self.time_col, "age", m)
+        if requested is None:
+            return FeatureRegistry(tuple(found))
+        by = {s.name: s for s in found}
+        if unknown := [n for n in requested if n not in by]:
+            raise ValueError(f"not features of this configuration: {unknown}")
+        return FeatureRegistry(tuple(by[n] for n in requested))
+
     def transform(self, df: DataFrame, *, order_by_time: bool = True) -> DataFrame:
         """The time column and the features."""
         return self.transform_result(df, order_by_time=order_by_time).features

@@ -149,13 +149,15 @@ def assemble(learner: Learner, data: FitData, dt: float, found: dict[str, Any],
     kernel = LearnedKernel(tuple(found["weights"]), tuple(lags), dt, lags[0], lags[-1], name, learner.family, found["parameters"]).validate()
     losses = windows.baseline_losses(data, learner.loss, learner.huber_delta)
     baseline = windows.compare_baselines(losses, found["validation_loss"])
-    cells = data.windows.select(F.explode("x").alias("v")).agg(F.var_pop("v")).first()[0]
-    target = data.windows.agg(F.var_pop("y")).first()[0]
+    kinds = F.concat(F.transform("x", lambda v: F.struct(F.lit("x").alias("kind"), v.alias("v"))), F.array(F.struct(F.lit("y").alias("kind"), F.col("y").alias("v"))))
+    variance = {r.kind: r.v for r in data.windows.select(F.explode(kinds).alias("r")).groupBy("r.kind").agg(F.var_pop("r.v").alias("v")).collect()}
+    cells, target = variance["x"], variance["y"]
     s = kernel.summary()
     diagnostics = FitDiagnostics(found["train_loss"], found["validation_loss"], cells, target, sum(kernel.weights), s["mean_lag"], s["p50_lag"], s["p90_lag"], s["tail_mass"], kernel.weights[0] + kernel.weights[-1])
     shape = kernel.shape()
     report = identifiability(diagnostics, baseline, kernel, shape)
-    coverage = {"total_rows": data.n_rows, "valid_windows": data.n_windows, "train_windows": data.n_train, "validation_windows": data.n_windows - data.n_train, "retained_row_fraction": data.n_windows / max(1, data.n_rows), "retained_window_fraction": data.n_windows / max(1, data.n_rows - lags[-1])}
+    n_rows = data.n_rows
+    coverage = {"total_rows": n_rows, "valid_windows": data.n_windows, "train_windows": data.n_train, "validation_windows": data.n_windows - data.n_train, "retained_row_fraction": data.n_windows / max(1, n_rows), "retained_window_fraction": data.n_windows / max(1, n_rows - lags[-1])}
     settings = {"family": learner.family, "loss": learner.loss, "huber_delta": learner.huber_delta, "validation_fraction": learner.validation_fraction, "learning_rate": learner.learning_rate, "max_epochs": learner.max_epochs, "smoothness_penalty": learner.smoothness_penalty, "dt": dt, "min_lag_steps": lags[0], "max_lag_steps": lags[-1], "parameters": found["parameters"], **provenance}
     digest = hashlib.sha256(json.dumps([settings, list(kernel.weights)], sort_keys=True, default=str).encode()).hexdigest()[:16]
     return KernelFitResult(kernel, diagnostics, report, baseline, shape, coverage, settings | {"fit_result_id": digest})

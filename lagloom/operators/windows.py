@@ -20,6 +20,8 @@ from lagloom.sources.grid import INDEX
 EPS = 1e-12
 EXPONENTIAL_GRID = [4.0 * k / 32 for k in range(33)]
 MIN_WINDOWS = 8
+#: Terms that a sum over lags writes out.
+UNROLLED = 16
 MARGIN = 0.05
 
 
@@ -54,13 +56,19 @@ class Scaling:
 
 def robust_scaling(values: DataFrame, column: str = "v") -> Scaling:
     """Median and interquartile range; the deviation, then 1, where that is no spread."""
-    r = values.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.stddev_pop(column).alias("sd")).first()
-    if r.q is None:
-        return Scaling(0.0, 1.0)
-    scale = r.q[2] - r.q[0]
-    if scale <= EPS:
-        scale = r.sd if r.sd is not None and r.sd > EPS else 1.0
-    return Scaling(r.q[1], scale)
+    return robust_scalings(values.select(F.lit("v").alias("kind"), F.col(column).alias("v"))).get("v", Scaling(0.0, 1.0))
+
+
+def robust_scalings(values: DataFrame) -> dict[str, Scaling]:
+    """The scaling of every kind of the values (kind, v), in one job."""
+    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = {}
+    for r in values.where("v IS NOT NULL").groupBy("kind").agg(q.alias("q"), F.stddev_pop("v").alias("sd")).collect():  # a row a kind
+        scale = r.q[2] - r.q[0]
+        if scale <= EPS:
+            scale = r.sd if r.sd is not None and r.sd > EPS else 1.0
+        out[r.kind] = Scaling(r.q[1], scale)
+    return out
 
 
 def train_end(n: int, validation_fraction: float) -> int:
@@ -74,13 +82,17 @@ class FitData:
 
     windows: DataFrame
     lags: list[int]
-    n_rows: int
+    rows: DataFrame
     n_windows: int
     n_train: int
     x_scaling: Scaling
     y_scaling: Scaling
     x0_scaling: Scaling
 
+    @property
+    def n_rows(self) -> int:
+        return self.rows.count()
+
 
 def prepare(df: DataFrame, *, input_col: str, target_col: str, lags: list[int], validation_fraction: float = 0.2, own_x0_scaling: bool = False) -> FitData:
     """Windows split in time and scaled by the statistics of the training part.
@@ -96,11 +108,12 @@ def prepare(df: DataFrame, *, input_col: str, target_col: str, lags: list[int],
         raise ValueError(f"{n} complete windows; at least {MIN_WINDOWS} are needed")
     cut = train_end(n, validation_fraction)
     train = raw.where(F.col("window_id") < cut)
-    xs = robust_scaling(train.select(F.explode("x").alias("v")))
-    ys = robust_scaling(train.select(F.col("y").alias("v")))
-    x0s = xs if 0 in lags or not own_x0_scaling else robust_scaling(train.where("x0 IS NOT NULL").select(F.col("x0").alias("v")))
+    kinds = [F.transform("x", lambda v: F.struct(F.lit("x").alias("kind"), v.alias("v"))), *[F.array(F.struct(F.lit(k).alias("kind"), F.col(k).alias("v"))) for k in ("y", "x0")]]
+    found = robust_scalings(train.select(F.explode(F.concat(*kinds)).alias("r")).select("r.*"))
+    xs, ys = found["x"], found["y"]
+    x0s = xs if 0 in lags or not own_x0_scaling else found.get("x0", Scaling(0.0, 1.0))
     scaled = raw.select("window_id", F.transform("x", lambda v: (v - xs.center) / xs.scale).alias("x"), ((F.col("x0") - x0s.center) / x0s.scale).alias("x0"), ((F.col("y") - ys.center) / ys.scale).alias("y"), (F.col("window_id") < cut).alias("is_train"))
-    return FitData(scaled, list(lags), df.count(), n, cut, xs, ys, x0s)
+    return FitData(scaled, list(lags), df, n, cut, xs, ys, x0s)
 
 
 def loss_of(residual: Column, loss: str, delta: float) -> Column:
@@ -119,7 +132,9 @@ def mean_loss(predicted: Column, observed: Column, loss: str, delta: float) -> C
 
 
 def dot(column: str, weights: list[float]) -> Column:
-    """Product sum of an array column with fixed weights, first term first."""
+    """Product sum of an array column with fixed weights, first term first; many terms as one higher-order function, which keeps plans small."""
+    if len(weights) > UNROLLED:
+        return F.aggregate(F.zip_with(column, F.array(*[F.lit(float(w)) for w in weights]), lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
     return fir.total(F.col(column)[i] * w for i, w in enumerate(weights))
 
 

@@ -88,6 +88,10 @@ def test_registry_and_evidence(spark):
     assert text == "features=18; kernels=2; source_cols=3; evidence=comparison_evidence=9, kernel_only=9"
     with pytest.raises(ValueError):
         numeric_feature_name("k", "x", "median")
+    assert [s.category_level for s in b.specs(["u_cat_c_B_frac", "d_num_x_wsum"])] == ["B", None]
+    assert len(b.specs()) == 14
+    with pytest.raises(ValueError):
+        b.specs(["u_num_y_wsum"])
 
 
 def test_durations():
