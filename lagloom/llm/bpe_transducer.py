@@ -37,7 +37,7 @@ from lagloom.llm.pretokens import PIECE, Pretokenizer, Table, byte_letters
 from lagloom.llm.token_counts import tokenizer_path
 
 #: Entries of a generation of a worker's tables of pre-tokens and of pieces.
-WORDS, TABLE = 400_000, 150_000
+WORDS, TABLE = 150_000, 60_000
 
 
 class Transducer:

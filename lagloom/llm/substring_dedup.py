@@ -50,7 +50,7 @@ WINDOW = 20
 ROUNDS = 3
 EDGE = 2**ROUNDS - 1
 MAX_SYMBOL = 7
-PAGE_BYTES = 2 << 20
+PAGE_BYTES = 1 << 20
 #: Names that one reducer's block should hold.
 BLOCK_NAMES = 1_000_000
 
