@@ -37,7 +37,7 @@ from lagloom.llm.pretokens import PIECE, Pretokenizer, Table, byte_letters
 from lagloom.llm.token_counts import tokenizer_path
 
 #: Entries of a generation of a worker's tables of pre-tokens and of pieces.
-WORDS, TABLE = 150_000, 60_000
+WORDS, TABLE = 400_000, 150_000
 
 
 class Transducer:
@@ -232,15 +232,15 @@ class Decoder:
 
 
 @worker_cache(1)
-def _tools(path: str) -> tuple[Encoder, Decoder, Table, Table]:
-    return Encoder(path), Decoder(path), Table(TABLE), Table(WORDS)
+def _tools(path: str, words: int, pieces: int) -> tuple[Encoder, Decoder, Table, Table]:
+    return Encoder(path), Decoder(path), Table(pieces), Table(words)
 
 
-def _round_trip(path):
+def _round_trip(path, n_words=WORDS, n_pieces=TABLE):
     @without_gc
     def run(batches):
         take_worker("bpe_transducer")
-        encoder, decoder, table, words = _tools(path)
+        encoder, decoder, table, words = _tools(path, n_words, n_pieces)
 
         def word(w: str | int) -> tuple[bytes, bytes]:
             ids = [w] if isinstance(w, int) else encoder.transducer.encode(w)
@@ -274,13 +274,15 @@ def _round_trip(path):
     return run
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, words: int = WORDS, pieces: int = TABLE) -> DataFrame:
     """Digests of the ids of every whole text and of the text they decode to.
 
+    words, pieces: entries of a generation of a worker's tables; fewer take less memory and more time.
+
     For tokenizers that drop white space and have no decoder, so that pieces
     between ASCII white space are encoded and decoded on their own.
     """
-    return spread(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(_round_trip(path, words, pieces), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
