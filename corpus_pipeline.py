@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm import bpe_transducer, decontaminate, language_id, simhash_trie, substring_dedup
+from lagloom.llm import bpe_transducer, decontaminate, language_id, near_copies, substring_dedup
 from lagloom.llm.common import materialize
 from lagloom.llm.token_counts import tokenizer_path
 
@@ -24,11 +24,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each SimHash group."""
-    groups = materialize(simhash_trie.groups(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id"), "kept")
-    ids = groups.groupBy("doc_id").count()
-    kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*[f"`{c}`" for c in docs.columns])
-    return kept if ids.where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    """The document with the smallest doc_id of each group of near copies (5-word shingles, Jaccard 0.8)."""
+    groups = near_copies.groups(docs.select("doc_id", "text"))
+    ids = materialize(groups.groupBy("group").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "kept")
+    kept = docs.join(ids.distinct(), "doc_id", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    return kept.dropDuplicates(["doc_id"])
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup, Jaccard 0.8", near_duplicates),
     ("substring dedup", repeats),
     ("benchmark decontamination", benchmark_leaks),
     ("BPE encoding and decoding", tokens),
