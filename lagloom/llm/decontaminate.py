@@ -8,7 +8,8 @@ Seeds of all documents are joined with those of the benchmark by hash; around
 each hit the document is aligned with the whole item, word by word, and counts
 as an overlap where ``OVERLAP`` consecutive aligned words have at least
 ``MATCH`` (11) equal.  Items shorter than that must be there whole: with at
-most a fifth of the words substituted from 9 words on, exactly below 9 (one
+most a fifth of the words substituted from 9 words on (``short_masks`` leaves a
+seed intact for every allowed set of substitutions), exactly below 9 (one
 contiguous seed for each such length).  Items of fewer than ``SHORTEST`` words
 are too common as phrases to be evidence and are not searched for.
 
@@ -22,6 +23,8 @@ own.)  Null and empty texts overlap with nothing; repeated items are each report
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +37,7 @@ SPAN = 9
 OVERLAP, MATCH = 13, 11
 SHORTEST = 5
 BLOCK_WORDS = 2_000_000
-_FACTORS = np.random.default_rng(97).integers(0, 2**63, SPAN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(97).integers(0, 2**63, OVERLAP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FILTER = 22
 
 
@@ -53,6 +56,19 @@ def _seeds(h: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return mix(out)
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks of items of n < OVERLAP words, from the item's first word on.
+
+    One substitution (9 words) spares one of two halves; two (10 to 12 words)
+    spare two of four blocks, and each two blocks are a mask.
+    """
+    if n < SPAN:
+        return [tuple(range(n))]
+    blocks, spared = (2, 1) if n == SPAN else (4, 2)
+    parts = np.array_split(np.arange(n), blocks)
+    return [tuple(np.concatenate(c).tolist()) for c in combinations(parts, spared)]
+
+
 class Index:
     """Seeds of one block of the benchmark."""
 
@@ -61,27 +77,29 @@ class Index:
         self.ids, self.bounds = np.array(ids, np.int64), words.bounds
         size = words.counts
         self.masks = []
-        for mask in (*MASKS, *(tuple(range(n)) for n in range(SHORTEST, SPAN))):
-            short = mask == tuple(range(len(mask)))
-            row = words.row_of()
+        row = words.row_of()
+        for mask, length in [(m, 0) for m in MASKS] + [(m, n) for n in range(SHORTEST, OVERLAP) for m in short_masks(n)]:
             at = np.arange(max(0, len(self.h) - mask[-1]))
-            ok = at + mask[-1] < self.bounds[1:][row[: len(at)]]
-            ok &= size[row[: len(at)]] == len(mask) if short else size[row[: len(at)]] >= SPAN
+            if length:
+                ok = (size[row[: len(at)]] == length) & (at == self.bounds[row[: len(at)]])
+            else:
+                ok = (at + mask[-1] < self.bounds[1:][row[: len(at)]]) & (size[row[: len(at)]] >= OVERLAP)
             seeds, at = _seeds(self.h, mask)[ok], at[ok]
             if len(at):
                 order = np.argsort(seeds, kind="stable")
-                may = np.zeros(1 << _FILTER, bool)
-                may[seeds >> np.uint64(64 - _FILTER)] = True
-                self.masks.append((mask, seeds[order], at[order], may))
+                bits = min(_FILTER, max(16, len(at).bit_length() + 5))
+                may = np.zeros(1 << bits, bool)
+                may[seeds >> np.uint64(64 - bits)] = True
+                self.masks.append((mask, max(length - 1, mask[-1]), seeds[order], at[order], may, np.uint64(64 - bits)))
 
     def overlaps(self, words: Words, h: np.ndarray) -> np.ndarray:
         """Rows (text row, item index, equal words, first word, end word): the best stretch for each row and item."""
         found = []
         row_of = words.row_of()
-        for mask, seeds, at, may in self.masks:
-            mine = _seeds(h, mask)
-            hit = np.flatnonzero(may[mine >> np.uint64(64 - _FILTER)])
-            hit = hit[row_of[hit] == row_of[hit + mask[-1]]]
+        for mask, reach, seeds, at, may, shift in self.masks:
+            mine = _seeds(h, mask)[: max(0, len(h) - reach)]
+            hit = np.flatnonzero(may[mine >> shift])
+            hit = hit[row_of[hit] == row_of[hit + reach]]
             a, b = np.searchsorted(seeds, mine[hit], "left"), np.searchsorted(seeds, mine[hit], "right")
             n = b - a
             for part in np.array_split(np.arange(len(hit)), 1 + int(n.sum()) // 4_000_000):
