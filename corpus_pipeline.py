@@ -2,8 +2,9 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet in the shared folder and read again as the next one's docs.  All but
-the last return the columns of documents.  Rows without a doc_id have no
-identity and end at the near-duplicate stage; repeated rows end there as one.
+the last return the columns of documents.  A row is known by doc_id and text: rows without a
+doc_id and several texts under one id are documents like others, and repeated
+rows end at the near-duplicate stage as one.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies (5-word shingles, Jaccard 0.8)."""
-    groups = near_copies.groups(docs.select("doc_id", "text"))
-    ids = materialize(groups.groupBy("group").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "kept")
-    kept = docs.join(ids.distinct(), "doc_id", "left_semi").select(*[f"`{c}`" for c in docs.columns])
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each group of near copies (5-word shingles, Jaccard 0.8): the smallest doc_id, ids before none, then the hash of the text."""
+    rows = near_copies.groups(docs.select("doc_id", "text")).groupBy("group", "doc_id", "text_key").count()
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "count")).alias("r"))
+    picked = materialize(first.select("r.no_id", F.coalesce("r.doc_id", F.lit(0).cast("long")).alias("id"), F.col("r.text_key").alias("key"), "r.count"), "picked")
+    d = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)], F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    kept = d.join(picked.select("no_id", "id", "key"), ["no_id", "id", "key"], "left_semi")
+    kept = kept if picked.where("count > 1").isEmpty() else kept.dropDuplicates(["no_id", "id", "key"])
+    return kept.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +42,11 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
+    """Documents that overlap with no benchmark item; a text is named by its hash, as doc_id may be null or have several texts."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    leaks = materialize(decontaminate.overlaps(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    key = F.xxhash64(F.col("text").cast("string"))
+    leaks = materialize(decontaminate.overlaps(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    return docs.join(leaks, key == F.col("_leak"), "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
