@@ -8,9 +8,12 @@ slice at once with NumPy.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
+import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,10 +35,10 @@ PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
-
+#: What is left of eight bytes of which so many belong to a word.
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are hashed by BLAKE2b.
+LONG_WORD = 512
 
 _caches: list = []
 _owner = ""
@@ -57,8 +60,6 @@ def take_worker(operator: str) -> None:
     if _owner != operator:
         for c in _caches:
             c.cache_clear()
-        for p in _POWERS:
-            p.clear()
         gc.collect()
         try:
             ctypes.CDLL(None).malloc_trim(0)
@@ -84,16 +85,45 @@ def without_gc(run):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local default only where none is set."""
+    """The folder that all executors share: spark.checkpoint.dir.  Where it is unset, a folder of this machine serves a local master; a cluster has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file:///tmp/lagloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/lagloom-{tag}-{uuid.uuid4().hex}"
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What operators write to the shared folder inside is removed at the end, when nothing that was made of it may be read any more."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            if not path.startswith(TABLE_MARK):
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            else:
+                spark.sql(f"DROP TABLE IF EXISTS `{path.removeprefix(TABLE_MARK)}`")
+
+
+TABLE_MARK = "table:"
+
+
+def new_path(spark: SparkSession, tag: str, outlives: bool = False) -> str:
+    """A new path in the shared folder; outlives: it belongs to the scope around the present one."""
+    path = f"{shared_dir(spark)}/lagloom-{tag}-{uuid.uuid4().hex}"
+    scopes = _scopes[:-1] if outlives else _scopes
+    if scopes:
+        scopes[-1].append(path)
+    return path
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -104,13 +134,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, outlives: bool = False) -> DataFrame:
     """Write once to the shared folder and read back, so that the lineage ends there."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
+    spark, path = df.sparkSession, new_path(df.sparkSession, tag, outlives)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, tag: str, key: str, buckets: int, then=None) -> DataFrame:
+    """Write the frame as a table bucketed by key, so that tables of as many buckets join without a shuffle.
+
+    then: what to do with the frame once it is dealt by key, without a shuffle of its own.
+    """
+    spark, buckets = df.sparkSession, min(buckets, 100_000)
+    dealt = df.repartition(buckets, key)
+    path, name = new_path(spark, tag), f"lagloom_{tag}_{uuid.uuid4().hex}"
+    (then(dealt) if then else dealt).write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name, format="parquet")
+    if _scopes:
+        _scopes[-1].append(f"{TABLE_MARK}{name}")
+    return spark.table(name)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
@@ -157,38 +201,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.back = base, np.uint64(pow(int(base), -1, 2**64))
-        self.clear()
-
-    def clear(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            for name, b in (("up", self.base), ("down", self.back)):
-                x = np.full(n, b, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.cumprod(x, dtype=np.uint64))
-        return self.up, self.down
-
-
-_POWERS = [_Powers(b) for b in _BASES]
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hash of values[start:end] for many spans: polynomial prefix sums modulo 2**64, length mixed in."""
-    up, down = _POWERS[which].get(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.multiply(values, up[: len(values)], out=total[1:])
-    np.cumsum(total, out=total)
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-
-
 class Words:
     """The words of every row: byte spans, rows, and hashes on demand.
 
@@ -214,8 +226,20 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self, which: int = 0, table: np.ndarray = _BYTE) -> np.ndarray:
-        return span_hashes(table[self.data], self.starts, self.ends, which)
+    def hashes(self) -> np.ndarray:
+        """64-bit hash of every word: eight bytes at a time through a finaliser, and its length."""
+        size = self.ends - self.starts
+        eight = np.ndarray((len(self.data) + 1,), "<u8", np.concatenate([self.data, np.zeros(8, np.uint8)]), strides=(1,))
+        out = mix(size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        live, at, left = np.arange(len(size)), self.starts, size
+        if (long := size > LONG_WORD).any():
+            out[long] = [int.from_bytes(hashlib.blake2b(self.data[a:b].tobytes(), digest_size=8).digest(), "little") for a, b in zip(self.starts[long], self.ends[long])]
+            live, at, left = live[~long], at[~long], left[~long]
+        while len(live):
+            out[live] = mix((out[live] ^ (eight[at] & _TAIL[np.minimum(left, 8)])) + np.uint64(0x9E3779B97F4A7C15))
+            more = left > 8
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+        return out
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), self.counts)

@@ -1,32 +1,39 @@
 """Exact removal of repeated word windows by recompression.
 
-Rounds
-------
-Words get 64-bit names.  Each of three rounds splits the alphabet by a hash
-bit of the name and renames every adjacent (left, right) pair as one symbol, so
-equal pairs get equal names in every document without a dictionary having to
-be exchanged.  Whether two neighbours merge depends on these two alone (their
-names and lengths, at most ``MAX_SYMBOL`` words together), so a difference
-outside a passage reaches at most 1 + 2 + 4 = 7 words into it: beyond that, all
-copies of a passage are cut into the same symbols.
-
-A window of 20 words therefore has a cut, common to all its copies, between
-its 7th and its 13th word (symbols have at most 7 words, so one is always
-there).  The name of a cut is that of the 14 words around it, which lie inside
-the window.  A run of one word is never split apart by pairs; all its inner
-cuts carry one name, (word, run), and are stored once.
-
-Spark rounds
-------------
-1. Documents go in doc_id order into compressed pages of ``PAGE_BYTES``.
-2. Each page sends its distinct cut names, dealt by name, and gets back one bit
-   each: does the name occur elsewhere or twice in the page?
-3. Windows all of whose cuts are repeated are the candidates.  Each page sends
-   their 128-bit names and gets back whether an earlier page has them.
-4. Words under a window that starts earlier elsewhere are removed.
-
-Only names and bits are shuffled, as packed blocks; every page sends a name
-once, so a passage that fills a third of the rows costs one name a page.
+Names
+-----
+Spark names everything globally, one round a level, and a name stands for one
+content only.  Round 0 names words (by a keyed 128-bit BLAKE2b of their bytes),
+round 1 pairs and runs of two words, round 2 pairs of the symbols of round 1.
+Pages send the distinct contents they hold, dealt by hash; the reducer numbers
+those that occur twice at least and returns the numbers.  What occurs once in
+all documents gets no name: it is dead, no window that contains it is repeated,
+and nothing is built upon it, so later rounds are smaller.
+
+Which neighbours merge is decided by a hash bit of their names (one is a left,
+the other a right symbol), that is by these two alone.  A run of equal words never
+merges, as a window may cut it anywhere; its name (word, word) only tells
+whether the run occurs elsewhere.  Symbols of round 2 have at most 4 words, and
+what lies outside a passage changes cuts in its first and last 3 words only.
+
+Windows
+-------
+A window of 20 words has a cut between its 7th and 13th word, common to all its
+copies.  The symbols around a cut (two of round 2, beside them two of round 1,
+beside them two words: at most 7 words a side, so all inside the window) are its
+high-level symbol.  Each window takes the least hash of those of its cuts;
+round 3 tells which of these symbols are shared.  A window without a dead symbol
+whose high-level symbol is shared is a candidate; round 4 compares candidates
+by 128-bit keyed hashes of their 20 word names and tells which of them an earlier
+page has.  The words under windows that start earlier elsewhere are removed.
+
+Plan
+----
+Documents go in doc_id order into pages of ``PAGE_BYTES``; words become codes
+into the page's own vocabulary.  Pages and replies are tables bucketed by page,
+so pages are dealt once and every round shuffles only its distinct contents, as
+packed blocks: one row for a page and a bucket, never more than there are names.
+A passage that fills a third of the rows costs a name a page.
 
 Null and empty texts have no words; repeated doc_ids count in an order fixed by
 their text; extra columns are ignored, or carried along when texts are rewritten.
@@ -35,6 +42,7 @@ their text; extra columns are ignored, or carried along when texts are rewritten
 from __future__ import annotations
 
 import hashlib
+import secrets
 from itertools import compress
 
 import numpy as np
@@ -44,222 +52,402 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import Words, documents, materialize, mix, slices, span_hashes, take_worker, text_bytes
+from lagloom.llm.common import bucketed, documents, mix, slices, take_worker, text_bytes
 
 WINDOW = 20
-ROUNDS = 3
-EDGE = 2**ROUNDS - 1
-MAX_SYMBOL = 7
-PAGE_BYTES = 1 << 20
-#: Names that one reducer's block should hold.
-BLOCK_NAMES = 1_000_000
-
-
-def _page_rows(batches):
-    take_worker("substring")
-    part, n, waiting, size = TaskContext.get().partitionId(), 0, [], 0
-    packer = zstandard.ZstdCompressor(level=1)
-
-    def page():
-        nonlocal n
-        table = pa.Table.from_batches(waiting).combine_chunks()
-        words = sum(len(Words(*text_bytes(b.column("text")))) for b in waiting)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as out:
-            out.write_table(table)
-        n += 1
-        return pa.record_batch({"page": [(part << 32) + n], "n_words": [words], "blob": [packer.compress(sink.getvalue().to_pybytes())]}, schema=pa.schema([("page", pa.int64()), ("n_words", pa.int64()), ("blob", pa.binary())]))
-
-    for batch in batches:
-        for x in slices(batch, limit=PAGE_BYTES):
-            b = x.nbytes
-            if waiting and size + b > PAGE_BYTES:
-                yield page()
-                waiting, size = [], 0
-            waiting.append(x)
-            size += b
-    if waiting:
-        yield page()
-
-
-def _open(blob: bytes) -> tuple[pa.Table, Words, np.ndarray, np.ndarray]:
-    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all().combine_chunks()
-    words = Words(*text_bytes(table.column("text")))
-    return table, words, words.hashes(0), words.hashes(1)
-
-
-def cuts(names: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Start positions of the symbols after all rounds; rows (bounds) never share a symbol."""
-    n = len(names)
-    at, names, length = np.arange(n), names.copy(), np.ones(n, np.int64)
-    opens = np.zeros(n + 1, bool)
-    opens[bounds] = True
-    for k in range(ROUNDS):
-        if len(at) < 2:
-            break
-        left = (mix(names + np.uint64(0x632BE59BD9B4E019 * (k + 1) & (2**64 - 1))) >> np.uint64(63)) == 0
-        pair = left[:-1] & ~left[1:] & (length[:-1] + length[1:] <= MAX_SYMBOL) & ~opens[at[1:]]
-        i = np.flatnonzero(pair)
-        names[i] = mix(names[i] * np.uint64(0x9FB21C651E98DF25) + mix(names[i + 1]) + np.uint64(k + 1))
-        length[i] += length[i + 1]
-        keep = np.ones(len(at), bool)
-        keep[i + 1] = False
-        at, names, length = at[keep], names[keep], length[keep]
-    return at
+#: Words of a window's edge in which no cut is looked for, and words a side that a cut's symbol may span.
+EDGE = 7
+PAGE_BYTES = 2 << 20
+#: Names that one reducer should hold.
+BLOCK_NAMES = 1_500_000
+LEAST_BUCKETS = 32
+#: Bytes of text in one range of documents, and pages in one bucket of the page tables.
+RANGE_BYTES, SHELF = 128 << 20, 24
+NONE = np.uint64(2**64 - 1)
+
+
+# Pages ------------------------------------------------------------------------------------------------------------
+
+
+def _digests(words: list[bytes], key: bytes) -> np.ndarray:
+    """Two 64-bit lanes of every word."""
+    raw = b"".join([hashlib.blake2b(w, digest_size=16, key=key).digest() for w in words])
+    return np.ascontiguousarray(np.frombuffer(raw, "<u8").reshape(-1, 2).T)
+
+
+def _codes(texts: list[bytes], key: bytes) -> tuple[bytes, int, int]:
+    """The words of the texts as codes into their vocabulary, which is in the order of its digests."""
+    seen: dict[bytes, int] = {}
+    found, bounds = [], [0]
+    put = seen.setdefault
+    for t in texts:
+        found += [put(w, len(seen)) for w in t.split()]
+        bounds.append(len(found))
+    words = list(seen)
+    order = np.lexsort(_digests(words, key)[::-1]) if words else np.zeros(0, np.int64)
+    place = np.empty(len(words), np.uint32)
+    place[order] = np.arange(len(words), dtype=np.uint32)
+    codes = place[np.array(found, np.int64)] if found else np.zeros(0, np.uint32)
+    if len(words) <= 1 << 16:
+        codes = codes.astype(np.uint16)
+    head = np.array([len(texts), len(found), len(words)], "<i8")
+    return b"".join([head.tobytes(), np.array(bounds, "<i8").tobytes(), codes.tobytes(), b" ".join([words[k] for k in order])]), len(found), len(words)
+
+
+PAGE = pa.schema([("page", pa.int64()), ("n_words", pa.int64()), ("n_distinct", pa.int64()), ("codes", pa.binary()), ("blob", pa.binary())])
+
+
+def _page_rows(key: bytes):
+    def run(batches):
+        take_worker("substring")
+        part, n, waiting, size = TaskContext.get().partitionId(), 0, [], 0
+        packer = zstandard.ZstdCompressor(level=1)
+
+        def page():
+            nonlocal n
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            data, offsets = text_bytes(table.column("text"))
+            data = data.tobytes()
+            codes, words, distinct = _codes([data[a:b] for a, b in zip(offsets, offsets[1:])], key)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            n += 1
+            return pa.record_batch([[(part << 32) + n], [words], [distinct], [packer.compress(codes)], [packer.compress(sink.getvalue().to_pybytes())]], schema=PAGE)
+
+        for batch in batches:
+            for x in slices(batch, limit=PAGE_BYTES):
+                b = x.nbytes
+                if waiting and size + b > PAGE_BYTES:
+                    yield page()
+                    waiting, size = [], 0
+                waiting.append(x)
+                size += b
+        if waiting:
+            yield page()
+
+    return run
+
+
+# Symbols ----------------------------------------------------------------------------------------------------------
+
+
+def joined(names: np.ndarray, at: np.ndarray, opens: np.ndarray, level: int) -> np.ndarray:
+    """Index of the first of two neighbouring symbols that merge; decided by their names alone."""
+    left = mix(names + np.uint64(0x632BE59BD9B4E019 * level & (2**64 - 1))) >> np.uint64(63) == 0
+    live = names != 0
+    return np.flatnonzero(left[:-1] & ~left[1:] & live[:-1] & live[1:] & ~opens[at[1:]])
+
 
+def in_runs(names: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """Index of the first of two equal neighbouring words."""
+    return np.flatnonzero((names[:-1] == names[1:]) & (names[:-1] != 0) & ~opens[1:-1])
 
-def _cut_names(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and names of the cuts that have EDGE words of their row on both sides."""
-    at = cuts(h, words.bounds)
-    row = np.searchsorted(words.bounds, at, side="right") - 1
-    at = at[(at - EDGE >= words.bounds[row]) & (at + EDGE <= words.bounds[row + 1])]
-    return at, span_hashes(h, at - EDGE, at + EDGE, 0)
+
+def merge(names: np.ndarray, at: np.ndarray, first: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keep = np.ones(len(at), bool)
+    keep[first + 1] = False
+    names = names.copy()
+    names[first] = new
+    return names[keep], at[keep]
+
+
+def distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, both parts and multiplicity over one of each distinct content, by hash; and the index of each content among them."""
+    h = mix(x * np.uint64(0x9FB21C651E98DF25) + mix(y))
+    order = np.argsort(h, kind="stable")
+    for _ in range(2):
+        u, v, g = x[order], y[order], h[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+        if not (new[1:] & (g[1:] == g[:-1])).any():
+            break
+        order = np.lexsort((y, x, h))  # unlike contents share a hash
+    first = np.flatnonzero(new)
+    index = np.empty(len(order), np.int64)
+    index[order] = np.cumsum(new) - 1
+    return g[first], u[first], v[first], np.diff(first, append=len(order)) > 1, index
+
+
+class Page:
+    """The symbols of one page, as far as the replies of earlier rounds go."""
+
+    def __init__(self, blob: bytes):
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        rows, n, size = np.frombuffer(raw, "<i8", 3).tolist()
+        self.bounds = np.frombuffer(raw, "<i8", rows + 1, 24)
+        at, kind = 24 + 8 * (rows + 1), "<u2" if size <= 1 << 16 else "<u4"
+        self.codes = np.frombuffer(raw, kind, n, at)
+        self.n, self.words = n, raw[at + self.codes.nbytes :].split(b" ") if size else []
+        self.opens = np.zeros(n + 1, bool)
+        self.opens[self.bounds] = True
+        self.dead = np.zeros(n + WINDOW + 2, np.int32)
+
+    def _forbid(self, start: np.ndarray, end: np.ndarray, margin: int) -> None:
+        """No window holds a dead symbol, with margin words beside it."""
+        lo, hi = np.maximum(0, end + margin - WINDOW), start - margin + 1
+        some = lo < hi
+        np.add.at(self.dead, lo[some], 1)
+        np.add.at(self.dead, hi[some], -1)
+
+    def round1(self, reply) -> tuple:
+        """Contents of round 1, from the names of the words."""
+        self.vocabulary = _names(reply, len(self.words))
+        self.w = self.vocabulary[self.codes]
+        gone = np.flatnonzero(self.w == 0)
+        self._forbid(gone, gone + 1, 0)
+        self.pairs = joined(self.w, np.arange(self.n), self.opens, 1)
+        self.runs = in_runs(self.w, self.opens)
+        at = np.concatenate([self.pairs, self.runs])
+        found = distinct(self.w[at], self.w[at + 1])
+        self.index = found[-1]
+        return found
+
+    def round2(self, reply) -> tuple:
+        """Contents of round 2, from the names of the pairs and runs."""
+        names = _names(reply, int(self.index.max(initial=-1)) + 1)[self.index]
+        at = np.concatenate([self.pairs, self.runs])[names == 0]
+        self._forbid(at, at + 2, 0)
+        self.s1, self.at1 = merge(self.w, np.arange(self.n), self.pairs, names[: len(self.pairs)])
+        self.pairs2 = joined(self.s1, self.at1, self.opens, 2)
+        found = distinct(self.s1[self.pairs2], self.s1[self.pairs2 + 1])
+        self.index2 = found[-1]
+        return found
+
+    def round3(self, reply) -> np.ndarray:
+        """Sorted high-level symbols of the windows that may be repeated."""
+        names = _names(reply, int(self.index2.max(initial=-1)) + 1)[self.index2]
+        ends1 = np.append(self.at1[1:], self.n)
+        gone = self.pairs2[names == 0]
+        self._forbid(self.at1[gone], ends1[gone + 1], 1)
+        s2, at2 = merge(self.s1, self.at1, self.pairs2, names)
+        ends2 = np.append(at2[1:], self.n)
+        row = np.searchsorted(self.bounds, at2, side="right") - 1
+        k = np.flatnonzero((at2 - EDGE >= self.bounds[row]) & (at2 + EDGE <= self.bounds[row + 1]))
+        before = np.searchsorted(self.at1, at2[k - 1]) - 1
+        after = np.searchsorted(self.at1, ends2[k])
+        parts = [self.w[self.at1[before] - 1], self.s1[before], s2[k - 1], s2[k], self.s1[after], self.w[ends1[after]]] if len(k) else [np.zeros(0, np.uint64)] * 6
+        symbol = np.full(len(k), 0x8CB92BA72F3D8DD7, np.uint64)
+        for p in parts:
+            symbol = mix(symbol * np.uint64(0xD1342543DE82EF95) + p)
+        symbol[symbol == NONE] = 0
+        here = np.full(self.n + EDGE + 1, NONE)
+        here[at2[k]] = symbol
+        for step in (1, 2, 3):  # least of 7 places from each one on
+            here[:-step] = np.minimum(here[:-step], here[step:])
+        starts = np.arange(max(0, self.n - WINDOW + 1))
+        starts = starts[starts + WINDOW <= np.repeat(self.bounds[1:], np.diff(self.bounds))[: len(starts)]]
+        self.starts = starts[np.cumsum(self.dead)[starts] == 0]
+        self.symbol = here[self.starts + EDGE]
+        found, many = np.unique(symbol, return_counts=True)
+        self.found = np.unique(self.symbol)
+        self.twice = many[np.searchsorted(found, self.found)] > 1 if len(found) else np.zeros(0, bool)
+        return self.found
+
+    def round4(self, reply, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit names of the distinct candidate windows, in order."""
+        shared = _bits(reply, len(self.found)) | self.twice
+        self.starts = self.starts[shared[np.searchsorted(self.found, self.symbol)]]
+        rng = np.random.default_rng(list(key))
+        lanes = []
+        for _ in range(2):
+            salt, *factors = (rng.integers(0, 2**63, WINDOW + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).tolist()
+            w = mix(mix(self.vocabulary + np.uint64(salt)))[self.codes]
+            total = np.zeros(len(self.starts), np.uint64)
+            for k, f in enumerate(factors):
+                total += w[self.starts + k] * np.uint64(f)
+            lanes.append(mix(total))
+        n1, n2 = lanes
+        order = np.lexsort((n2, n1))
+        new = np.ones(len(order), bool)
+        new[1:] = (n1[order][1:] != n1[order][:-1]) | (n2[order][1:] != n2[order][:-1])
+        self.index4 = np.empty(len(order), np.int64)
+        self.index4[order] = np.cumsum(new) - 1
+        return n1[order][new], n2[order][new]
+
+    def gone(self, reply) -> np.ndarray:
+        """Words under a window that starts earlier elsewhere."""
+        index = self.index4
+        first = np.zeros(len(index), bool)
+        first[np.unique(index, return_index=True)[1]] = True
+        earlier = _bits(reply, int(index.max(initial=-1)) + 1)
+        at = self.starts[earlier[index] | ~first]
+        delta = np.zeros(self.n + 1, np.int64)
+        delta[at] += 1
+        delta[at + WINDOW] -= 1
+        return np.cumsum(delta)[: self.n] > 0
+
+
+# Blocks -----------------------------------------------------------------------------------------------------------
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Sorted names byte plane by byte plane: the high planes compress well in the shuffle."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Byte plane by byte plane: the high planes compress well in the shuffle."""
+    return np.ascontiguousarray(x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
 def _unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).reshape(-1).view("<u8")
 
 
-BLOCK = pa.schema([("bucket", pa.int64()), ("page", pa.int64()), ("names", pa.binary()), ("more", pa.binary())])
-REPLY = "page long, bucket long, bits binary"
+BLOCK = pa.schema([("bucket", pa.int64()), ("page", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("twice", pa.binary())])
+BLOCK_DDL = "bucket long, page long, x binary, y binary, twice binary"
+REPLY = "page long, bucket long, data binary"
 
 
-def _blocks(page: int, names: np.ndarray, more: np.ndarray | None, shift: int) -> pa.RecordBatch:
-    """Sorted names cut into blocks by their high bits."""
-    bucket = (names >> np.uint64(shift)).astype(np.int64)
-    edges = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(names) else np.zeros(0, np.int64)
-    ends = [*edges[1:], len(names)]
-    pairs = list(zip(edges, ends))
-    return pa.record_batch([pa.array(bucket[edges]), pa.array([page] * len(pairs), pa.int64()), pa.array([_planes(names[a:b]) for a, b in pairs], pa.binary()), pa.array([b"" if more is None else more[a:b].tobytes() for a, b in pairs], pa.binary())], schema=BLOCK)
+def _blocks(page: int, h: np.ndarray, x: np.ndarray, y: np.ndarray | None, twice: np.ndarray | None, shift: int) -> pa.RecordBatch:
+    """Contents, sorted by h, cut into blocks by its high bits."""
+    bucket = (h >> np.uint64(shift)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(h) else np.zeros(0, np.int64)
+    spans = list(zip(edges, [*edges[1:], len(h)]))
+    xs = [_planes(x[a:b]) for a, b in spans]
+    ys = [b"" if y is None else _planes(y[a:b]) for a, b in spans]
+    ts = [b"" if twice is None else np.packbits(twice[a:b]).tobytes() for a, b in spans]
+    return pa.record_batch([pa.array(bucket[edges]), pa.array([page] * len(spans), pa.int64()), pa.array(xs, pa.binary()), pa.array(ys, pa.binary()), pa.array(ts, pa.binary())], schema=BLOCK)
 
 
-def _unique_cuts(words, h):
-    at, names = _cut_names(words, h)
-    found, inverse, count = np.unique(names, return_inverse=True, return_counts=True)
-    return at, found, inverse, count
+def _joined_reply(reply) -> list[bytes]:
+    return [r["data"] for r in sorted(reply or (), key=lambda r: r["bucket"])]
 
 
-def _send_cuts(shift):
-    def run(batches):
-        take_worker("substring")
-        for batch in batches:
-            for page, blob in zip(batch.column("page").to_pylist(), batch.column("blob")):
-                _, words, h, _ = _open(blob.as_py())
-                yield _blocks(page, _unique_cuts(words, h)[1], None, shift)
+def _names(reply, count: int) -> np.ndarray:
+    """The names that came back, in the order of the contents sent."""
+    parts = [_unplanes(b) for b in _joined_reply(reply)]
+    out = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    if len(out) != count:
+        raise ValueError(f"{len(out)} names for {count} contents")
+    return out
 
-    return run
+
+def _bits(reply, count: int) -> np.ndarray:
+    parts = [np.unpackbits(np.frombuffer(b[4:], np.uint8), count=int.from_bytes(b[:4], "little")) for b in _joined_reply(reply)]
+    out = np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
+    if len(out) != count:
+        raise ValueError(f"{len(out)} bits for {count} contents")
+    return out
 
 
-def _answer(table: pa.Table, first_only: bool) -> pa.Table:
-    """One bit for each name of each page: another page has it (first_only: an earlier page has it)."""
+def _gathered(table: pa.Table) -> tuple:
     table = table.sort_by("page")
-    pages = table.column("page").to_pylist()
-    parts = [_unplanes(x.as_py()) for x in table.column("names")]
-    names = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    if first_only:
-        more = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("more")])
-        order = np.lexsort((more, names))  # stable: of equal names the earliest page comes first
-        same = (names[order][1:] == names[order][:-1]) & (more[order][1:] == more[order][:-1])
-        bit = np.zeros(len(names), bool)
-        bit[order[1:]] = same
-    else:
-        order = np.argsort(names)
-        same = names[order][1:] == names[order][:-1]
-        bit = np.zeros(len(names), bool)
+    x = [_unplanes(b.as_py()) for b in table.column("x")]
+    y = [_unplanes(b.as_py()) for b in table.column("y")]
+    return table, [len(p) for p in x], np.concatenate(x), np.concatenate(y)
+
+
+def _answers(table: pa.Table, data: list[bytes]) -> pa.Table:
+    return pa.table({"page": table.column("page"), "bucket": table.column("bucket"), "data": pa.array(data, pa.binary())})
+
+
+def _name(level: int):
+    """The reducer of a naming round: numbers the contents that occur twice at least."""
+
+    def run(key, table):
+        table, sizes, x, y = _gathered(table)
+        twice = np.concatenate([np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=n) for b, n in zip(table.column("twice"), sizes)])
+        order = np.lexsort((y, x))
+        u, v = x[order], y[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+        content = np.cumsum(new) - 1
+        live = np.bincount(content, 1 + twice[order]) > 1
+        names = (np.uint64(key[0].as_py()) << np.uint64(32) | np.cumsum(live).astype(np.uint64)) << np.uint64(2) | np.uint64(level)
+        names[~live] = 0
+        out = np.empty(len(order), np.uint64)
+        out[order] = names[content]
+        ends = np.cumsum(sizes)
+        return _answers(table, [_planes(out[e - n : e]) for e, n in zip(ends, sizes)])
+
+    return run
+
+
+def _share(first_only: bool):
+    """The reducer of a comparing round: does another page (first_only: an earlier one) have the content?"""
+
+    def run(key, table):
+        if first_only:
+            table, sizes, x, y = _gathered(table)
+            order = np.lexsort((y, x))  # stable: of equal contents the earliest page comes first
+            same = (x[order][1:] == x[order][:-1]) & (y[order][1:] == y[order][:-1])
+        else:
+            table = table.sort_by("page")
+            parts = [_unplanes(b.as_py()) for b in table.column("x")]
+            sizes, x = [len(p) for p in parts], np.concatenate(parts)
+            order = np.argsort(x, kind="stable")
+            same = x[order][1:] == x[order][:-1]
+        bit = np.zeros(len(x), bool)
         bit[order[1:]] |= same
-        bit[order[:-1]] |= same
-    ends = np.cumsum([len(p) for p in parts])
-    bits = [np.packbits(bit[e - len(p) : e]).tobytes() for p, e in zip(parts, ends)]
-    return pa.table({"page": pa.array(pages, pa.int64()), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
-
-
-def _bits(reply, names: np.ndarray, shift: int) -> np.ndarray:
-    """The answers in the order of the sorted names."""
-    bucket = (names >> np.uint64(shift)).astype(np.int64)
-    out = np.zeros(len(names), bool)
-    for x in reply or ():
-        a, b = np.searchsorted(bucket, [x["bucket"], x["bucket"] + 1])
-        out[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a)
-    return out
+        if not first_only:
+            bit[order[:-1]] |= same
+        ends = np.cumsum(sizes)
+        return _answers(table, [int(n).to_bytes(4, "little") + np.packbits(bit[e - n : e]).tobytes() for e, n in zip(ends, sizes)])
 
+    return run
 
-def _candidates(words: Words, h1: np.ndarray, h2: np.ndarray, reply, shift: int):
-    """Starts of the windows all of whose inner cuts are repeated, their sorted distinct names, and the index of each."""
-    at, found, inverse, count = _unique_cuts(words, h1)
-    repeated = (_bits(reply, found, shift) | (count > 1))[inverse]
-    n = len(words)
-    alone, any_cut = np.zeros(n + 2, np.int64), np.zeros(n + 2, np.int64)
-    alone[at[~repeated] + 1] = 1
-    any_cut[at + 1] = 1
-    alone, any_cut = np.cumsum(alone), np.cumsum(any_cut)
-    starts = np.arange(max(0, n - WINDOW + 1))
-    row_end = np.repeat(words.bounds[1:], words.counts)
-    starts = starts[starts + WINDOW <= row_end[: len(starts)]]
-    lo, hi = starts + EDGE, starts + WINDOW - EDGE + 1
-    starts = starts[(alone[hi] == alone[lo]) & (any_cut[hi] > any_cut[lo])]
-    n1, n2 = (span_hashes(h, starts, starts + WINDOW, k) for k, h in enumerate((h1, h2)))
-    order = np.lexsort((n2, n1))
-    new = np.ones(len(order), bool)
-    new[1:] = (n1[order][1:] != n1[order][:-1]) | (n2[order][1:] != n2[order][:-1])
-    index = np.empty(len(order), np.int64)
-    index[order] = np.cumsum(new) - 1
-    return starts, n1[order][new], n2[order][new], index
 
+def _send(k: int, shift: int, key: bytes):
+    """Blocks of round k from pages and the replies of all rounds before."""
 
-def _send_windows(shift, shift2):
     def run(batches):
         take_worker("substring")
         for batch in batches:
-            for page, blob, reply in zip(*(batch.column(c) for c in ("page", "blob", "reply"))):
-                _, words, h1, h2 = _open(blob.as_py())
-                _, n1, n2, _ = _candidates(words, h1, h2, reply.as_py(), shift)
-                yield _blocks(page.as_py(), n1, n2, shift2)
+            for row in batch.to_pylist():
+                page = Page(row["codes"])
+                if k == 0:
+                    x, y = _digests(page.words, key)
+                    many = np.bincount(page.codes, minlength=len(page.words)) > 1
+                    yield _blocks(row["page"], x, x, y, many, shift)
+                    continue
+                h, x, y, many, _ = page.round1(row["r0"])
+                if k > 1:
+                    h, x, y, many, _ = page.round2(row["r1"])
+                if k <= 2:
+                    yield _blocks(row["page"], h, x, y, many, shift)
+                    continue
+                x = page.round3(row["r2"])
+                if k == 3:
+                    yield _blocks(row["page"], x, x, None, None, shift)
+                    continue
+                x, y = page.round4(row["r3"], key)
+                yield _blocks(row["page"], x, x, y, None, shift)
 
     return run
 
 
-def _finish(shift, shift2, rewrite):
+def _finish(key: bytes, rewrite: bool):
     def run(batches):
         take_worker("substring")
+        opener = zstandard.ZstdDecompressor()
         for batch in batches:
-            for blob, reply, reply2 in zip(*(batch.column(c) for c in ("blob", "reply", "reply2"))):
-                table, words, h1, h2 = _open(blob.as_py())
-                starts, n1, _, index = _candidates(words, h1, h2, reply.as_py(), shift)
-                earlier = _bits(reply2.as_py(), n1, shift2)
-                first = np.ones(len(index), bool)
-                if len(index):
-                    first[:] = False
-                    first[np.unique(index, return_index=True)[1]] = True
-                gone_at = starts[earlier[index] | ~first]
-                delta = np.zeros(len(words) + WINDOW + 1, np.int64)
-                delta[gone_at] += 1
-                delta[gone_at + WINDOW] -= 1
-                gone = np.cumsum(delta)[: len(words)] > 0
-                removed, kept, data = [], [], words.data.tobytes()
-                for k in range(words.rows):
-                    a, b = words.bounds[k], words.bounds[k + 1]
-                    left, lost = data[words.offsets[k] : words.offsets[k + 1]].split(), int(gone[a:b].sum())
-                    kept.append(b" ".join(compress(left, ~gone[a:b]) if lost else left))
-                    removed.append(lost)
+            for row in batch.to_pylist():
+                page = Page(row["codes"])
+                page.round1(row["r0"]), page.round2(row["r1"]), page.round3(row["r2"]), page.round4(row["r3"], key)
+                gone, codes, words = page.gone(row["r4"]), page.codes, page.words
+                bounds = page.bounds.tolist()
+                table = pa.ipc.open_stream(opener.decompress(row["blob"])).read_all().combine_chunks()
+                lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[page.bounds])
+
+                def kept(k: int) -> bytes:
+                    a, b = bounds[k], bounds[k + 1]
+                    mine = map(words.__getitem__, codes[a:b].tolist())
+                    return b" ".join(compress(mine, ~gone[a:b]) if lost[k] else mine)
+
                 if rewrite:
-                    texts = [k.decode() if lost else t.as_py() for k, lost, t in zip(kept, removed, table.column("text"))]
+                    texts = [kept(k).decode() if lost[k] else t.as_py() for k, t in enumerate(table.column("text"))]
                     out = {n: table.column(n).combine_chunks() for n in table.column_names} | {"text": pa.array(texts, pa.string())}
                 else:
-                    shas = [hashlib.sha256(k).hexdigest() for k in kept]
-                    out = {"doc_id": table.column("doc_id").combine_chunks(), "n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
+                    shas = [hashlib.sha256(kept(k)).hexdigest() for k in range(table.num_rows)]
+                    out = {"doc_id": table.column("doc_id").combine_chunks(), "n_words": pa.array(np.diff(page.bounds), pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
                 yield pa.record_batch(out)
 
     return run
 
 
-def _replies(blocks: DataFrame, first_only: bool, name: str) -> DataFrame:
-    answers = blocks.groupBy("bucket").applyInArrow(lambda t: _answer(t, first_only), REPLY)
-    return answers.groupBy("page").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
+def _power(names: float) -> int:
+    """Bits of the bucket number for so many names."""
+    bits = 1
+    while (1 << bits) * BLOCK_NAMES < names or (1 << bits) < LEAST_BUCKETS and (1 << bits) * BLOCK_NAMES < 32 * names:
+        bits += 1
+    return bits
 
 
 def remove_repeats(docs: DataFrame, rewrite: bool = False) -> DataFrame:
@@ -268,21 +456,28 @@ def remove_repeats(docs: DataFrame, rewrite: bool = False) -> DataFrame:
     rewrite: instead all columns of docs; where words were removed, text is the
     kept words joined by one space, else it is unchanged.
     """
-    columns = docs.columns if rewrite else ["doc_id", "text"]
+    columns, spark = docs.columns if rewrite else ["doc_id", "text"], docs.sparkSession
     docs = docs.select(*[F.col(f"`{c}`").cast({"doc_id": "long", "text": "string"}[c]).alias(c) if c in ("doc_id", "text") else F.col(f"`{c}`") for c in columns])
-    pages = materialize(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_page_rows, "page long, n_words long, blob binary"), "pages")
-    words = pages.agg(F.sum("n_words")).first()[0] or 0
-    buckets = 64
-    while buckets * BLOCK_NAMES < words * 0.45:
-        buckets *= 2
-    shift = 64 - (buckets.bit_length() - 1)
-    block = "bucket long, page long, names binary, more binary"
-    reply = materialize(_replies(pages.mapInArrow(_send_cuts(shift), block), False, "reply"), "cuts")
-    known = pages.select("page", "blob").join(reply, "page", "left")
-    reply2 = materialize(_replies(known.mapInArrow(_send_windows(shift, shift), block), True, "reply2"), "windows")
-    done = known.join(reply2, "page", "left").select("blob", "reply", "reply2")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cores, key = spark.sparkContext.defaultParallelism, secrets.token_bytes(16)
+    few = min(4 * cores, 1 + size // PAGE_BYTES)
+    ranges, shelves = max(few, size // RANGE_BYTES), max(few, size // (PAGE_BYTES * SHELF))
+    # documents of one id are dealt by how their texts begin
+    ordered = docs.repartitionByRange(ranges, "doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
+    page_ddl = "page long, n_words long, n_distinct long, codes binary, blob binary"
+    pages = bucketed(ordered.mapInArrow(_page_rows(key), page_ddl), "pages", "page", shelves)
+    words, vocabulary = pages.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
+    known = pages.select("page", "codes")
+    # about so many contents are sent: distinct words; a fourth of the neighbours merge; a window's least cut
+    rounds = [(vocabulary, _name(0)), (words * 0.25, _name(1)), (words * 0.2, _name(2)), (words * 0.25, _share(False)), (words * 0.5, _share(True))]
+    for k, (names, reducer) in enumerate(rounds):
+        sent = known.mapInArrow(_send(k, 64 - _power(names), key), BLOCK_DDL)
+        answers = sent.groupBy("bucket").applyInArrow(reducer, REPLY)
+        reply = bucketed(answers, f"names{k}", "page", shelves, lambda d: d.groupBy("page").agg(F.collect_list(F.struct("bucket", "data")).alias(f"r{k}")))
+        known = known.join(reply.hint("shuffle_hash"), "page", "left")
+    done = known.join(pages.select("page", "blob").hint("shuffle_hash"), "page", "left")
     schema = docs.schema if rewrite else "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return done.mapInArrow(_finish(shift, shift, rewrite), schema)
+    return done.mapInArrow(_finish(key, rewrite), schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
