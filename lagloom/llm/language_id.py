@@ -1,10 +1,17 @@
 """Language identification by cross-parsing entropy over suffix automata.
 
-For every language a suffix automaton is built over a sample of labelled text:
-at most ``SAMPLES`` documents (in each of as many hash buckets the one with the
-smallest hash of doc_id) and ``TRAIN`` letters.  A text is parsed greedily into
-the longest phrases that occur in the sample: each phrase is a longest match of
-the automaton.  A phrase costs log2 of the sample's length in bits; the
+For every language a suffix automaton is built over a sample of labelled text,
+the documented bound of this operator: at most ``SAMPLES`` documents that have a
+letter (in each of as many hash buckets the one with the smallest hash of doc_id)
+and ``TRAIN`` letters; over all languages ``ALL_LETTERS`` and ``MOST_TEXTS``.  Each
+document gives letters from a hashed place of its whole text on; short ones give
+all they have, and the others fill what is left.  Every letter of the sample
+counts, and tables grow with the sample only, not with the alphabets.
+
+A text is parsed greedily into the longest phrases that occur in the sample:
+each phrase is a longest match of the automaton; a letter the sample has not is
+a phrase of its own.  A phrase costs log2 of the sample's length in bits, a letter
+the sample has not ``LETTER_BITS`` besides; the
 language with the fewest bits, so the fewest normalised phrases, wins, ties by
 name.  The score is the winner's share when each language weighs 2**-bits.
 
@@ -18,16 +25,21 @@ rows whose crc32(doc_id) mod 4 is not 2 only.
 from __future__ import annotations
 
 import functools
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import documents, driver_rows, held_out, slices, spread, take_worker, worker_cache
+from lagloom.llm.common import documents, driver_rows, held_out, materialize, slices, spread, take_worker
 
 SAMPLES, TRAIN, SECTION = 64, 16_384, 512
-MAX_LANGS, MAX_LETTERS = 200, 250
+#: Bounds over all languages: letters of sample and texts they come from; many languages get smaller samples each.
+ALL_LETTERS, MOST_TEXTS = 1 << 20, 1 << 14
+#: What a letter costs that the sample has not: one of all code points.
+LETTER_BITS = np.log2(0x110000)
 UND = "und"
 _SPACE, _OTHER = 0, 1
 
@@ -81,42 +93,100 @@ def automaton(text: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+def displaced(moves: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions as one table: that of state s by class c is at base[s] + c, as s << 32 | next; other entries belong to other states.
+
+    States with several transitions are put where all of them are free, one
+    after the other; those with one fill the places between.  So the table is
+    about as long as there are transitions, however many classes there are.
+    """
+    several = sorted((s for s, row in enumerate(moves) if len(row) > 1), key=lambda s: -len(moves[s]))
+    base, taken, first = np.zeros(len(moves), np.int64), bytearray(4 * sum(map(len, moves)) + 64), 0
+    for s in several:
+        classes = sorted(moves[s])
+        low, high = classes[0], classes[-1]
+        at, tries = max(first, low), 0
+        while True:
+            at = taken.find(0, at)
+            if at < 0 or at - low + high >= len(taken):
+                at = len(taken) if at < 0 else at
+                taken.extend(bytes(len(taken) + high))
+                continue
+            if not any(taken[at - low + c] for c in classes):
+                break
+            at, tries = at + 1, tries + 1
+        if tries > 6:  # crowded: later ones begin here; states with one transition fill what is left
+            first = at
+        base[s] = at - low
+        for c in classes:
+            taken[at - low + c] = 1
+    single = np.array([s for s, row in enumerate(moves) if len(row) == 1], np.int64)
+    width = 2 + max((c for row in moves for c in row), default=0)
+    free = np.flatnonzero(np.frombuffer(taken, np.uint8) == 0)
+    free = free[free >= width]
+    if len(free) < len(single):
+        end = max(len(taken), width)
+        free = np.concatenate([free, np.arange(end, end + len(single) - len(free))])
+    base[single] = free[: len(single)] - np.array([next(iter(moves[s])) for s in single.tolist()], np.int64)
+    state = np.repeat(np.arange(len(moves)), [len(row) for row in moves])
+    classes = np.array([c for row in moves for c in row], np.int64)
+    to = np.array([t for row in moves for t in row.values()], np.int64)
+    table = np.full(int(base.max(initial=0)) + width + 1, -1, np.int64)
+    table[base[state] + classes] = state << 32 | to
+    return base, table
+
+
+def shares(sizes: list[int], total: int) -> list[int]:
+    """How much each gives to a total: short ones all they have, the others alike."""
+    out, left = [0] * len(sizes), total
+    for n, k in enumerate(sorted(range(len(sizes)), key=lambda k: (sizes[k], k))):
+        out[k] = min(sizes[k], -(-left // (len(sizes) - n)))
+        left -= out[k]
+    return out
+
+
 class Model:
-    """Automata of all languages in one table of transitions."""
+    """Automata of all languages in one table of transitions; its size follows the sample, not the alphabets."""
 
     def __init__(self, samples: list[tuple[str, list[str]]]):
         self.langs = sorted(k for k, _ in samples)
-        by = dict(samples)
+        by, train = dict(samples), train_letters(len(samples))
         texts = []
         for k in self.langs:
-            each = max(1, TRAIN // max(1, len(by[k])))
             points, off = letters(by[k])
-            texts.append(np.concatenate([points[a : min(b, a + each)] for a, b in zip(off, off[1:])] or [np.zeros(0, np.uint32)]))
+            texts.append(np.concatenate([points[a : a + n] for a, n in zip(off, shares(np.diff(off).tolist(), train))] or [np.zeros(0, np.uint32)]))
         seen, count = np.unique(np.concatenate(texts or [np.zeros(0, np.uint32)]), return_counts=True)
-        seen = seen[np.argsort(-count, kind="stable")][:MAX_LETTERS]
-        self.classes = np.full(0x110000, _OTHER, np.uint8)
+        seen = [c for c in seen[np.argsort(-count, kind="stable")].tolist() if c != 32]
+        self.classes = np.full(0x110000, _OTHER, np.int32)
         self.classes[32] = _SPACE
-        for n, c in enumerate(x for x in seen.tolist() if x != 32):
-            self.classes[c] = 2 + n
-        self.width = 2 + len(seen)
-        tables, self.roots, self.dead, base = [], [], [], 0
+        self.classes[seen] = np.arange(2, 2 + len(seen))
+        moves, roots, dead = [], [], []
         for t in texts:
-            known = [c for c in self.classes[t].tolist() if c != _OTHER]
-            moves = automaton(known)
+            base = len(moves)
+            moves += [{c: to + base for c, to in row.items()} for row in automaton(self.classes[t].tolist())]
+            roots.append(base)
             # the last state is where a letter leads that the sample has not: a phrase of its own
-            table = np.full((len(moves) + 1, self.width), -1, np.int32)
-            for s, row in enumerate(moves):
-                for c, to in row.items():
-                    table[s, c] = base + to
-            tables.append(table)
-            self.roots.append(base)
-            base += len(moves) + 1
-            self.dead.append(base - 1)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            moves.append({})
+            dead.append(len(moves) - 1)
+        self.base, self.table = displaced(moves)
+        self.roots, self.dead = np.array(roots, np.int64), np.array(dead, np.int64)
         self.bits = np.array([np.log2(max(2, len(t))) for t in texts])
 
+    def _next(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and whether there is one; a class beyond the table belongs to no state."""
+        entry = self.table.take(self.base.take(state) + c, mode="clip")
+        return entry & 0xFFFFFFFF, entry >> 32 == state
+
+    def _first(self, lang: np.ndarray, c: np.ndarray) -> np.ndarray:
+        to, there = self._next(self.roots[lang], c)
+        return np.where(there, to, self.dead[lang])
+
     def phrases(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases of every text (rows) in every language (columns)."""
+        return self.parse(points, offsets)[0]
+
+    def parse(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases, and letters the sample has not, of every text (rows) in every language (columns)."""
         classes, n = self.classes[points], np.diff(offsets)
         sections = -(-n // SECTION)
         row = np.repeat(np.arange(len(n)), sections)
@@ -124,50 +194,70 @@ class Model:
         size = np.minimum(SECTION, offsets[1:][row] - start)
         order = np.argsort(-size, kind="stable")
         row, start, size = row[order], start[order], size[order]
-        first = self.table.reshape(-1, self.width)[self.roots]
-        first = np.where(first < 0, np.array(self.dead, np.int32)[:, None], first)
-        state = first[:, classes[start]]
+        langs = np.arange(len(self.langs))[:, None]
+        state = self._first(langs, classes[start][None, :])
         count = np.ones((len(self.langs), len(row)), np.int32)
+        strange = (state == self.dead[langs]).astype(np.int32)
         live = np.searchsorted(-size, -np.arange(SECTION), side="left")  # sections longer than t
         for t in range(1, int(size[0]) if len(size) else 0):
             m = live[t]
             c = classes[start[:m] + t]
-            to = self.table.take(state[:, :m] * self.width + c)
-            ends = to < 0
-            count[:, :m] += ends
-            state[:, :m] = np.where(ends, first[:, c], to)
-        out = np.zeros((len(n), len(self.langs)), np.int64)
-        np.add.at(out, row, count.T)
-        return out
+            to, there = self._next(state[:, :m], c)
+            lang, at = np.nonzero(~there)
+            to[lang, at] = new = self._first(lang, c[at])
+            count[lang, at] += 1
+            strange[lang, at] += new == self.dead[lang]
+            state = to
+        out = np.zeros((2, len(n), len(self.langs)), np.int64)
+        np.add.at(out[0], row, count.T)
+        np.add.at(out[1], row, strange.T)
+        return out[0], out[1]
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         points, offsets = letters(texts)
         has = np.array([points[a:b].max(initial=32) != 32 or points[a:b].min(initial=32) != 32 for a, b in zip(offsets, offsets[1:])], bool)
         if not self.langs:
             return [UND] * len(texts), np.zeros(len(texts))
-        cost = self.phrases(points, offsets) * self.bits
+        phrases, strange = self.parse(points, offsets)
+        cost = phrases * self.bits + strange * LETTER_BITS
         best = cost.argmin(1)
         score = 1 / np.exp2(-np.minimum(1000.0, cost - cost.min(1)[:, None])).sum(1)
         return [self.langs[k] if h else UND for k, h in zip(best.tolist(), has)], np.where(has, score, 0.0)
 
 
-@worker_cache()
-def _model(samples: tuple) -> Model:
-    return Model([(k, list(v)) for k, v in samples])
+def train_letters(langs: int) -> int:
+    """Letters of sample a language."""
+    return max(1, min(TRAIN, ALL_LETTERS // max(1, langs)))
+
+
+def _parts(batches):
+    """Of each text the letters from a hashed place on, round to the start; the whole text is read."""
+    for batch in batches:
+        parts = []
+        for h, text, most in zip(*(batch.column(c).to_pylist() for c in ("h", "text", "most"))):
+            points = letters([text])[0]
+            at = h % len(points) if len(points) > most else 0
+            parts.append(np.concatenate([points[at:], [np.uint32(32)], points[:at]] if at else [points])[:most].astype("<u4").tobytes().decode("utf-32-le"))
+        yield pa.record_batch({"lang": batch.column("lang"), "h": batch.column("h"), "part": pa.array(parts, pa.string())})
 
 
 def learn(docs: DataFrame) -> tuple:
-    """Sample texts by language from rows (doc_id, text, lang) that are not held out; bounded by SAMPLES a language."""
-    usable = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    """Sample letters by language from rows (doc_id, text, lang) that are not held out and have a letter; bounded by SAMPLES, TRAIN and ALL_LETTERS."""
+    usable = docs.where(~held_out() & F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
     h = F.xxhash64("doc_id")
-    least = usable.select("lang", h.alias("h")).groupBy("lang", F.pmod("h", F.lit(SAMPLES)).alias("bucket")).agg(F.min("h").alias("h"))
-    picked = driver_rows(least.select("lang", "h"), MAX_LANGS * SAMPLES, "language samples")
+    least = usable.select(F.col("lang").cast("string").alias("lang"), h.alias("h")).groupBy("lang", F.pmod("h", F.lit(SAMPLES)).alias("bucket")).agg(F.min("h").alias("h"))
+    least = materialize(least, "language-samples")
+    langs = least.select("lang").distinct().count()
+    each = max(1, min(SAMPLES, MOST_TEXTS // max(1, langs)))
+    picked = driver_rows(least.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("bucket"))).where(F.col("n") <= each).select("lang", "h"), max(MOST_TEXTS, langs), "language samples")
     if not picked:
         return ()
-    keys = docs.sparkSession.createDataFrame([(r.lang, r.h) for r in picked], "lang string, h long")
-    rows = usable.select("lang", h.alias("h"), F.substring("text", 1, 4 * TRAIN // SAMPLES).alias("part")).join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h").agg(F.min("part").alias("part"))
+    texts = Counter(r.lang for r in picked)
+    # four times the share, for texts that have fewer letters
+    keys = docs.sparkSession.createDataFrame([(r.lang, r.h, -(-4 * train_letters(langs) // texts[r.lang])) for r in picked], "lang string, h long, most int")
+    rows = usable.select(F.col("lang").cast("string").alias("lang"), h.alias("h"), "text").join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"), F.first("most").alias("most"))
     found: dict[str, list[str]] = {}
-    for r in sorted(driver_rows(rows, MAX_LANGS * SAMPLES, "language samples"), key=lambda r: (r.lang, r.h)):
+    for r in sorted(driver_rows(rows.mapInArrow(_parts, "lang string, h long, part string"), len(picked), "language samples"), key=lambda r: (r.lang, r.h)):
         found.setdefault(r.lang, []).append(r.part)
     return tuple((k, tuple(v)) for k, v in sorted(found.items()))
 
@@ -175,7 +265,7 @@ def learn(docs: DataFrame) -> tuple:
 def _predict(shared, pred, score_name):
     def run(batches):
         take_worker("language_id")
-        model = _model(shared.value)
+        model = shared.value
         for batch in batches:
             for x in slices(batch, limit=1 << 20):
                 langs, score = model.predict([t or "" for t in x.column("text").to_pylist()])
@@ -189,7 +279,7 @@ def identify(docs: DataFrame, samples: tuple, pred: str = "lang_pred", score: st
     """The rows with two columns added: the language of the column text, and the score."""
     if clash := {pred, score} & set(docs.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}")
-    shared = docs.sparkSession.sparkContext.broadcast(samples)
+    shared = docs.sparkSession.sparkContext.broadcast(Model([(k, list(v)) for k, v in samples]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return spread(docs).mapInArrow(_predict(shared, pred, score), f"{fields}, `{pred}` string, `{score}` double")
 
