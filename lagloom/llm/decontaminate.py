@@ -10,13 +10,14 @@ as an overlap where ``OVERLAP`` consecutive aligned words have at least
 ``MATCH`` (11) equal.  Items shorter than that must be there whole: with at
 most a fifth of the words substituted from 9 words on (``short_masks`` leaves a
 seed intact for every allowed set of substitutions), exactly below 9 (one
-contiguous seed for each such length).  Items of fewer than ``SHORTEST`` words
-are too common as phrases to be evidence and are not searched for.
+contiguous seed for each such length).  As phrases, items of fewer than
+``SHORTEST`` words are weak evidence: they are found like others, and the column
+item_words tells a caller that wants to leave them aside.
 
 Words: A-Z are lower-cased, ASCII punctuation and white space end a word.
 
 The benchmark is searched in blocks of at most ``BLOCK_WORDS`` words, dealt by
-a hash of item_id, and only one block is broadcast at a time: a benchmark of
+a hash of item and text, and only one block is broadcast at a time: a benchmark of
 any size takes more passes, not more memory.  (One longer item is a block of its
 own.)  Null and empty texts overlap with nothing; repeated items are each reported.
 """
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import LOWER, PUNCTUATION, Words, documents, mix, slices, take_worker, text_bytes, worker_cache
+from lagloom.llm.common import LOWER, PUNCTUATION, Words, documents, driver_rows, mix, slices, take_worker, text_bytes, worker_cache
 
 MASKS = ((0, 1, 2, 4, 5, 8), (0, 3, 5, 6, 7, 8))
 SPAN = 9
@@ -72,13 +73,13 @@ def short_masks(n: int) -> list[tuple[int, ...]]:
 class Index:
     """Seeds of one block of the benchmark."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int | None], texts: list[str]):
         words, self.h = _words(pa.array(texts, pa.string()))
-        self.ids, self.bounds = np.array(ids, np.int64), words.bounds
+        self.ids, self.bounds = pa.array(ids, pa.int64()), words.bounds
         size = words.counts
         self.masks = []
         row = words.row_of()
-        for mask, length in [(m, 0) for m in MASKS] + [(m, n) for n in range(SHORTEST, OVERLAP) for m in short_masks(n)]:
+        for mask, length in [(m, 0) for m in MASKS] + [(m, n) for n in range(1, OVERLAP) for m in short_masks(n)]:
             at = np.arange(max(0, len(self.h) - mask[-1]))
             if length:
                 ok = (size[row[: len(at)]] == length) & (at == self.bounds[row[: len(at)]])
@@ -159,26 +160,28 @@ def _search(shared):
     def run(batches):
         take_worker("decontaminate")
         index = _index(*shared.value)
+        size = np.diff(index.bounds).astype(np.int64)
         for batch in batches:
             for x in slices(batch, limit=1 << 20):
                 words, h = _words(x.column("text"))
                 row, item, equal, first, end = index.overlaps(words, h).T
-                yield pa.record_batch({"doc_id": x.column("doc_id").cast(pa.int64()).take(pa.array(row)), "item_id": pa.array(index.ids[item]), "n_equal": pa.array(equal), "first_word": pa.array(first), "end_word": pa.array(end)})
+                yield pa.record_batch({"doc_id": x.column("doc_id").cast(pa.int64()).take(pa.array(row)), "item_id": index.ids.take(pa.array(item)), "n_equal": pa.array(equal), "first_word": pa.array(first), "end_word": pa.array(end), "item_words": pa.array(size[item])})
 
     return run
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document and benchmark item that overlap: doc_id, item_id, n_equal, first_word, end_word."""
+    """One row for each document and benchmark item that overlap: doc_id, item_id, n_equal, first_word, end_word, item_words."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where(F.length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + size // (4 * BLOCK_WORDS)
     out = None
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        rows = sorted(driver_rows(block, 16 * BLOCK_WORDS, "a block of the benchmark"), key=lambda r: (r.item_id is not None, r.item_id or 0, r.text))
         shared = docs.sparkSession.sparkContext.broadcast((tuple(r.item_id for r in rows), tuple(r.text for r in rows)))
-        found = docs.mapInArrow(_search(shared), "doc_id long, item_id long, n_equal long, first_word long, end_word long")
+        found = docs.mapInArrow(_search(shared), "doc_id long, item_id long, n_equal long, first_word long, end_word long, item_words long")
         out = found if out is None else out.unionByName(found)
     return out
 

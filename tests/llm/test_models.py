@@ -87,7 +87,7 @@ ITEMS = [(0, " ".join(f"item{k}" for k in range(30))), (1, "short items must mat
 def brute_overlap(text, item):
     words = lambda t: "".join(chr(c).lower() if chr(c).isalnum() or c >= 128 else " " for c in (t or "").encode()).split()
     d, q = words(text), words(item)
-    if len(q) < 5:
+    if not q:
         return False
     width = min(len(q), 13)
     need = 11 if width == 13 else -(-8 * width // 10) if width >= 9 else width
@@ -125,3 +125,55 @@ def test_overlaps_on_odd_rows_and_in_blocks(spark, odd, none, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)
     assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(odd, bench).collect()} == got
     assert decontaminate.overlaps(none, bench).count() == 0 == decontaminate.overlaps(odd, bench.limit(0)).count()
+
+
+def test_alphabets_of_any_size():
+    """Two languages of 2,000 letters each, none in common, many texts of a few letters: all letters count."""
+    rng = random.Random(5)
+    alphabets = {"a": [chr(0x4E00 + k) for k in range(2000)], "b": [chr(0x4E00 + 2000 + k) for k in range(2000)]}
+    sample = [(k, ["".join(rng.choices(v, k=256)) for _ in range(64)]) for k, v in alphabets.items()]
+    model = language_id.Model(sample)
+    texts = [("".join(rng.choices(alphabets[k], k=20)), k) for k in "ab" for _ in range(100)]
+    langs, score = model.predict([t for t, _ in texts])
+    assert sum(a == b for a, (_, b) in zip(langs, texts)) == 200 and min(score) > 0.9
+    assert len(model.table) < 3 * sum(len(t) for _, v in sample for t in v) + 5000
+
+
+def test_sample_comes_from_whole_texts(spark):
+    rows = [(i, "1" * 1200 + " the quick brown fox jumps over it" if i % 2 else "2" * 1200 + " der flinke braune Fuchs springt", "en" if i % 2 else "de") for i in range(100)]
+    rows += [(200 + i, "123 456", "en") for i in range(100)] + [(400, "x", "rare")]
+    samples = dict(language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert set(samples) == {"en", "de", "rare"}
+    assert sum(map(len, samples["en"])) > 500 and "quick" in "".join(samples["en"]) and "1" not in "".join(samples["en"])
+
+
+def test_more_languages_than_the_bounds(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_TEXTS", 8)
+    monkeypatch.setattr(language_id, "ALL_LETTERS", 400)
+    rows = [(i, f"{chr(97 + i % 20)} " * 50, f"l{i % 20}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language_id.learn(docs)
+    assert len(samples) == 20 and all(len(v) == 1 for _, v in samples)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, samples).collect()}
+    assert all(got[i] == k for i, _, k in rows)
+
+
+@pytest.mark.parametrize("n", range(1, 5))
+def test_items_below_five_words_are_found_and_marked(spark, n):
+    item = " ".join(f"s{k}" for k in range(n))
+    rows = [(1, f"x {item} y"), (2, item), (3, item.upper() + "!"), (4, " ".join(["s0", "z", *[f"s{k}" for k in range(1, n)]]) if n > 1 else "z"), (5, "nothing"), (6, None)]
+    bench = spark.createDataFrame([(7, item), (None, item + " and more words than five")], "item_id long, text string")
+    got = decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id, r.item_words) for r in got} == {(k, 7, n) for k in (1, 2, 3)}
+
+
+def test_word_hashes_tell_long_words_apart():
+    import numpy as np
+
+    from lagloom.llm.common import Words
+
+    signs = [bin(k).count("1") % 2 for k in range(1024)]
+    words = ["".join("ab"[s] for s in signs), "".join("ba"[s] for s in signs), "a", "a\0", "aaaaaaaa", "aaaaaaaaa", "a" * 512, "a" * 513, "b" * 70_000, "a"]
+    data = " ".join(words).encode()
+    h = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)])).hashes()
+    assert len(set(h.tolist())) == len(words) - 1 and h[2] == h[-1]
