@@ -1,20 +1,24 @@
-"""Near copies: components of texts whose sets of 5-word shingles have a Jaccard similarity of at least 0.8.
+"""Operator 5 on 5-word shingles: components of texts whose sets of shingles have a Jaccard similarity of at least 0.8.
 
 A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; a text of fewer words
 has its whole sequence as one shingle, texts without words are equal.  Texts
 with equal sets are one node.
 
-Candidates share one of ``BANDS`` keys of ``ROWS`` MinHash values each; a pair
+The SimHash trie (``simhash_trie.trie_links``) comes first: nodes whose 64-bit
+fingerprints of shingle hashes are linked at three bits are candidates, as a
+forest, so dense groups join without a pair for every two members.  The trie
+alone is not whole: the fingerprints of a pair at 0.8 differ in ten bits on
+average, and no error budget is both selective and complete.  So MinHash
+completes it: candidates share one of ``BANDS`` keys of ``ROWS`` values each; a pair
 at 0.8 has none in common with probability (1 - 0.8**4)**24 = 3e-6, a more
-similar pair with less.  (The 64-bit SimHash of a pair at 0.8 differs in ten bits
-on average, so no error budget is both selective and complete.)  Every
-link is verified by the exact Jaccard of the sets.  First each node is held
-against the least node of its keys and the one with most company, which joins
-dense groups without a pair for every two members; then all pairs of a key that
-lie in different components follow, but those of which over ``UNLIKE`` of 512
-further MinHash values differ in two bits (77 at 0.8 on average, deviation 8.1:
-more than 117 with probability 2e-6 or less).  No pair is left out for the size
-of its group.
+similar pair with less.
+
+Every link is verified by the exact Jaccard of the sets.  With the forest each
+node is held against the least node of its keys and the one with most company;
+then all pairs of a key that lie in different components follow, but those of
+which over ``UNLIKE`` of 512 further MinHash values differ in two bits (77 at 0.8 on
+average, deviation 8.1: more than 117 with probability 2e-6 or less).  No pair
+is left out for the size of its group.
 """
 
 from __future__ import annotations
@@ -26,8 +30,11 @@ from pyspark.sql import functions as F
 
 from lagloom.llm.common import LOWER, Words, materialize, mix, slices, spread, take_worker, text_bytes
 from lagloom.llm.components import stars
+from lagloom.llm.simhash_trie import trie_links, voted
 
 SHINGLE = 5
+#: Bits that may differ in linked fingerprints.
+BUDGET = 3
 BANDS, ROWS = 24, 4
 #: MinHash values that may differ in their two bits, and columns that hold 32 of them each.
 UNLIKE, SKETCH = 117, 16
@@ -111,7 +118,8 @@ def _print_batches(batches):
             ends = np.zeros(len(node) + 1, np.int32)
             ends[some + 1] = BANDS
             keys = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(_keys(h, bounds[some]).ravel().view(np.int64)))
-            yield pa.record_batch({"doc_id": x.column("doc_id").cast(pa.int64()), "text_key": x.column("text_key"), "node": pa.array(node.view(np.int64)), "keys": keys})
+            fp = voted(h, np.diff(bounds))
+            yield pa.record_batch({"doc_id": x.column("doc_id").cast(pa.int64()), "text_key": x.column("text_key"), "node": pa.array(node.view(np.int64)), "fp": pa.array(fp.view(np.int64)), "keys": keys})
 
 
 def _set_batches(batches):
@@ -158,10 +166,21 @@ def _verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame
     return materialize(both.where(SIMILAR).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links")
 
 
+def _forest(prints: DataFrame) -> DataFrame:
+    """Pairs of nodes (u, v): each with the first of its fingerprint, and those of linked fingerprints."""
+    nodes = prints.where("node <> 0").select("node", "fp").distinct()
+    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "leaves")
+    same = nodes.join(first, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    links = trie_links(first.select("fp"), BUDGET)
+    ends = [first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in "uv"]
+    near = links.join(ends[0], "u").join(ends[1], "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    return same.unionByName(near).where("u <> v")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (XXH64 of the text) and group of every row; rows of a group are linked by similar pairs."""
     sketch = [f"s{k}" for k in range(SKETCH)]
-    prints = materialize(spread(_texts(docs)).mapInArrow(_print_batches, "doc_id long, text_key long, node long, keys array<long>"), "prints")
+    prints = materialize(spread(_texts(docs)).mapInArrow(_print_batches, "doc_id long, text_key long, node long, fp long, keys array<long>"), "prints")
     rows = prints.select("node", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
     members = materialize(rows.join(shared, "key").distinct(), "members")
@@ -169,7 +188,7 @@ def groups(docs: DataFrame) -> DataFrame:
     hubs = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
     members = materialize(members.join(hubs, "key"), "members")
     pairs = members.select(F.col("node").alias("u"), F.explode(F.array("low", "hub")).alias("v")).where("u <> v")
-    tree = stars(_verified(docs, prints, pairs))
+    tree = stars(_verified(docs, prints, pairs.unionByName(_forest(prints))))
     named = members.join(tree.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = named.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
     left = materialize(named.join(apart, "key"), "open")

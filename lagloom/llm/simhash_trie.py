@@ -6,36 +6,32 @@ XXH64, seed 42, and a bit is 1 if it is set in over half of the hashes.  Null
 texts and texts without words have fingerprint zero and are linked like others.
 
 Trie join: distinct fingerprints are the leaves of a binary trie.  The join
-goes through pairs of nodes together, from the top, adds up the bits in which
-their paths differ, and drops a pair as soon as these exceed the error budget.
-The top of the trie is traversed as a DataFrame: node pairs at a depth that
-follows the number of fingerprints; pairs of nodes that hold too many are
-opened further, round by round.  The rest is traversed in tasks, level by
-level, on sorted arrays; a task gets one node with a batch of its partners and
-returns a spanning forest of the links it found, so no link between different
-texts is lost and copies are never paired with each other.
+goes through pairs of nodes together, adds up the bits in which their paths
+differ, and drops a pair as soon as these exceed the error budget.  It begins
+below the nodes where linked fingerprints must meet: of budget + 1 parts one is
+equal, so each part leads a trie of its own.  Nodes are traversed in tasks, level
+by level, on sorted arrays; a task returns a spanning forest of the links it
+found, so no link between different texts is lost and copies are never paired
+with each other.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lagloom.llm.common import LOWER, Words, documents, materialize, slices, spread, take_worker, text_bytes
 from lagloom.llm.components import stars
 
 BITS = 64
 SEED = 42
-#: Fingerprints a trie node at the first depth should hold, and that one task takes at most of one node.
-NODE, NODE_MAX = 1000, 200_000
-#: Fingerprints of partner nodes in one task.
-TASK = 1_000_000
+#: Fingerprints of a node that gets a task of its own, and that one task takes at most of one node.
+NODE, NODE_MAX = 5_000, 200_000
+#: Fingerprints in one task of small nodes, on average.
+TASK = 20_000
 
 
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = 3) -> np.ndarray:
@@ -57,7 +53,12 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = 3) ->
     last = np.minimum(at + shingle - 1, np.repeat(first + n - 1, count))
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(flat[a:b], SEED) for a, b in zip(start[at].tolist(), end[last].tolist())), np.uint64, len(at))
-    out = np.zeros(words.rows, np.uint64)
+    return voted(h, count)
+
+
+def voted(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Fingerprint of every row, which has so many of the hashes: bits set in over half of them."""
+    out = np.zeros(len(count), np.uint64)
     if len(h):
         some = np.flatnonzero(count)
         begin = (np.cumsum(count) - count)[some]
@@ -146,73 +147,82 @@ def traverse(leaves: np.ndarray, pairs: list[tuple[int, int, int, int, int]], de
     return _root(parent)
 
 
+def _prefix(column: str, depth: int):
+    return F.shiftrightunsigned(F.col(column), BITS - depth) if depth else F.lit(0).cast("long")
+
+
 def _join_task(budget):
+    """Links within one task: rows (p, q, depth, r) say that leaf r lies below node p or q; the pair of nodes is traversed together."""
+
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["depth", "p", "q", "leaves"]).to_pylist(), key=lambda r: r["q"])
-        depth, p = rows[0]["depth"], rows[0]["p"]
-        blocks = [np.sort(np.array(r["leaves"], np.int64).view(np.uint64)) for r in rows]
-        ends = np.cumsum([len(b) for b in blocks])
-        spans = {r["q"]: (int(e - len(b)), int(e)) for r, b, e in zip(rows, blocks, ends)}
-        own = spans[p]
-        pairs = [(*own, *s, (p ^ q).bit_count()) for q, s in spans.items() if q != p or any(r["q"] == p and r["self"] for r in table.select(["q", "self"]).to_pylist())]
-        leaves = np.concatenate(blocks)
+        depth = table.column("depth")[0].as_py()
+        r = table.column("r").to_numpy().view(np.uint64)
+        leaves = np.unique(r)
+        node = leaves >> np.uint64(BITS - depth) if depth else np.zeros(len(leaves), np.uint64)
+        if table.column("p")[0].as_py() is None:  # many small nodes, each with itself
+            edges = np.flatnonzero(np.diff(node, prepend=~node[:1]))
+            ends = np.append(edges[1:], len(node))
+            several = ends - edges > 1
+            pairs = np.stack([edges, ends, edges, ends, np.zeros(len(edges), np.int64)], 1)[several]
+        else:
+            p, q = (np.uint64(table.column(c)[0].as_py() & (2**64 - 1)) for c in ("p", "q"))
+            (a, b), (c, d) = (np.searchsorted(node, [x, x + np.uint64(1)]) for x in (p, q))
+            pairs = [(a, b, c, d, int(p ^ q).bit_count())]
         root = traverse(leaves, pairs, depth, budget)
         moved = np.flatnonzero(root != np.arange(len(leaves)))
-        u, v = leaves[moved].view(np.int64), leaves[root[moved]].view(np.int64)
+        part = np.int64(table.column("part")[0].as_py())
+        u, v = (_turned(leaves[x], -part).view(np.int64) for x in (moved, root[moved]))
         return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
     return run
 
 
-def _prefix(column: str, depth: int):
-    return F.shiftrightunsigned(F.col(column), BITS - depth) if depth else F.lit(0).cast("long")
-
-
-def _masks(depth: int, budget: int, low: int = 0) -> list[int]:
-    """Numbers below 2**depth with at most so many bits."""
-    out = [0]
-    for _ in range(min(budget, depth)):
-        out += [m | 1 << k for m in out for k in range(depth) if 1 << k > m]
-        out = list(dict.fromkeys(out))
-    return out
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    """The fingerprints with their bits turned left."""
+    by = int(by) % BITS
+    return x << np.uint64(by) | x >> np.uint64(BITS - by) if by else x
 
 
 def trie_links(leaves: DataFrame, budget: int = 3) -> DataFrame:
-    """Links (u, v), u > v, that connect exactly what fingerprints (column fp, distinct) at up to ``budget`` bits connect."""
+    """Links (u, v), u > v, that connect exactly what fingerprints (column fp, distinct) at up to ``budget`` bits connect.
+
+    Of budget + 1 disjoint parts of two linked fingerprints one is equal.  So
+    each part is put first in a trie of its own, and only pairs below one node at
+    the part's depth are traversed, with the whole budget: each leaf is sent
+    budget + 1 times at any number of leaves.  Small nodes share tasks; a node with
+    over ``NODE_MAX`` leaves is opened into its pairs of children within the
+    budget, round by round.
+    """
+    width = BITS // (budget + 1)
+    turn = lambda k: F.expr(f"shiftleft(fp, {k}) | shiftrightunsigned(fp, {BITS - k})") if k else F.col("fp")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), turn(k).alias("r")) for k in range(0, width * (budget + 1), width)])).alias("x")
+    rows = leaves.select(each).select("x.part", "x.r")
     total = leaves.count()
-    depth = max(0, min(24, round(math.log2(max(1, total) / NODE))))
-    nodes = lambda d: leaves.groupBy(_prefix("fp", d).alias("q")).agg(F.count("*").alias("n"))
-    masks = F.explode(F.array(*[F.lit(m).cast("long") for m in _masks(depth, budget)]))
-    here = materialize(nodes(depth), "nodes")
-    # of two nodes, the one with 0 in the lowest bit that differs takes the pair
-    pairs = here.select(F.col("q").alias("p"), F.col("n").alias("n_p"), masks.alias("mask")).where(F.expr("mask = 0 or (p & (mask & -mask)) = 0"))
-    pairs = pairs.withColumn("q", F.expr("p ^ mask")).join(here, "q").select("p", "q", "n_p", "n")
-    tasks = []
+    tasks = max(1, total // TASK)
+    counts = lambda d: rows.groupBy("part", _prefix("r", d).alias("p")).agg(F.count("*").alias("n"))
+    # nodes that are not small get tasks of their own; of a third of a task's leaves there are few
+    apart = materialize(counts(width).where(F.col("n") > NODE), "nodes")
+    small = rows.join(apart.select("part", "p"), (rows.part == apart.part) & (_prefix("r", width) == F.col("p")), "left_anti")
+    none = F.lit(None).cast("long")
+    sent = small.select("part", none.alias("p"), none.alias("q"), F.lit(width).alias("depth"), F.pmod(F.xxhash64(_prefix("r", width)), F.lit(tasks)).alias("task"), "r")
+    pairs, depth = apart.select("part", "p", F.col("p").alias("q"), "n", F.col("n").alias("m")), width
     while True:
-        pairs = materialize(pairs, "pairs")
-        fits = pairs.where((F.col("n_p") <= NODE_MAX) & (F.col("n") <= NODE_MAX))
-        tasks.append((depth, fits))
-        large = pairs.where((F.col("n_p") > NODE_MAX) | (F.col("n") > NODE_MAX))
-        if depth >= BITS or large.isEmpty():
+        large = (F.col("n") > NODE_MAX) | (F.col("m") > NODE_MAX)
+        fits = pairs if depth >= BITS else pairs.where(~large)
+        below = fits.select("part", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("node"))
+        mine = rows.withColumn("node", _prefix("r", depth)).join(below, ["part", "node"])
+        sent = sent.unionByName(mine.select("part", "p", "q", F.lit(depth).alias("depth"), F.lit(-1).cast("long").alias("task"), "r"))
+        if depth >= BITS or (open_ := pairs.where(large)).isEmpty():
             break
         step = min(4, BITS - depth)
         depth += step
-        below = materialize(nodes(depth), "nodes").withColumn("up", F.shiftrightunsigned("q", step))
-        a = below.select(F.col("q").alias("p2"), F.col("n").alias("n_p2"), F.col("up").alias("p"))
-        b = below.select(F.col("q").alias("q2"), F.col("n").alias("n2"), F.col("up").alias("q"))
-        pairs = large.select("p", "q").join(a, "p").join(b, "q").where((F.expr("bit_count(p2 ^ q2)") <= budget) & ((F.col("p") != F.col("q")) | (F.col("p2") <= F.col("q2"))))
-        pairs = pairs.select(F.col("p2").alias("p"), F.col("q2").alias("q"), F.col("n_p2").alias("n_p"), F.col("n2").alias("n"))
-    out = None
-    for d, fits in tasks:
-        blocks = leaves.groupBy(_prefix("fp", d).alias("q")).agg(F.collect_list("fp").alias("leaves"), F.count("*").alias("size")).where(F.col("size") <= NODE_MAX).drop("size")
-        batch = F.floor(F.sum("n").over(W.partitionBy("p").orderBy("q").rowsBetween(W.unboundedPreceding, 0)) / TASK)
-        work = fits.where("p <> q").withColumn("batch", batch).select("p", "q", "batch").withColumn("self", F.lit(False))
-        alone = fits.where("p = q").select("p", "q", F.lit(0).cast("long").alias("batch"), F.lit(True).alias("self"))
-        owners = work.select("p", F.col("p").alias("q"), "batch").distinct().join(alone.select("p", "batch"), ["p", "batch"], "left_anti").select("p", "q", "batch", F.lit(False).alias("self"))
-        sent = work.unionByName(alone).unionByName(owners).join(blocks, "q").withColumn("depth", F.lit(d))
-        found = sent.groupBy("p", "batch").applyInArrow(_join_task(budget), "u long, v long")
-        out = found if out is None else out.unionByName(found)
-    return out
+        children = counts(depth).withColumn("up", F.shiftrightunsigned("p", step))
+        a = children.select("part", F.col("p").alias("p2"), "n", F.col("up").alias("p"))
+        b = children.select("part", F.col("p").alias("q2"), F.col("n").alias("m"), F.col("up").alias("q"))
+        pairs = open_.select("part", "p", "q").join(a, ["part", "p"]).join(b, ["part", "q"])
+        pairs = pairs.where((F.expr("bit_count(p2 ^ q2)") <= budget) & ((F.col("p") != F.col("q")) | (F.col("p2") <= F.col("q2"))))
+        pairs = materialize(pairs.select("part", F.col("p2").alias("p"), F.col("q2").alias("q"), "n", "m"), "pairs")
+    return sent.groupBy("part", "depth", "p", "q", "task").applyInArrow(_join_task(budget), "u long, v long")
 
 
 def groups(docs: DataFrame, budget: int = 3, shingle: int = 3) -> DataFrame:
