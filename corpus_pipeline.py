@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagloom.llm import bpe_transducer, decontaminate, language_id, near_copies, substring_dedup
-from lagloom.llm.common import materialize
+from lagloom.llm.common import materialize, scratch
 from lagloom.llm.token_counts import tokenizer_path
 
 
@@ -42,10 +42,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item; a text is named by its hash, as doc_id may be null or have several texts."""
+    """Documents that overlap with no benchmark item of ``SHORTEST`` words or more; a text is named by its hash, as doc_id may be null or have several texts."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     key = F.xxhash64(F.col("text").cast("string"))
-    leaks = materialize(decontaminate.overlaps(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    leaks = materialize(decontaminate.overlaps(docs.select(key.alias("doc_id"), "text"), benchmark).where(F.col("item_words") >= decontaminate.SHORTEST).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     return docs.join(leaks, key == F.col("_leak"), "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
@@ -56,7 +56,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language),
-    ("near-dedup, Jaccard 0.8", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("substring dedup", repeats),
     ("benchmark decontamination", benchmark_leaks),
     ("BPE encoding and decoding", tokens),
@@ -68,8 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):  # a stage's own tables go once its rows are written
+            docs = materialize(stage(spark, docs, sf_dir), f"stage{k}", outlives=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
