@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagloom.functions.kernels import Kernel, LearnedKernel
+from lagloom.functions.kernels import FAMILIES, Kernel, LearnedKernel
 from lagloom.operators import solve, windows
 from lagloom.operators.diagnose import IdentifiabilityReport, identifiability
 from lagloom.operators.windows import BaselineComparison, FitData
@@ -143,6 +144,20 @@ def solve_grouped(rows: DataFrame, plans: dict[str, tuple]) -> DataFrame:
     return rows.groupBy("fit_id").applyInPandas(one, FIT_COLUMNS)
 
 
+def parametric_provenance(learner: Learner, lags: list[int], dt: float, parameters: dict[str, Any]) -> dict[str, Any]:
+    """What a parametric fit adds to its provenance: family, parameters found and started from, and the lag times."""
+    if learner.family not in FAMILIES:
+        return {}
+    times = np.array(lags, float) * dt
+    start = {k: v if isinstance(v, int) else float(v) for k, v in solve.initial_parameters(learner.family, times, learner.options).items()}
+    return {"parametric_family": learner.family, "parametric_parameters": parameters, "parametric_initial_parameters": start, "parametric_conversion_status": "ok", "parametric_conversion_message": None, "parametric_lag_time_grid_seconds": tuple(times.tolist())}
+
+
+def summarize_parametric_kernel(kernel: Kernel, *, family: str, parameters: dict[str, Any]) -> dict[str, Any]:
+    """The kernel's summary with its family and parameters."""
+    return {**kernel.summary(), "parametric_family": family, "parametric_parameters": dict(parameters)}
+
+
 def assemble(learner: Learner, data: FitData, dt: float, found: dict[str, Any], name: str, provenance: dict[str, Any]) -> KernelFitResult:
     """Kernel, diagnostics, baselines, warnings and provenance of a solved fit."""
     lags = data.lags
@@ -158,7 +173,7 @@ def assemble(learner: Learner, data: FitData, dt: float, found: dict[str, Any],
     report = identifiability(diagnostics, baseline, kernel, shape)
     n_rows = data.n_rows
     coverage = {"total_rows": n_rows, "valid_windows": data.n_windows, "train_windows": data.n_train, "validation_windows": data.n_windows - data.n_train, "retained_row_fraction": data.n_windows / max(1, n_rows), "retained_window_fraction": data.n_windows / max(1, n_rows - lags[-1])}
-    settings = {"family": learner.family, "loss": learner.loss, "huber_delta": learner.huber_delta, "validation_fraction": learner.validation_fraction, "learning_rate": learner.learning_rate, "max_epochs": learner.max_epochs, "smoothness_penalty": learner.smoothness_penalty, "dt": dt, "min_lag_steps": lags[0], "max_lag_steps": lags[-1], "parameters": found["parameters"], **provenance}
+    settings = {"family": learner.family, "loss": learner.loss, "huber_delta": learner.huber_delta, "validation_fraction": learner.validation_fraction, "learning_rate": learner.learning_rate, "max_epochs": learner.max_epochs, "smoothness_penalty": learner.smoothness_penalty, "dt": dt, "min_lag_steps": lags[0], "max_lag_steps": lags[-1], "parameters": found["parameters"], **parametric_provenance(learner, lags, dt, found["parameters"]), **provenance}
     digest = hashlib.sha256(json.dumps([settings, list(kernel.weights)], sort_keys=True, default=str).encode()).hexdigest()[:16]
     return KernelFitResult(kernel, diagnostics, report, baseline, shape, coverage, settings | {"fit_result_id": digest})
 
@@ -166,6 +181,10 @@ def assemble(learner: Learner, data: FitData, dt: float, found: dict[str, Any],
 def _learner(family: str, *names: str):
     def make(max_lag, **kwargs):
         options = {k: kwargs.pop(k) for k in names if k in kwargs}
+        for k, v in options.items():
+            low = 0 if k in ("init_delay", "init_log_mu") else math.ulp(0)
+            if k.startswith("init") and v is not None and not (math.isfinite(v) and (v >= low or k == "init_log_mu")):
+                raise ValueError(f"{k} must be finite and {'not negative' if low == 0 else 'positive'}")
         return Learner(max_lag, family=family, options={k: v for k, v in options.items() if v is not None}, **kwargs)
 
     make.__doc__ = f"A learner of the {family} family."
@@ -175,7 +194,7 @@ def _learner(family: str, *names: str):
 SimplexKernelLearner = _learner("simplex")
 ExponentialKernelLearner = _learner("exponential", "init_rate_lambda")
 GammaKernelLearner = _learner("gamma", "init_shape_alpha", "init_rate_beta")
-DelayedExponentialKernelLearner = _learner("delayed_exponential", "init_rate_lambda")
+DelayedExponentialKernelLearner = _learner("delayed_exponential", "init_delay", "init_rate_lambda")
 LogNormalKernelLearner = _learner("lognormal", "init_log_mu", "init_log_sigma")
 ErlangKernelLearner = _learner("erlang", "shape_k_candidates", "init_rate_beta")
 

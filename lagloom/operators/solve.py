@@ -75,6 +75,9 @@ class Family:
     def parameters(self, theta: np.ndarray) -> dict[str, float]:
         return {}
 
+    def starting(self) -> dict[str, float]:
+        return self.parameters(self.start())
+
 
 class Simplex(Family):
     def start(self):
@@ -216,12 +219,28 @@ def optimise(family: Family, xt, yt, xv, yv, *, loss="huber", delta=1.0, rate=0.
     return best
 
 
+def initial_parameters(kind: str, times: np.ndarray, options: dict[str, Any] | None = None) -> dict[str, float]:
+    """Where a fit of the family starts from."""
+    options = dict(options or {})
+    if kind == "delayed_exponential":
+        delay = options.pop("init_delay", None)
+        options.pop("delays", None)
+        return DelayedExponential(times, (times[0] + times[-1]) / 2 if delay is None else delay, **options).starting()
+    if kind == "erlang":
+        ks = options.pop("shape_k_candidates", tuple(range(1, 9)))
+        return Erlang(times, min(ks), **options).starting()
+    family = {"exponential": Exponential, "gamma": Gamma, "lognormal": LogNormal}.get(kind)
+    return family(times, **options).starting() if family else {}
+
+
 def fit(kind: str, times: np.ndarray, xt, yt, xv, yv, *, options: dict[str, Any] | None = None, **how) -> dict[str, Any]:
-    """Fit one family; the searched ones (Erlang shapes, delays) rank by validation, training loss, then the smaller value."""
+    """Fit one family; the searched ones (Erlang shapes, delays) rank by validation, training loss, then the smaller value.
+
+    All delays are searched, so init_delay only settles ties: the delay next to it is taken.
+    """
     options = dict(options or {})
     if kind == "simplex":
         return optimise(Simplex(times), xt, yt, xv, yv, **how)
-    how.pop("smoothness", None)
     if kind == "exponential":
         return optimise(Exponential(times, **options), xt, yt, xv, yv, **how)
     if kind == "gamma":
@@ -232,5 +251,7 @@ def fit(kind: str, times: np.ndarray, xt, yt, xv, yv, *, options: dict[str, Any]
         ks = options.pop("shape_k_candidates", tuple(range(1, 9)))
         return min((optimise(Erlang(times, k, **options), xt, yt, xv, yv, **how) | {"order": k} for k in ks), key=lambda r: (r["validation_loss"], r["train_loss"], r["order"]))
     if kind == "delayed_exponential":
-        return min((optimise(DelayedExponential(times, t, **options), xt, yt, xv, yv, **how) | {"order": t} for t in options.pop("delays", times)), key=lambda r: (r["validation_loss"], r["train_loss"], r["order"]))
+        wanted, delays = options.pop("init_delay", None), options.pop("delays", times)
+        order = lambda t: t if wanted is None else (abs(t - wanted), t)
+        return min((optimise(DelayedExponential(times, t, **options), xt, yt, xv, yv, **how) | {"order": order(t)} for t in delays), key=lambda r: (r["validation_loss"], r["train_loss"], r["order"]))
     raise ValueError(f"unknown learner family {kind!r}")
