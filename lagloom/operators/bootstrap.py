@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,29 +39,26 @@ class BlockedBootstrapConfig:
             raise ValueError("n_bootstrap and block_length must be positive")
 
 
-def blocked_splits(n_train: int, config: BlockedBootstrapConfig) -> list[np.ndarray]:
-    """Window numbers of each replicate: blocks at random starts, cut to n_train."""
+def block_starts(n_train: int, config: BlockedBootstrapConfig) -> np.ndarray:
+    """Starts of the blocks of each replicate (rows): as many as n_train windows take, in the order of the generator's draws."""
     length = config.block_length
     if length > n_train:
         raise ValueError("a block is longer than the training windows")
-    rng = np.random.default_rng(config.seed)
-    out = []
-    for _ in range(config.n_bootstrap):
-        found: list[np.ndarray] = []
-        while sum(map(len, found)) < n_train:
-            start = int(rng.integers(0, n_train - length + 1))
-            found.append(np.arange(start, start + length))
-        out.append(np.concatenate(found)[:n_train])
-    return out
+    return np.random.default_rng(config.seed).integers(0, n_train - length + 1, (config.n_bootstrap, -(-n_train // length)))
+
+
+def blocked_splits(n_train: int, config: BlockedBootstrapConfig) -> list[np.ndarray]:
+    """Window numbers of each replicate: blocks at random starts, cut to n_train."""
+    return [(s[:, None] + np.arange(config.block_length)).ravel()[:n_train] for s in block_starts(n_train, config)]
 
 
 def splits_frame(spark: SparkSession, n_train: int, config: BlockedBootstrapConfig) -> DataFrame:
-    """bootstrap_id, window_id, count: how often each replicate drew each window."""
-    rows = []
-    for b, ids in enumerate(blocked_splits(n_train, config)):
-        found, count = np.unique(ids, return_counts=True)
-        rows += [(b, int(i), int(c)) for i, c in zip(found, count)]
-    return spark.createDataFrame(rows, "bootstrap_id long, window_id long, count long")
+    """bootstrap_id, window_id, count: how often each replicate drew each window.  The driver makes the block starts, Spark the windows."""
+    starts = block_starts(n_train, config)
+    b, n = np.indices(starts.shape).reshape(2, -1)
+    blocks = spark.createDataFrame(pd.DataFrame({"bootstrap_id": b, "start": starts.ravel(), "n": np.minimum(config.block_length, n_train - n * config.block_length)}))
+    drawn = blocks.select("bootstrap_id", F.explode(F.expr("sequence(start, start + n - 1)")).alias("window_id"))
+    return drawn.groupBy("bootstrap_id", "window_id").count()
 
 
 @dataclass
@@ -156,7 +154,7 @@ def bootstrap_kernel_candidates(df: DataFrame, results: list[CandidateResult], *
     draws = splits_frame(spark, data.n_train, config)
     base = data.windows.select("window_id", "x", "y", "is_train")
     ids = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(config.n_bootstrap - 1).cast("long")))
-    drawn = base.where("is_train").join(F.broadcast(draws), "window_id").unionByName(base.where("NOT is_train").select("*", ids.alias("bootstrap_id"), F.lit(1).cast("long").alias("count")))
+    drawn = base.where("is_train").join(draws, "window_id").unionByName(base.where("NOT is_train").select("*", ids.alias("bootstrap_id"), F.lit(1).cast("long").alias("count")))
     drawn = drawn.select("bootstrap_id", "window_id", "x", "y", "is_train", "count")
     how = {"loss": loss, "delta": huber_delta, "rate": 0.05, "epochs": max_epochs, "smoothness": 0.0}
     samples, plans, rows = [], {}, None

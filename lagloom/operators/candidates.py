@@ -150,7 +150,7 @@ def fit_kernel_candidates(df: DataFrame, candidates: KernelCandidateSet, *, loss
                 r.kernel = fixed_kernel(c, dt)
                 r.train_loss, r.validation_loss = windows.weight_losses(data, {"k": list(r.kernel.weights)}, loss, huber_delta)["k"]
                 r.n_parameters = len(c.parameters)
-        except (ValueError, RuntimeError) as e:
+        except Exception as e:  # one candidate's failure must not end the others
             r.error = f"{type(e).__name__}: {e}"
     return out
 

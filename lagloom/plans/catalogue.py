@@ -8,6 +8,7 @@ learned, iterative or random, and are tested in tests/ instead.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ def _rounded(df: DataFrame, keep: tuple[str, ...] = ("t",), digits: int = 9) ->
     return df.select(*[ident(c) for c in keep], *[(F.round(ident(c), digits) + F.lit(0.0)).alias(c) for c, kind in df.dtypes if c not in keep and kind == "double"])
 
 
-def _features(name: str, signal: str, kernels: dict[str, K.Kernel], numeric: list[str] = (), category: dict[str, list[str]] | None = None, mass: str | None = None, ages: bool = False, chunk: int = fir.CHUNK) -> None:
+def _features(name: str, signal: str, kernels: dict[str, K.Kernel], numeric: list[str] = (), category: dict[str, list[str]] | None = None, mass: str | None = None, ages: bool = False, chunk: int = fir.CHUNK, stated: dict[str, str] | None = None) -> None:
     """Register one use of the builder, and the statement of the same features."""
     make, sql = signals.SIGNALS[signal]
     digits = 9 if signal == "events_hour" else 6
@@ -46,7 +47,7 @@ def _features(name: str, signal: str, kernels: dict[str, K.Kernel], numeric: lis
         out = b.transform(make(spark, d))
         return _rounded(out if ages else out.drop(*[c for c in out.columns if "_age_" in c]), digits=digits)
 
-    _add(name, query, statements.features(sql, kernels, list(numeric), category, mass, ages, digits))
+    _add(name, query, statements.features(sql, kernels, list(numeric), category, mass, ages, digits, stated))
 
 
 uniform = K.UniformKernel(6, HOUR)
@@ -64,7 +65,7 @@ _features("fir_erlang", "lineitem_day", {"er": K.ErlangKernel(3, 1 / 86400.0, 10
 _features("fir_weighted_mass", "lineitem_day", {"w": K.GammaKernel(2.0, 1 / 129600.0, 7, DAY)}, ["x"], mass="m")
 _features("fir_category", "events_hour", {"c": gamma}, [], {"cat": EVENT_TYPES})
 _features("fir_category_weighted", "lineitem_day", {"c": K.UniformKernel(5, DAY)}, [], {"cat": FLAGS}, mass="m")
-_features("fir_multi_kernel", "events_hour", {"u": uniform, "g": gamma, "d": K.FixedDelayKernel(2, 4, HOUR)}, ["x", "n"], {"cat": EVENT_TYPES}, ages=True)
+_features("fir_multi_kernel", "events_hour", {"u": uniform, "g": gamma, "d": K.FixedDelayKernel(2, 4, HOUR)}, ["x", "n"], {"cat": EVENT_TYPES}, ages=True, stated={"d": "CASE WHEN k = 2 THEN 1.0 ELSE 0.0 END"})
 _features("fir_halo_chunks", "lineitem_day", {"g": K.GammaKernel(3.0, 1 / 172800.0, 20, DAY)}, ["x"], chunk=256)
 _features("fir_age_only", "events_hour", {"g": gamma, "u": uniform}, ages=True)
 
@@ -189,7 +190,12 @@ _add("grid_gaps", lambda spark, d: signals.orders_day(spark, d).where("x IS NULL
 # kernels
 
 FAMILY_KERNELS = [K.FixedDelayKernel(4, 8, 60.0), K.UniformKernel(8, 60.0), K.ExponentialKernel(0.01, 8, 60.0), K.DelayedExponentialKernel(120.0, 0.01, 8, 60.0), K.GammaKernel(2.5, 0.02, 8, 60.0), K.LogNormalKernel(5.0, 0.5, 8, 60.0), K.ErlangKernel(3, 0.02, 8, 60.0), K.tank_kernel(0.7, 8, 60.0)]
-_kc = statements.kernel_cte("k", FAMILY_KERNELS)
+#: Kernels that are no density: where their weight lies.
+_STATED = {"fixed_delay": "CASE WHEN k = 4 THEN 1.0 ELSE 0.0 END", "tank": "0.3 * pow(0.7, k)", "a": "pow(0.65, k)", "p": "CASE k WHEN 3 THEN 0.25 WHEN 4 THEN 0.5 ELSE 0.25 END", "g": "CASE k WHEN 1 THEN 0.2 WHEN 2 THEN 0.5 ELSE 0.3 END"}
+_kc = statements.kernel_cte("k", FAMILY_KERNELS, _STATED)
+# the same for the kernels of the feature queries above
+USED_KERNELS = {"gamma_hours": gamma, "uniform_hours": uniform, "exponential_hours": K.ExponentialKernel(1 / 7200.0, 8, HOUR), "delayed_hours": K.DelayedExponentialKernel(7200.0, 1 / 7200.0, 8, HOUR), "lognormal_days": K.LogNormalKernel(12.5, 0.6, 10, DAY, 1), "erlang_days": K.ErlangKernel(3, 1 / 86400.0, 10, DAY), "gamma_days": K.GammaKernel(3.0, 1 / 172800.0, 20, DAY), "gamma_mass": K.GammaKernel(2.0, 1 / 129600.0, 7, DAY), "gamma_one": K.GammaKernel(1.0, 1 / 1200.0, 6, HOUR)}
+_add("kernel_table_used", lambda spark, d: _rounded(K.kernels_frame(spark, [replace(k, name=n) for n, k in USED_KERNELS.items()]), ("kernel_name", "lag_step")), f"WITH {statements.kernel_cte('k', USED_KERNELS)} SELECT kernel_name, lag_step::INTEGER AS lag_step, {statements.rounded(['lag_time', 'weight'])} FROM k")
 _add("kernel_table", lambda spark, d: _rounded(K.kernels_frame(spark, FAMILY_KERNELS), ("kernel_name", "lag_step")), f"WITH {_kc} SELECT kernel_name, lag_step::INTEGER AS lag_step, {statements.rounded(['lag_time', 'weight'])} FROM k")
 _add(
     "kernel_summary",
@@ -206,13 +212,13 @@ _ca, _cb = K.tank_kernel(0.65, 16, 60.0, "a"), K.GammaKernel(2.0, 0.02, 10, 60.0
 _add(
     "kernel_convolution",
     lambda spark, d: _rounded(K.convolve_frame(_ca.to_frame(spark), _cb.to_frame(spark)), ("lag_step",)),
-    f"WITH {statements.kernel_cte('a', [_ca])}, {statements.kernel_cte('b', [_cb])}, c AS (SELECT a.lag_step + b.lag_step AS lag_step, sum(a.weight * b.weight) AS w FROM a, b GROUP BY 1) SELECT lag_step::INTEGER AS lag_step, round(w / (SELECT sum(w) FROM c), 9) + 0.0 AS weight FROM c",
+    f"WITH {statements.kernel_cte('a', [_ca], _STATED)}, {statements.kernel_cte('b', [_cb])}, c AS (SELECT a.lag_step + b.lag_step AS lag_step, sum(a.weight * b.weight) AS w FROM a, b GROUP BY 1) SELECT lag_step::INTEGER AS lag_step, round(w / (SELECT sum(w) FROM c), 9) + 0.0 AS weight FROM c",
 )
 _cp = synthetic.discrete([3, 4, 5], [0.25, 0.5, 0.25], 60.0, "p")
 _add(
     "kernel_recycle",
     lambda spark, d: _rounded(K.recycle(0.4, _cp, 6, "r").to_frame(spark).select("lag_step", "weight"), ("lag_step",)),
-    f"WITH RECURSIVE {statements.kernel_cte('p', [_cp])}, r AS (SELECT 0 AS n, lag_step, weight FROM p UNION ALL SELECT n + 1, lag_step, weight FROM (SELECT r.n, r.lag_step + p.lag_step AS lag_step, sum(r.weight * p.weight) AS weight FROM r, p WHERE r.n < 5 GROUP BY 1, 2)), m AS (SELECT lag_step, sum(0.4 * power(0.6, n) * weight) AS w FROM r GROUP BY 1) SELECT lag_step::INTEGER AS lag_step, round(w / (SELECT sum(w) FROM m), 9) + 0.0 AS weight FROM m",
+    f"WITH RECURSIVE {statements.kernel_cte('p', [_cp], _STATED)}, r AS (SELECT 0 AS n, lag_step, weight FROM p UNION ALL SELECT n + 1, lag_step, weight FROM (SELECT r.n, r.lag_step + p.lag_step AS lag_step, sum(r.weight * p.weight) AS weight FROM r, p WHERE r.n < 5 GROUP BY 1, 2)), m AS (SELECT lag_step, sum(0.4 * power(0.6, n) * weight) AS w FROM r GROUP BY 1) SELECT lag_step::INTEGER AS lag_step, round(w / (SELECT sum(w) FROM m), 9) + 0.0 AS weight FROM m",
 )
 
 # windows, baselines and simple learners
@@ -370,8 +376,19 @@ def _bootstrap(spark, d):
 
 
 _add("bootstrap_intervals", _bootstrap)
-_boot = bootstrap.blocked_splits(200, bootstrap.BlockedBootstrapConfig(5, 16, 3))
-_add("bootstrap_splits", lambda spark, d: bootstrap.splits_frame(spark, 200, bootstrap.BlockedBootstrapConfig(5, 16, 3)), "WITH r(b, ids) AS (VALUES " + ", ".join(f"({b}, {i.tolist()})" for b, i in enumerate(_boot)) + ") SELECT b::BIGINT AS bootstrap_id, w::BIGINT AS window_id, count(*)::BIGINT AS count FROM (SELECT b, unnest(ids) AS w FROM r) GROUP BY 1, 2")
+#: The block starts that NumPy's default generator draws from seed 3 for five replicates of 200 windows in blocks of 16: fixed values.
+_STARTS = [
+    [150, 15, 33, 43, 33, 148, 160, 107, 7, 17, 61, 80, 114],
+    [88, 48, 29, 127, 135, 6, 21, 83, 72, 164, 95, 77, 79],
+    [123, 108, 31, 136, 139, 176, 145, 52, 59, 119, 120, 128, 160],
+    [54, 173, 0, 14, 180, 174, 55, 25, 58, 7, 164, 122, 108],
+    [45, 87, 35, 143, 87, 5, 47, 130, 96, 69, 46, 16, 112],
+]
+_add(
+    "bootstrap_splits",
+    lambda spark, d: bootstrap.splits_frame(spark, 200, bootstrap.BlockedBootstrapConfig(5, 16, 3)),
+    "WITH r(b, starts) AS (VALUES " + ", ".join(f"({b}, {s})" for b, s in enumerate(_STARTS)) + "), blocks AS (SELECT b, n, starts[n + 1] AS s FROM r, generate_series(0, 12) AS g(n)), drawn AS (SELECT b, s + k AS w FROM blocks, generate_series(0, 15) AS g(k) WHERE n * 16 + k < 200) SELECT b::BIGINT AS bootstrap_id, w::BIGINT AS window_id, count(*)::BIGINT AS count FROM drawn GROUP BY 1, 2",
+)
 
 # bootstrap tables over samples that SQL can make as well
 _add(
@@ -425,7 +442,7 @@ _gk = synthetic.discrete([1, 2, 3], [0.2, 0.5, 0.3], DAY, "g")
 _add(
     "genealogy_mass",
     lambda spark, d: _rounded(synthetic.mass_closure(synthetic.genealogy(signals.lineitem_day(spark, d), _gk.to_frame(spark), mass_col="m", unit="mill", path="main")), ("output_time", "is_warmup", "n_sources")),
-    f"WITH {signals.LINEITEM_DAY}, {statements.kernel_cte('k', [_gk])} SELECT (s.i + k.lag_step)::BIGINT AS output_time, s.i + k.lag_step < 3 AS is_warmup, count(*)::BIGINT AS n_sources, round(sum(k.weight), 9) + 0.0 AS total_fraction, round(sum(s.m * k.weight), 9) + 0.0 AS total_mass FROM sig s, k WHERE s.i + k.lag_step <= (SELECT max(i) FROM sig) GROUP BY 1, 2",
+    f"WITH {signals.LINEITEM_DAY}, {statements.kernel_cte('k', [_gk], _STATED)} SELECT (s.i + k.lag_step)::BIGINT AS output_time, s.i + k.lag_step < 3 AS is_warmup, count(*)::BIGINT AS n_sources, round(sum(k.weight), 9) + 0.0 AS total_fraction, round(sum(s.m * k.weight), 9) + 0.0 AS total_mass FROM sig s, k WHERE s.i + k.lag_step <= (SELECT max(i) FROM sig) GROUP BY 1, 2",
 )
 _add(
     "partial_fir",

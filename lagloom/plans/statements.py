@@ -67,7 +67,7 @@ def rounded(columns: list[str], digits: int = 9) -> str:
     return ", ".join(f'round("{c}", {digits}) + 0.0 AS "{c}"' for c in columns)
 
 
-def features(signal: str, kernels: dict[str, Kernel], numeric_cols: list[str], category: dict[str, list[str]] | None = None, mass: str | None = None, ages: bool = False, digits: int = 9) -> str:
+def features(signal: str, kernels: dict[str, Kernel], numeric_cols: list[str], category: dict[str, list[str]] | None = None, mass: str | None = None, ages: bool = False, digits: int = 9, stated: dict[str, str] | None = None) -> str:
     """The whole statement: t and the rounded features."""
     category = category or {}
     steps = sorted({k for x in kernels.values() for k in x.lag_steps})
@@ -84,15 +84,34 @@ def features(signal: str, kernels: dict[str, Kernel], numeric_cols: list[str], c
             names += [*(f"{kn}_cat_{c}_{v}_frac" for v in levels), f"{kn}_cat_{c}_entropy"]
     extra = ""
     if ages:
-        from lagloom.operators.fir import age_values
-
-        extra = "".join(f", round({num(v)}, {digits}) + 0.0 AS {kn}_age_{m}" for kn, k in kernels.items() for m, v in age_values(k).items())
-    return f"WITH {signal}, " + ", ".join(f"{n} AS ({b})" for n, b in ctes) + " SELECT t" + (f", {rounded(names, digits)}" if names else "") + extra + f" FROM {source}"
-
-
-def kernel_cte(name: str, kernels: list[Kernel]) -> str:
-    rows = ", ".join(f"('{k.name}', {s}, {num(s * k.dt)}, {num(w)})" for k in kernels for s, w in zip(k.lag_steps, k.weights))
-    return f"{name}(kernel_name, lag_step, lag_time, weight) AS (VALUES {rows})"
+        ctes = [("age", "SELECT kernel_name, sum(weight * lag_time) AS mean, min(lag_time) FILTER (cum >= 0.5) AS p50, min(lag_time) FILTER (cum >= 0.9) AS p90, coalesce(sum(weight) FILTER (lag_time >= threshold), 0) AS tail_gt_threshold FROM (SELECT *, sum(weight) OVER (PARTITION BY kernel_name ORDER BY lag_step) AS cum, min(lag_time) OVER (PARTITION BY kernel_name) + 0.75 * (max(lag_time) OVER (PARTITION BY kernel_name) - min(lag_time) OVER (PARTITION BY kernel_name)) AS threshold FROM kern) GROUP BY 1"), *ctes]
+        extra = "".join(f", round((SELECT {m} FROM age WHERE kernel_name = '{kn}'), {digits}) + 0.0 AS {kn}_age_{m}" for kn in kernels for m in ("mean", "p50", "p90", "tail_gt_threshold"))
+    head = f"{signal}, {kernel_cte('kern', kernels, stated)}" if ages else signal
+    return f"WITH {head}, " + ", ".join(f"{n} AS ({b})" for n, b in ctes) + " SELECT t" + (f", {rounded(names, digits)}" if names else "") + extra + f" FROM {source}"
+
+
+def density(kernel: Kernel) -> str:
+    """The family's density at lag time t (in seconds) and step k, up to a factor: from its definition, not from the weights."""
+    p = {k: num(v) for k, v in kernel.parameters.items()}
+    gamma = "CASE WHEN t > 0 THEN pow(t, {a} - 1) * exp(-{b} * t) WHEN {a} = 1 THEN 1.0 ELSE 0.0 END"
+    return {
+        "uniform": lambda: "1.0",
+        "exponential": lambda: f"exp(-{p['rate_lambda']} * t)",
+        "delayed_exponential": lambda: f"CASE WHEN t < {p['delay']} THEN 0.0 ELSE exp(-{p['rate_lambda']} * (t - {p['delay']})) END",
+        "gamma": lambda: gamma.format(a=p["shape_alpha"], b=p["rate_beta"]),
+        "erlang": lambda: gamma.format(a=p["shape_k"], b=p["rate_beta"]),
+        "lognormal": lambda: f"CASE WHEN t > 0 THEN exp(-pow((ln(t) - {p['log_mu']}) / {p['log_sigma']}, 2) / 2) / t ELSE 0.0 END",
+    }[kernel.family]()
+
+
+def kernel_cte(name: str, kernels: list[Kernel] | dict[str, Kernel], stated: dict[str, str] | None = None) -> str:
+    """CTE name(kernel_name, lag_step, lag_time, weight): each density on the kernel's lags, normalised.
+
+    stated: densities in SQL (of t and k) of kernels without a family, by name.
+    """
+    named = kernels if isinstance(kernels, dict) else {k.name: k for k in kernels}
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS kernel_name, k AS lag_step, t AS lag_time, ({(stated or {}).get(n) or density(x)})::DOUBLE AS w FROM (SELECT k::BIGINT AS k, k * {num(x.dt)} AS t FROM generate_series({x.min_lag_steps}, {x.max_lag_steps}) AS g(k))" for n, x in named.items())
+    return f"{name}(kernel_name, lag_step, lag_time, weight) AS (SELECT kernel_name, lag_step, lag_time, w / sum(w) OVER (PARTITION BY kernel_name) FROM ({rows}))"
 
 
 def windows(signal: str, x: str, y: str, steps: list[int]) -> str:
