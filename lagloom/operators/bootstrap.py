@@ -176,6 +176,7 @@ def bootstrap_kernel_candidates(df: DataFrame, results: list[CandidateResult], *
             cid, b = row.fit_id.split("\x1f")
             found = learn.row_result(row)
             samples.append({"bootstrap_id": int(b), "candidate_id": cid, "family": family[cid], "type": "learner", "weights": list(found["weights"]) if found["weights"] else None, "parameters": found["parameters"], "validation_loss": found["validation_loss"], "error": found["error"]})
+    data.release()
     selected: dict[int, str | None] = {}
     for b in range(config.n_bootstrap):
         good = [s for s in samples if s["bootstrap_id"] == b and s["error"] is None]

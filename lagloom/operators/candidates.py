@@ -114,44 +114,65 @@ def fit_kernel_candidates(df: DataFrame, candidates: KernelCandidateSet, *, loss
     if INDEX not in df.columns:
         df = grid_index(df, time_col=cs.time_col, dt=dt)
     prepared: dict[tuple[int, int], windows.FitData] = {}
-    out = []
-    for c in cs.candidates:
-        r = CandidateResult(c)
-        out.append(r)
+    losses: dict[tuple[int, int], dict[str, float]] = {}
+    out = [CandidateResult(c) for c in cs.candidates]
+    learners: dict[str, tuple] = {}
+
+    def kept(r: CandidateResult, step) -> None:
         try:
-            low, high = lag_to_steps(c.min_lag, dt=dt), lag_to_steps(c.max_lag, dt=dt)
-            if (low, high) not in prepared:
-                prepared[low, high] = windows.prepare(df, input_col=cs.input_col, target_col=cs.target_col, lags=list(range(low, high + 1)), validation_fraction=FRACTION, own_x0_scaling=True)
-            data = prepared[low, high]
-            r.context = (dt, FRACTION, data.n_windows, data.n_train, loss, huber_delta)
-            if c.candidate_type == "learner":
-                if c.family not in LEARNED:
-                    raise ValueError(f"no learner for family {c.family!r}")
-                learner = learn.Learner(high, min_lag=low, loss=loss, huber_delta=huber_delta, family=c.family, max_epochs=max_epochs, options=c.parameters)
-                found = learner.solve(data, dt)
-                if found["error"]:
-                    raise RuntimeError(found["error"])
-                r.fit_result = learn.assemble(learner, data, dt, found, c.candidate_id, {"input_col": cs.input_col, "target_col": cs.target_col, "time_col": cs.time_col})
-                r.kernel, b = r.fit_result.kernel, r.fit_result.baseline_comparison
-                r.train_loss, r.validation_loss = found["train_loss"], found["validation_loss"]
-                r.no_lag, r.best_single_lag = b.no_lag_validation_loss, b.best_single_lag_validation_loss
-                r.warning_codes = r.fit_result.identifiability_report.warning_codes
-                r.n_parameters = len(data.lags) if c.family == "simplex" else len(found["parameters"])
-                continue
-            losses = windows.baseline_losses(data, loss, huber_delta)
-            r.no_lag, r.best_single_lag = losses["no_lag"], losses["best_single_lag"]
-            if c.candidate_type == "baseline":
-                if c.family not in BASELINES:
-                    raise ValueError(f"unknown baseline {c.family!r}")
-                r.validation_loss, r.n_parameters = losses[c.family], 0
-            else:
-                if c.family not in FIXED:
-                    raise ValueError(f"unknown kernel family {c.family!r}")
-                r.kernel = fixed_kernel(c, dt)
-                r.train_loss, r.validation_loss = windows.weight_losses(data, {"k": list(r.kernel.weights)}, loss, huber_delta)["k"]
-                r.n_parameters = len(c.parameters)
+            step()
         except Exception as e:  # one candidate's failure must not end the others
             r.error = f"{type(e).__name__}: {e}"
+
+    def describe(r: CandidateResult) -> None:
+        c = r.candidate
+        low, high = lag_to_steps(c.min_lag, dt=dt), lag_to_steps(c.max_lag, dt=dt)
+        if (low, high) not in prepared:
+            prepared[low, high] = windows.prepare(df, input_col=cs.input_col, target_col=cs.target_col, lags=list(range(low, high + 1)), validation_fraction=FRACTION, own_x0_scaling=True)
+        data = prepared[low, high]
+        r.context = (dt, FRACTION, data.n_windows, data.n_train, loss, huber_delta)
+        if c.candidate_type == "learner":
+            if c.family not in LEARNED:
+                raise ValueError(f"no learner for family {c.family!r}")
+            own = {k: v for k, v in c.parameters.items() if k in ("max_epochs", "learning_rate", "smoothness_penalty")}
+            options = {k: v for k, v in c.parameters.items() if k not in own}
+            learners[c.candidate_id] = (learn.Learner(high, min_lag=low, loss=loss, huber_delta=huber_delta, family=c.family, options=options, **{"max_epochs": max_epochs, **own}), data, dt)
+            return
+        if (low, high) not in losses:
+            losses[low, high] = windows.baseline_losses(data, loss, huber_delta)
+        base = losses[low, high]
+        r.no_lag, r.best_single_lag = base["no_lag"], base["best_single_lag"]
+        if c.candidate_type == "baseline":
+            if c.family not in BASELINES:
+                raise ValueError(f"unknown baseline {c.family!r}")
+            r.validation_loss, r.n_parameters = base[c.family], 0
+        else:
+            if c.family not in FIXED:
+                raise ValueError(f"unknown kernel family {c.family!r}")
+            r.kernel = fixed_kernel(c, dt)
+            r.train_loss, r.validation_loss = windows.weight_losses(data, {"k": list(r.kernel.weights)}, loss, huber_delta)["k"]
+            r.n_parameters = len(c.parameters)
+
+    def finish(r: CandidateResult) -> None:
+        c, found = r.candidate, solved[r.candidate.candidate_id]
+        if found["error"]:
+            raise RuntimeError(found["error"])
+        learner, data, _ = learners[c.candidate_id]
+        r.fit_result = learn.assemble(learner, data, dt, found, c.candidate_id, {"input_col": cs.input_col, "target_col": cs.target_col, "time_col": cs.time_col})
+        r.kernel, b = r.fit_result.kernel, r.fit_result.baseline_comparison
+        r.train_loss, r.validation_loss = found["train_loss"], found["validation_loss"]
+        r.no_lag, r.best_single_lag = b.no_lag_validation_loss, b.best_single_lag_validation_loss
+        r.warning_codes = r.fit_result.identifiability_report.warning_codes
+        r.n_parameters = len(data.lags) if c.family == "simplex" else len(found["parameters"])
+
+    for r in out:
+        kept(r, lambda r=r: describe(r))
+    solved = learn.solve_all(learners)  # one grouped job
+    for r in out:
+        if r.candidate.candidate_id in learners:
+            kept(r, lambda r=r: finish(r))
+    for data in prepared.values():
+        data.release()
     return out
 
 

@@ -4,7 +4,7 @@ Windows are prepared as DataFrames.  The fixed-delay and uniform learners are
 aggregates.  The others solve a small numeric problem per fit: all fits of a
 call (pairs, candidates, folds, bootstrap replicates) are rows of one
 DataFrame and run as grouped tasks; an exception becomes that row's error.
-A fit's windows must fit one worker; ``MAX_CELLS`` guards that.
+Fits of over ``MAX_CELLS`` window cells are not moved to one worker, see ``solve_all``.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from lagloom.functions.kernels import FAMILIES, Kernel, LearnedKernel
 from lagloom.operators import solve, windows
 from lagloom.operators.diagnose import IdentifiabilityReport, identifiability
 from lagloom.operators.windows import BaselineComparison, FitData
-from lagloom.sources.grid import INDEX, grid_index, lag_to_steps, resolve_dt
+from lagloom.sources.grid import INDEX, check_order, grid_index, lag_to_steps, resolve_dt
 
 MAX_CELLS = 100_000_000
 FIT_COLUMNS = "fit_id string, weights array<double>, train_loss double, validation_loss double, parameters string, error string"
@@ -100,20 +100,92 @@ class Learner:
             df = grid_index(df, time_col=time_col, dt=dt)
         return windows.prepare(df, input_col=input_col, target_col=target_col, lags=self.steps(dt), validation_fraction=self.validation_fraction), dt
 
-    def fit(self, df: DataFrame, *, input_col: str, target_col: str, time_col: str, order_by_time: bool = True) -> KernelFitResult:
+    def fit(self, df: DataFrame, *, input_col: str, target_col: str, time_col: str, order_by_time: bool = True, input_order_col: str | None = None) -> KernelFitResult:
+        """Rows are put in order of time; without order_by_time, input_order_col tells the order they came in, and time must not fall along it."""
+        if not order_by_time:
+            if input_order_col is None:
+                raise ValueError("without order_by_time an input_order_col must tell the order of the rows")
+            check_order(df, time_col=time_col, input_order_col=input_order_col)
         data, dt = self.prepare(df, input_col=input_col, target_col=target_col, time_col=time_col)
-        found = self.solve(data, dt)
-        if found["error"]:
-            raise RuntimeError(found["error"])
-        return assemble(self, data, dt, found, f"{input_col}->{target_col}", {"input_col": input_col, "target_col": target_col, "time_col": time_col})
+        with data:
+            found = self.solve(data, dt)
+            if found["error"]:
+                raise RuntimeError(found["error"])
+            return assemble(self, data, dt, found, f"{input_col}->{target_col}", {"input_col": input_col, "target_col": target_col, "time_col": time_col})
 
     def solve(self, data: FitData, dt: float) -> dict[str, Any]:
-        fit_id = "fit"
-        if data.n_windows * len(data.lags) > MAX_CELLS:
-            raise ValueError("too many window cells for one fit; aggregate or sample the series first")
-        rows = data.windows.select(F.lit(fit_id).alias("fit_id"), "window_id", "x", "y", "is_train")
-        out = solve_grouped(rows, {fit_id: (self.family, data.lags, dt, self.options, self.how())}).first()
-        return row_result(out)
+        return solve_all({"fit": (self, data, dt)})["fit"]
+
+
+class FrameData:
+    """Windows of any size where they lie: an epoch is one aggregate of losses and gradient."""
+
+    def __init__(self, data: FitData):
+        self.windows, self.lags = data.windows.select("x", "y", "is_train"), len(data.lags)
+
+    def score(self, w: np.ndarray, loss: str, delta: float) -> tuple[float, np.ndarray, float]:
+        def part(batches):
+            for pdf in batches:
+                if len(pdf):
+                    x, y, train = np.stack(pdf["x"].to_numpy()).astype(float), pdf["y"].to_numpy(float), pdf["is_train"].to_numpy(bool)
+                    r = x @ w - y
+                    value = [solve.loss_value(r[k], None, loss, delta) * k.sum() if k.any() else 0.0 for k in (train, ~train)]
+                    slope = x[train].T @ (solve.loss_slope(r[train], None, loss, delta) * train.sum()) if train.any() else np.zeros(len(w))
+                    yield pd.DataFrame([[int(train.sum()), value[0], int((~train).sum()), value[1], *slope]], columns=names)
+
+        names = ["n", "t", "m", "v", *[f"g{k}" for k in range(self.lags)]]
+        schema = ", ".join(f"{c} {'long' if c in 'nm' else 'double'}" for c in names)
+        r = self.windows.mapInPandas(part, schema).agg(*[F.sum(c).alias(c) for c in names]).first()
+        return r.t / r.n, np.array([r[f"g{k}"] for k in range(self.lags)]) / r.n, r.v / r.m
+
+
+def gram_of(data: FitData) -> solve.Gram:
+    """Products of the windows, summed where they lie: enough for the squared loss, at any size."""
+    size = len(data.lags)
+
+    def part(batches):
+        for pdf in batches:
+            for train, g in pdf.groupby("is_train"):
+                x, y = np.stack(g["x"].to_numpy()).astype(float), g["y"].to_numpy(float)
+                whole = np.concatenate([x, y[:, None]], 1)
+                products = whole.T @ whole
+                yield pd.DataFrame({"is_train": bool(train), "pos": np.arange(products.size), "v": products.ravel(), "n": len(g)})
+
+    rows = data.windows.select("x", "y", "is_train").mapInPandas(part, "is_train boolean, pos int, v double, n long")
+    found = rows.groupBy("is_train", "pos").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).orderBy("is_train", "pos").collect()  # two squares of the lags
+    out = []
+    for train in (True, False):
+        mine = [r for r in found if r.is_train == train]
+        m = np.array([r.v for r in mine]).reshape(size + 1, size + 1)
+        out.append((m[:size, :size], m[:size, size], m[size, size], mine[0].n))
+    return solve.Gram(*out)
+
+
+def solve_all(fits: dict[str, tuple[Learner, FitData, float]]) -> dict[str, dict[str, Any]]:
+    """Results of several fits by name; a failure is kept as text.
+
+    Fits whose windows fit a worker (``MAX_CELLS``) are solved together as one
+    grouped job.  Larger ones stay where they lie: with the squared loss as
+    products of the windows, with the Huber loss by one aggregate an epoch.
+    """
+    out, rows, plans = {}, None, {}
+    for name, (learner, data, dt) in fits.items():
+        try:
+            if type(learner).solve is not Learner.solve:
+                out[name] = learner.solve(data, dt)
+            elif data.n_windows * len(data.lags) > MAX_CELLS:
+                held = gram_of(data) if learner.loss == "mse" else FrameData(data)
+                r = solve.fit_data(learner.family, np.array(data.lags) * dt, held, options=learner.options, **learner.how())
+                out[name] = {"weights": tuple(r["weights"].tolist()), "train_loss": r["train_loss"], "validation_loss": r["validation_loss"], "parameters": r["parameters"], "error": None}
+            else:
+                part = data.windows.select(F.lit(name).alias("fit_id"), "window_id", "x", "y", "is_train")
+                rows = part if rows is None else rows.unionByName(part)
+                plans[name] = (learner.family, data.lags, dt, learner.options, learner.how())
+        except Exception as e:  # one failed fit must not end the others
+            out[name] = {"weights": None, "train_loss": None, "validation_loss": None, "parameters": {}, "error": f"{type(e).__name__}: {e}"}
+    if rows is not None:
+        out |= {r.fit_id: row_result(r) for r in solve_grouped(rows, plans).collect()}  # one row a fit
+    return out
 
 
 def row_result(row) -> dict[str, Any]:
@@ -278,7 +350,7 @@ class SharedSimplexKernelLearner:
         self.learner = Learner(max_lag, family="simplex", **kwargs)
 
     def fit(self, df: DataFrame, *, pairs: list[tuple[str, str]], time_col: str, pair_names: list[str] | None = None) -> SharedKernelFitResult:
-        prepared, rows, plans, out = {}, None, {}, []
+        prepared, fits, out = {}, {}, []
         for n, (a, b) in enumerate(pairs):
             pid = (pair_names[n].strip() if pair_names else "") or f"{a}->{b}"
             try:
@@ -286,14 +358,13 @@ class SharedSimplexKernelLearner:
             except ValueError as e:
                 prepared[pid] = (a, b, None, None, str(e))
                 continue
-            prepared[pid] = (a, b, data, dt, None)
-            plans[pid] = ("simplex", data.lags, dt, {}, self.learner.how())
-            part = data.windows.select(F.lit(pid).alias("fit_id"), "window_id", "x", "y", "is_train")
-            rows = part if rows is None else rows.unionByName(part)
-        solved = {r.fit_id: row_result(r) for r in solve_grouped(rows, plans).collect()} if rows is not None else {}
+            prepared[pid], fits[pid] = (a, b, data, dt, None), (self.learner, data, dt)
+        solved = solve_all(fits)
         for pid, (a, b, data, dt, error) in prepared.items():
             found = solved.get(pid)
             error = error or (found["error"] if found else "no result")
             fit = None if error else assemble(self.learner, data, dt, found, pid, {"input_col": a, "target_col": b, "time_col": time_col})
             out.append(SharedPairFitResult(pid, a, b, fit, error))
+            if data is not None:
+                data.release()
         return SharedKernelFitResult(tuple(out))

@@ -197,18 +197,41 @@ class LogNormal(Family):
         return {"log_mu": float(theta[0]), "log_sigma": softplus(theta[1]) + FLOOR}
 
 
-def optimise(family: Family, xt, yt, xv, yv, *, loss="huber", delta=1.0, rate=0.05, epochs=800, smoothness=0.0, weight=None) -> dict[str, Any]:
-    """Best weights by validation loss over the epochs, with both losses and the parameters."""
+class Arrays:
+    """Windows held in memory: scores weights and their slope."""
+
+    def __init__(self, xt, yt, xv, yv, weight=None):
+        self.xt, self.yt, self.xv, self.yv, self.weight = xt, yt, xv, yv, weight
+
+    def score(self, w: np.ndarray, loss: str, delta: float) -> tuple[float, np.ndarray, float]:
+        """Training loss, its gradient by the weights, and validation loss."""
+        r = self.xt @ w - self.yt
+        return loss_value(r, self.weight, loss, delta), self.xt.T @ loss_slope(r, self.weight, loss, delta), loss_value(self.xv @ w - self.yv, None, loss, delta)
+
+
+class Gram:
+    """Products of the windows of both parts, (x'x, x'y, y'y, n), which are all that the squared loss needs."""
+
+    def __init__(self, train, valid):
+        self.parts = (train, valid)
+
+    def score(self, w: np.ndarray, loss: str, delta: float) -> tuple[float, np.ndarray, float]:
+        if loss != "mse":
+            raise ValueError("products of the windows give the squared loss only")
+        (xx, xy, yy, n), (vx, vy, vv, m) = self.parts
+        return float((w @ xx @ w - 2 * w @ xy + yy) / n), 2 * (xx @ w - xy) / n, float((w @ vx @ w - 2 * w @ vy + vv) / m)
+
+
+def optimise(family: Family, data, *, loss="huber", delta=1.0, rate=0.05, epochs=800, smoothness=0.0) -> dict[str, Any]:
+    """Best weights by validation loss over the epochs, with both losses and the parameters; data scores weights (see Arrays)."""
     theta, adam, best = family.start().astype(float), None, None
     adam = Adam(len(theta), rate)
     for _ in range(epochs):
         z, d = family.logits(theta)
         w = softmax(z)
-        r = xt @ w - yt
-        valid = loss_value(xv @ w - yv, None, loss, delta)
+        train, g, valid = data.score(w, loss, delta)
         if best is None or valid < best["validation_loss"]:
-            best = {"weights": w.copy(), "train_loss": loss_value(r, weight, loss, delta), "validation_loss": valid, "parameters": family.parameters(theta)}
-        g = xt.T @ loss_slope(r, weight, loss, delta)
+            best = {"weights": w.copy(), "train_loss": train, "validation_loss": valid, "parameters": family.parameters(theta)}
         if smoothness and len(w) > 1:
             step = np.diff(w)
             s = np.zeros(len(w))
@@ -233,25 +256,30 @@ def initial_parameters(kind: str, times: np.ndarray, options: dict[str, Any] | N
     return family(times, **options).starting() if family else {}
 
 
-def fit(kind: str, times: np.ndarray, xt, yt, xv, yv, *, options: dict[str, Any] | None = None, **how) -> dict[str, Any]:
+def fit_data(kind: str, times: np.ndarray, data, *, options: dict[str, Any] | None = None, **how) -> dict[str, Any]:
     """Fit one family; the searched ones (Erlang shapes, delays) rank by validation, training loss, then the smaller value.
 
     All delays are searched, so init_delay only settles ties: the delay next to it is taken.
     """
     options = dict(options or {})
     if kind == "simplex":
-        return optimise(Simplex(times), xt, yt, xv, yv, **how)
+        return optimise(Simplex(times), data, **how)
     if kind == "exponential":
-        return optimise(Exponential(times, **options), xt, yt, xv, yv, **how)
+        return optimise(Exponential(times, **options), data, **how)
     if kind == "gamma":
-        return optimise(Gamma(times, **options), xt, yt, xv, yv, **how)
+        return optimise(Gamma(times, **options), data, **how)
     if kind == "lognormal":
-        return optimise(LogNormal(times, **options), xt, yt, xv, yv, **how)
+        return optimise(LogNormal(times, **options), data, **how)
     if kind == "erlang":
         ks = options.pop("shape_k_candidates", tuple(range(1, 9)))
-        return min((optimise(Erlang(times, k, **options), xt, yt, xv, yv, **how) | {"order": k} for k in ks), key=lambda r: (r["validation_loss"], r["train_loss"], r["order"]))
+        return min((optimise(Erlang(times, k, **options), data, **how) | {"order": k} for k in ks), key=lambda r: (r["validation_loss"], r["train_loss"], r["order"]))
     if kind == "delayed_exponential":
         wanted, delays = options.pop("init_delay", None), options.pop("delays", times)
         order = lambda t: t if wanted is None else (abs(t - wanted), t)
-        return min((optimise(DelayedExponential(times, t, **options), xt, yt, xv, yv, **how) | {"order": order(t)} for t in delays), key=lambda r: (r["validation_loss"], r["train_loss"], r["order"]))
+        return min((optimise(DelayedExponential(times, t, **options), data, **how) | {"order": order(t)} for t in delays), key=lambda r: (r["validation_loss"], r["train_loss"], r["order"]))
     raise ValueError(f"unknown learner family {kind!r}")
+
+
+def fit(kind: str, times: np.ndarray, xt, yt, xv, yv, *, weight=None, **how) -> dict[str, Any]:
+    """fit_data on arrays."""
+    return fit_data(kind, times, Arrays(xt, yt, xv, yv, weight), **how)

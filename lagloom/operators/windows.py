@@ -6,6 +6,7 @@ inputs, so data of any length is prepared where it lies.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,8 @@ from lagloom.sources.grid import INDEX
 EPS = 1e-12
 EXPONENTIAL_GRID = [4.0 * k / 32 for k in range(33)]
 MIN_WINDOWS = 8
+#: Values that one task may hold, and bins of a counting pass.
+FEW, BINS = 200_000, 1024
 #: Terms that a sum over lags writes out.
 UNROLLED = 16
 MARGIN = 0.05
@@ -59,15 +62,65 @@ def robust_scaling(values: DataFrame, column: str = "v") -> Scaling:
     return robust_scalings(values.select(F.lit("v").alias("kind"), F.col(column).alias("v"))).get("v", Scaling(0.0, 1.0))
 
 
+def ranked(values: DataFrame, wanted: list[tuple[str, int]]) -> dict[tuple[str, int], float]:
+    """The value of each wanted (kind, rank from 0) among the values (kind, v), exactly.
+
+    Every pass counts the values of each open range in ``BINS`` equal bins and goes
+    on with the bin that holds the rank, until a bin has one value or few values
+    in all.  So no task and no buffer holds more than ``FEW`` values of a kind.
+    """
+    out, open_ = {}, {}
+    edges = {r.kind: (r.lo, r.hi, r.n) for r in values.groupBy("kind").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).collect()}  # a row a kind
+    for kind, rank in wanted:
+        lo, hi, n = edges[kind]
+        open_[kind, rank] = (lo, hi, rank, n)
+    while open_:
+        few, ranges = {}, {}
+        for key, (lo, hi, rank, n) in open_.items():
+            if lo == hi:
+                out[key] = lo
+            else:
+                (few if n <= FEW else ranges)[key] = (lo, hi, rank, n)
+        if few:
+            spans = sorted({(k, lo, hi) for (k, _), (lo, hi, _, _) in few.items()})
+            inside = F.explode(F.filter(F.array(*[F.when((F.col("kind") == k) & F.col("v").between(lo, hi), F.lit(n)) for n, (k, lo, hi) in enumerate(spans)]), lambda x: x.isNotNull())).alias("span")
+            sets = {r.span: r.vs for r in values.select(inside, "v").groupBy("span").agg(F.array_sort(F.collect_list("v")).alias("vs")).collect()}  # FEW values a span
+            for key, (lo, hi, rank, _) in few.items():
+                out[key] = sets[spans.index((key[0], lo, hi))][rank]
+        open_ = {}
+        if ranges:
+            spans = sorted({(k, lo, hi) for (k, _), (lo, hi, _, _) in ranges.items()})
+            place = [F.when((F.col("kind") == k) & F.col("v").between(lo, hi), F.struct(F.lit(n).alias("span"), F.least(F.lit(BINS - 1), F.floor((F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2) * BINS)).alias("bin"))) for n, (k, lo, hi) in enumerate(spans)]
+            counts = values.select("v", F.explode(F.filter(F.array(*place), lambda x: x.isNotNull())).alias("p")).groupBy("p.span", "p.bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()  # BINS rows a span
+            bins: dict[int, list] = {}
+            for r in sorted(counts, key=lambda r: r.lo):
+                bins.setdefault(r.span, []).append(r)
+            for key, (lo, hi, rank, _) in ranges.items():
+                for r in bins[spans.index((key[0], lo, hi))]:
+                    if rank < r.n:
+                        open_[key] = (r.lo, r.hi, rank, r.n)
+                        break
+                    rank -= r.n
+    return out
+
+
 def robust_scalings(values: DataFrame) -> dict[str, Scaling]:
-    """The scaling of every kind of the values (kind, v), in one job."""
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = {}
-    for r in values.where("v IS NOT NULL").groupBy("kind").agg(q.alias("q"), F.stddev_pop("v").alias("sd")).collect():  # a row a kind
-        scale = r.q[2] - r.q[0]
+    """The scaling of every kind of the values (kind, v): median and quartile range, exactly and at any size."""
+    values, out = values.where("v IS NOT NULL"), {}
+    counts = values.groupBy("kind").agg(F.count("*").alias("n"), F.stddev_pop("v").alias("sd")).collect()  # a row a kind
+    if max((r.n for r in counts), default=0) <= FEW:
+        q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        quartiles = {r.kind: list(r.q) for r in values.groupBy("kind").agg(q.alias("q")).collect()}
+    else:
+        at = {r.kind: [q * (r.n - 1) for q in (0.25, 0.5, 0.75)] for r in counts}
+        found = ranked(values, sorted({(k, int(f(x))) for k, xs in at.items() for x in xs for f in (math.floor, math.ceil)}))
+        quartiles = {k: [(1 - x % 1) * found[k, math.floor(x)] + x % 1 * found[k, math.ceil(x)] for x in xs] for k, xs in at.items()}
+    for r in counts:
+        low, middle, high = quartiles[r.kind]
+        scale = high - low
         if scale <= EPS:
             scale = r.sd if r.sd is not None and r.sd > EPS else 1.0
-        out[r.kind] = Scaling(r.q[1], scale)
+        out[r.kind] = Scaling(middle, scale)
     return out
 
 
@@ -89,10 +142,23 @@ class FitData:
     y_scaling: Scaling
     x0_scaling: Scaling
 
+    held: DataFrame | None = None
+
     @property
     def n_rows(self) -> int:
         return self.rows.count()
 
+    def release(self) -> None:
+        """Give up the stored windows; they are made anew if still asked for."""
+        if self.held is not None:
+            self.held.unpersist()
+
+    def __enter__(self) -> FitData:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
 
 def prepare(df: DataFrame, *, input_col: str, target_col: str, lags: list[int], validation_fraction: float = 0.2, own_x0_scaling: bool = False) -> FitData:
     """Windows split in time and scaled by the statistics of the training part.
@@ -102,6 +168,8 @@ def prepare(df: DataFrame, *, input_col: str, target_col: str, lags: list[int],
     """
     raw = lag_windows(df, input_col=input_col, target_col=target_col, lags=lags).persist(StorageLevel.MEMORY_AND_DISK)
     n = raw.count()
+    if n < MIN_WINDOWS:
+        raw.unpersist()
     if n == 0:
         raise ValueError("no window is complete")
     if n < MIN_WINDOWS:
@@ -113,7 +181,7 @@ def prepare(df: DataFrame, *, input_col: str, target_col: str, lags: list[int],
     xs, ys = found["x"], found["y"]
     x0s = xs if 0 in lags or not own_x0_scaling else found.get("x0", Scaling(0.0, 1.0))
     scaled = raw.select("window_id", F.transform("x", lambda v: (v - xs.center) / xs.scale).alias("x"), ((F.col("x0") - x0s.center) / x0s.scale).alias("x0"), ((F.col("y") - ys.center) / ys.scale).alias("y"), (F.col("window_id") < cut).alias("is_train"))
-    return FitData(scaled, list(lags), df, n, cut, xs, ys, x0s)
+    return FitData(scaled, list(lags), df, n, cut, xs, ys, x0s, raw)
 
 
 def loss_of(residual: Column, loss: str, delta: float) -> Column:
@@ -157,8 +225,6 @@ def single_lag_losses(data: FitData, loss: str = "huber", delta: float = 1.0) ->
 
 
 def exponential_weights(n: int, alpha: float) -> list[float]:
-    import math
-
     w = [math.exp(-alpha * i) for i in range(n)]
     return [x / sum(w) for x in w]
 

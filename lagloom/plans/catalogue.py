@@ -456,4 +456,9 @@ _lv = ", ".join(f"('{s}', '{t}', {k}, '{m}', {num(p)})" for s, t, k, m, p in _li
 _add("graph_lag_candidates", lambda spark, d: graph.lag_candidates(spark, _GRAPH, ["a", "b"], p_matrix=_PVAL).drop("value"), f"SELECT source, target, tau::INTEGER AS tau, mark, p_value FROM (VALUES {_lv}) AS l(source, target, tau, mark, p_value)")
 _add("graph_lag_table", lambda spark, d: graph.lag_candidate_table(graph.lag_candidates(spark, _GRAPH, ["a", "b"])).drop("taus"), f"SELECT source, target, count(*)::BIGINT AS n_links, min(tau)::INTEGER AS min_tau, max(tau)::INTEGER AS max_tau FROM (VALUES {_lv}) AS l(source, target, tau, mark, p_value) GROUP BY 1, 2")
 _sk = K.UniformKernel(4, 1.0)
-_add("kernel_support_mass", lambda spark, d: _rounded(graph.support_mass(_sk.to_frame(spark), graph.parent_pairs(spark, _GRAPH, ["a", "b"])), ("agrees",)), f"WITH {statements.kernel_cte('k', [_sk])}, l(tau) AS (VALUES (1), (2)) SELECT round(coalesce(sum(weight) FILTER (tau IS NOT NULL), 0), 9) + 0.0 AS mass_inside, round(coalesce(sum(weight) FILTER (tau IS NULL), 0), 9) + 0.0 AS mass_outside, coalesce(sum(weight) FILTER (tau IS NULL), 0) <= 0.2 AS agrees FROM k LEFT JOIN l ON l.tau = k.lag_step")
+_add("kernel_support_mass", lambda spark, d: _rounded(graph.support_mass(_sk.to_frame(spark), graph.parent_pairs(spark, _GRAPH, ["a", "b"])), ("agrees", "n_shared_lags")), f"WITH {statements.kernel_cte('k', [_sk])}, l(tau) AS (VALUES (1), (2)) SELECT round(coalesce(sum(weight) FILTER (tau IS NOT NULL), 0), 9) + 0.0 AS mass_inside, round(coalesce(sum(weight) FILTER (tau IS NULL), 0), 9) + 0.0 AS mass_outside, coalesce(sum(weight) FILTER (tau IS NULL), 0) <= 0.2 AS agrees, count(tau)::BIGINT AS n_shared_lags FROM k LEFT JOIN l ON l.tau = k.lag_step")
+_add(
+    "graph_link_summary",
+    lambda spark, d: graph.link_summary(graph.lag_candidates(spark, _GRAPH, ["a", "b"], p_matrix=_PVAL)).select("source", "target", F.concat_ws(",", "lag_steps").alias("lag_steps"), "min_lag_steps", "max_lag_steps", "median_lag_steps", F.concat_ws(",", "graph_marks").alias("graph_marks"), "p_value_min", "p_value_max"),
+    f"SELECT source, target, string_agg(tau, ',' ORDER BY tau) AS lag_steps, min(tau)::INTEGER AS min_lag_steps, max(tau)::INTEGER AS max_lag_steps, floor(median(tau))::INTEGER AS median_lag_steps, min(mark) AS graph_marks, min(p_value) AS p_value_min, max(p_value) AS p_value_max FROM (VALUES {_lv}) AS l(source, target, tau, mark, p_value) GROUP BY 1, 2",
+)

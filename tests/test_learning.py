@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.sql import functions as F
 
 from lagloom.functions import kernels as K
 from lagloom.operators import bootstrap, candidates, learn, oof, solve, windows
@@ -140,5 +142,120 @@ def test_estimator(spark):
     t = KernelFeatureTransformer(time_col="time", numeric_cols=["input_signal"], learner=learn.FixedDelayKernelLearner(8), input_col="input_signal", target_col="target_signal", include_time_col=False)
     out = t.fit(df).transform(df)
     assert "time" not in out.columns and out.count() == 100
+    assert all(c.startswith("learned_") for c in out.columns)
     with pytest.raises(ValueError):
         KernelFeatureTransformer(time_col="time")
+
+
+def test_saved_pipelines(spark, tmp_path):
+    """Estimator and model come back from a folder, alone and in a pipeline, and do the same."""
+    df = synthetic.make_dataset("single_delay", n_rows=100).frame(spark)
+    one = KernelFeatureTransformer(time_col="time", numeric_cols=["input_signal"], learner=learn.FixedDelayKernelLearner(8), input_col="input_signal", target_col="target_signal", kernel_name="k")
+    two = KernelFeatureTransformer(time_col="time", numeric_cols=["input_signal"], kernels={"u": K.UniformKernel(3, 60.0)}, passthrough=True)
+    Pipeline(stages=[two]).write().overwrite().save(f"file://{tmp_path}/pipeline")
+    one.write().overwrite().save(f"file://{tmp_path}/one")
+    rows = lambda m: sorted(map(str, m.transform(df).collect()))
+    model = one.fit(df)
+    assert rows(KernelFeatureTransformer.load(f"file://{tmp_path}/one").fit(df)) == rows(model)
+    whole = Pipeline.load(f"file://{tmp_path}/pipeline").fit(df)
+    whole.write().overwrite().save(f"file://{tmp_path}/fitted")
+    assert rows(PipelineModel.load(f"file://{tmp_path}/fitted")) == rows(two.fit(df))
+    assert model.get_feature_names_out(df)[0] == "k_num_input_signal_wmean"
+
+
+FAMILIES = {"simplex": {}, "exponential": {}, "gamma": {}, "lognormal": {}, "erlang": {"shape_k_candidates": (2,)}, "delayed_exponential": {"delays": (2.0,)}}
+
+
+def _toy():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(90, 9))
+    y = x @ np.array([0, 0, 0.1, 0.5, 0.2, 0.1, 0.1, 0, 0]) + rng.normal(0, 0.05, 90)
+    return x[:70], y[:70], x[70:], y[70:]
+
+
+@pytest.mark.parametrize("family", FAMILIES)
+def test_smoothness_is_part_of_every_fit(family):
+    """Against plain Adam on a numeric gradient of loss + penalty."""
+    xt, yt, xv, yv = _toy()
+    times = np.arange(9.0)
+    made = {"simplex": solve.Simplex, "exponential": solve.Exponential, "gamma": solve.Gamma, "lognormal": solve.LogNormal, "erlang": lambda t: solve.Erlang(t, 2), "delayed_exponential": lambda t: solve.DelayedExponential(t, 2.0)}[family](times)
+
+    def total(theta, penalty):
+        w = solve.softmax(made.logits(theta)[0])
+        return solve.loss_value(xt @ w - yt, None, "huber", 1.0) + penalty * float((np.diff(w) ** 2).mean())
+
+    theta, m, v, best = made.start().astype(float), 0.0, 0.0, None
+    for k in range(1, 31):
+        w = solve.softmax(made.logits(theta)[0])
+        valid = solve.loss_value(xv @ w - yv, None, "huber", 1.0)
+        best = (valid, w) if best is None or valid < best[0] else best
+        g = np.array([(total(theta + h, 5.0) - total(theta - h, 5.0)) / 2e-6 for h in np.eye(len(theta)) * 1e-6])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta - 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    got = solve.fit(family, times, xt, yt, xv, yv, options=FAMILIES[family], epochs=30, smoothness=5.0)
+    plain = solve.fit(family, times, xt, yt, xv, yv, options=FAMILIES[family], epochs=30)
+    assert got["validation_loss"] == pytest.approx(best[0], abs=1e-5) and np.allclose(got["weights"], best[1], atol=1e-4)
+    assert not np.allclose(got["weights"], plain["weights"], atol=1e-6)
+
+
+def test_init_delay_is_checked_and_reported(spark):
+    s = synthetic.make_dataset("single_delay", n_rows=120)
+    fit = learn.DelayedExponentialKernelLearner(8, init_delay=120.0, max_epochs=5).fit(s.frame(spark), input_col="input_signal", target_col="target_signal", time_col="time")
+    p = fit.fit_provenance
+    assert p["parametric_initial_parameters"]["delay"] == 120.0 and p["parametric_family"] == "delayed_exponential"
+    assert learn.summarize_parametric_kernel(fit.kernel, family="delayed_exponential", parameters=p["parametric_parameters"])["parametric_parameters"] == p["parametric_parameters"]
+    with pytest.raises(ValueError):
+        learn.DelayedExponentialKernelLearner(8, init_delay=-1.0)
+
+
+@pytest.mark.parametrize("loss,epochs", [("mse", 40), ("huber", 4)])
+def test_fits_of_any_size(spark, monkeypatch, loss, epochs):
+    """Windows that do not fit a worker give the same fit where they lie."""
+    s = synthetic.make_dataset("gamma_kernel", n_rows=150)
+    learner = learn.GammaKernelLearner(8, min_lag=1, loss=loss, max_epochs=epochs)
+    data, dt = learner.prepare(s.frame(spark), input_col="input_signal", target_col="target_signal", time_col="time")
+    want = learner.solve(data, dt)
+    monkeypatch.setattr(learn, "MAX_CELLS", 10)
+    got = learner.solve(data, dt)
+    assert got["error"] is None and np.allclose(got["weights"], want["weights"], atol=1e-7) and got["validation_loss"] == pytest.approx(want["validation_loss"], rel=1e-6)
+
+
+def test_quartiles_in_passes(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    values = {"a": rng.normal(size=3001), "b": np.concatenate([np.zeros(900), rng.exponential(size=100), [1e9]]), "c": np.full(500, 3.0)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v], "kind string, v double")
+    want = windows.robust_scalings(df)
+    monkeypatch.setattr(windows, "FEW", 20)
+    monkeypatch.setattr(windows, "BINS", 8)
+    got = windows.robust_scalings(df)
+    for k, v in values.items():
+        q = np.quantile(v, [0.25, 0.5, 0.75])
+        assert got[k].center == pytest.approx(q[1], abs=1e-12) and got[k].center == pytest.approx(want[k].center) and got[k].scale == pytest.approx(want[k].scale)
+
+
+def test_out_of_fold_reports_and_evidence(spark):
+    df = synthetic.make_dataset("spread_delay", n_rows=200).frame(spark)
+    C = candidates.KernelCandidate
+    cs = candidates.KernelCandidateSet("input_signal", "target_signal", "time", (C("good", "fixed_delay", "fixed_kernel", 8, 0, {"delay_steps": 5}), C("broken", "gamma", "fixed_kernel", 8, 0, {"x": 1})))
+    for per_fold in (True, False):
+        r = oof.fit_transform_oof(df, input_col="input_signal", target_col="target_signal", time_col="time", split_config=oof.ForwardChainingSplitConfig(2, 100, 40), candidate_set=cs, select_candidate_per_fold=per_fold)
+        if per_fold and not r.transforms:
+            continue
+        report = r.combined_report
+        assert report.warmup_rows == sum(x.warmup_rows for x in r.fold_reports) == 16 == report.warmup_unusable_summary["warmup_rows"]
+        assert report.missing_rows_by_kernel == {"oof": sum(x.missing_rows_by_kernel["oof"] for x in r.fold_reports)}
+        assert report.collision_naming_summary["feature_count_by_kernel"] == {"oof": len(report.feature_names)}
+        assert r.split_summary["rows_with_features"] + r.split_summary["rows_without_features"] == 200
+        assert {e.feature_name for e in r.evidence.feature_evidence} == set(report.feature_names)
+        e = r.evidence.feature_evidence[0]
+        assert e.candidate_id == "good" and e.metadata["evidence_scope"] == "oof" and [f["fold_id"] for f in e.metadata["fold_evidence"]] == [0, 1]
+
+
+def test_order_of_rows_is_checked(spark):
+    df = synthetic.make_dataset("single_delay", n_rows=100).frame(spark).withColumn("n", F.monotonically_increasing_id())
+    learner, columns = learn.UniformKernelLearner(4), {"input_col": "input_signal", "target_col": "target_signal", "time_col": "time"}
+    assert learner.fit(df, **columns, order_by_time=False, input_order_col="time").kernel.weights
+    with pytest.raises(ValueError):
+        learner.fit(df.withColumn("n", -F.unix_micros(F.col("time").cast("timestamp"))), **columns, order_by_time=False, input_order_col="n")
+    with pytest.raises(ValueError):
+        learner.fit(df, **columns, order_by_time=False)

@@ -57,12 +57,50 @@ def test_graph_links(spark):
         links = graph.parent_pairs(spark, GRAPH, ["a", "b"])
     assert [tuple(r) for r in links.collect()] == [("a", "a", 1, "-->"), ("a", "b", 1, "-->"), ("a", "b", 2, "-->"), ("b", "a", 2, "-->")]
     cs = graph.candidate_set_from_links(links, source="a", target="b", time_col="t", dt=60.0)
-    assert {c.family for c in cs.candidates} == {"fixed_delay", "uniform", "gamma", "exponential", "simplex"}
+    assert [c.family for c in cs.candidates] == [*graph.FAMILIES, "no_lag", "best_single_lag"]
+    by = {c.family: c for c in cs.candidates}
+    assert (by["gamma"].candidate_type, by["gamma"].parameters) == ("learner", {"init_shape_alpha": 2.0, "init_rate_beta": 1 / 120})
+    assert by["fixed_delay"].parameters == {"delay_steps": 1} and by["best_single_lag"].max_lag == 1 and by["erlang"].min_lag == 1
     got = graph.compare_kernel_to_links(spark, K.UniformKernel(3, 1.0), links.where("source = 'a' AND target = 'b'"))
     assert got["mass_inside"] == 0.5 and not got["agrees"]
     assert graph.lag_candidate_dict(links)["a->b"] == [1, 2]
 
 
+def test_candidates_without_links_are_the_baselines(spark):
+    links = graph.parent_pairs(spark, GRAPH, {"0": "a", 1: "b"})
+    with pytest.warns(UserWarning, match="LAG_RANGE_EMPTY"):
+        cs = graph.candidate_set_from_links(links, source="b", target="b", time_col="t")
+    assert [(c.family, c.max_lag) for c in cs.candidates] == [("no_lag", 0), ("best_single_lag", 1)]
+    assert all(c.metadata["generated_reason"] == "LAG_RANGE_EMPTY" for c in cs.candidates)
+
+
+def test_marks_ranges_and_evidence(spark):
+    with pytest.warns(UserWarning, match="GRAPH_MARK_UNSUPPORTED"):
+        assert graph.parent_pairs(spark, GRAPH, ["a", "b"], marks=("o-o",)).count() == 0
+    assert [r.tau for r in graph.parent_pairs(spark, {"graph": GRAPH}, ["a", "b"], lag_step_range=(2, 2)).collect()] == [2, 2]
+    p = [[[1.0, 0.01, 0.5], [1.0, 0.5, 0.02]], [[0.9, 0.03, 0.04], [1.0, 0.5, 0.5]]]
+    with pytest.warns(UserWarning, match="VALUES_NOT_KERNEL_WEIGHTS"):
+        found = graph.link_summary(graph.lag_candidates(spark, GRAPH, ["a", "b"], p_matrix=p, val_matrix={"val_matrix": p})).where("source = 'a' AND target = 'b'").first()
+    assert (found.lag_steps, found.median_lag_steps, found.p_value_min, found.value_max, found.graph_marks) == ([1, 2], 1, 0.03, 0.04, ["-->"])
+    cs = graph.candidate_set_from_links(graph.lag_candidates(spark, GRAPH, ["a", "b"], p_matrix=p), source="a", target="b", time_col="t", families=("gamma", "odd"), family_defaults={"gamma": {"rate_beta": 7.0}})
+    assert [c.family for c in cs.candidates] == ["gamma", "no_lag", "best_single_lag"] and cs.candidates[0].parameters["init_rate_beta"] == 7.0
+    assert cs.candidates[0].metadata["lag_evidence_summary"]["p_value_max"] == 0.04
+    for names in (["a"], ["a", "a"], {0: "a"}, ["a", ""]):
+        with pytest.raises(graph.GraphPayloadError):
+            graph.parent_pairs(spark, GRAPH, names)
+    with pytest.raises(ValueError):
+        graph.parent_pairs(spark, GRAPH, ["a", "b"], lag_step_range=(3, 1))
+    with pytest.raises(graph.GraphPayloadError):
+        graph.lag_candidates(spark, GRAPH, ["a", "b"], p_matrix=[[[0.1]]])
+
+
+def test_support_threshold(spark):
+    with pytest.warns(UserWarning, match="KERNEL_SUPPORT_THRESHOLD_BREACH"):
+        got = graph.compare_kernel_to_links(spark, K.UniformKernel(3, 1.0), [1, 2])
+    assert (got["mass_outside"], got["n_shared_lags"], got["agrees"]) == (0.5, 2, False)
+    assert graph.compare_kernel_to_links(spark, K.UniformKernel(3, 1.0), [1, 2], 0.5)["agrees"]
+
+
 @pytest.mark.parametrize("cube", [[], [[["-->"]], [["-->"]]], [[["-->", 1]]], "[[]]", [[["a"], ["b", "c"]], [["a"], ["b"]]]])
 def test_bad_cubes_raise(cube):
     with pytest.raises(graph.GraphPayloadError):
