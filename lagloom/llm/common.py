@@ -141,20 +141,29 @@ def materialize(df: DataFrame, tag: str, outlives: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, tag: str, key: str, buckets: int, then=None) -> DataFrame:
-    """Write the frame as a table bucketed by key, so that tables of as many buckets join without a shuffle.
-
-    then: what to do with the frame once it is dealt by key, without a shuffle of its own.
-    """
-    spark, buckets = df.sparkSession, min(buckets, 100_000)
-    dealt = df.repartition(buckets, key)
-    path, name = new_path(spark, tag), f"lagloom_{tag}_{uuid.uuid4().hex}"
-    (then(dealt) if then else dealt).write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name, format="parquet")
+def bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
+    """Write the frame, which is dealt into ``buckets`` partitions as Spark hashes the key, as a table so bucketed: such tables join without a shuffle."""
+    spark, path, name = df.sparkSession, new_path(df.sparkSession, tag), f"lagloom_{tag}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name, format="parquet")
     if _scopes:
         _scopes[-1].append(f"{TABLE_MARK}{name}")
     return spark.table(name)
 
 
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of whole numbers of 64 bits, by which it deals rows into partitions and buckets (Murmur3, 32 bits, seed 42)."""
+    x = np.asarray(x, np.int64).view(np.uint64)
+    rotl = lambda v, r: (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+    h = np.full(x.shape, 42, np.uint32)
+    for half in (x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)):
+        k = rotl(half.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = rotl(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
@@ -226,14 +235,14 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hash of every word: eight bytes at a time through a finaliser, and its length."""
+    def hashes(self, key: int = 0) -> np.ndarray:
+        """64-bit hash of every word: eight bytes at a time through a finaliser, and its length; key: a secret one, so that no texts can be made to collide."""
         size = self.ends - self.starts
         eight = np.ndarray((len(self.data) + 1,), "<u8", np.concatenate([self.data, np.zeros(8, np.uint8)]), strides=(1,))
-        out = mix(size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        out = mix(size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(key))
         live, at, left = np.arange(len(size)), self.starts, size
         if (long := size > LONG_WORD).any():
-            out[long] = [int.from_bytes(hashlib.blake2b(self.data[a:b].tobytes(), digest_size=8).digest(), "little") for a, b in zip(self.starts[long], self.ends[long])]
+            out[long] = [int.from_bytes(hashlib.blake2b(self.data[a:b].tobytes(), digest_size=8, key=key.to_bytes(8, "little")).digest(), "little") for a, b in zip(self.starts[long], self.ends[long])]
             live, at, left = live[~long], at[~long], left[~long]
         while len(live):
             out[live] = mix((out[live] ^ (eight[at] & _TAIL[np.minimum(left, 8)])) + np.uint64(0x9E3779B97F4A7C15))

@@ -2,13 +2,13 @@
 
 Names
 -----
-Spark names everything globally, one round a level, and a name stands for one
-content only.  Round 0 names words (by a keyed 128-bit BLAKE2b of their bytes),
-round 1 pairs and runs of two words, round 2 pairs of the symbols of round 1.
-Pages send the distinct contents they hold, dealt by hash; the reducer numbers
-those that occur twice at least and returns the numbers.  What occurs once in
-all documents gets no name: it is dead, no window that contains it is repeated,
-and nothing is built upon it, so later rounds are smaller.
+A word is known by a keyed 64-bit hash of its bytes.  Above it Spark gives all
+names, one round a level: round 1 names pairs and runs of two words, round 2 pairs
+of the symbols of round 1.  Pages send the distinct contents they hold, dealt by
+hash; the reducer numbers those that occur twice at least and returns the
+numbers.  What occurs once in all documents gets no name: it is dead, no window
+that contains it is repeated, and nothing is built upon it.  Only what lies in a
+window that may still be repeated is sent, so later rounds are smaller.
 
 Which neighbours merge is decided by a hash bit of their names (one is a left,
 the other a right symbol), that is by these two alone.  A run of equal words never
@@ -23,17 +23,20 @@ copies.  The symbols around a cut (two of round 2, beside them two of round 1,
 beside them two words: at most 7 words a side, so all inside the window) are its
 high-level symbol.  Each window takes the least hash of those of its cuts;
 round 3 tells which of these symbols are shared.  A window without a dead symbol
-whose high-level symbol is shared is a candidate; round 4 compares candidates
-by 128-bit keyed hashes of their 20 word names and tells which of them an earlier
-page has.  The words under windows that start earlier elsewhere are removed.
+whose high-level symbol is shared is a candidate.  Round 4 verifies: it compares
+candidates by 128 bits, two sums of their 20 words, which are hashed anew with keys
+of their own, and tells which of them an earlier page has.  Keys are drawn for each
+call, so no texts can be made to collide.  The words under windows that start
+earlier elsewhere are removed.
 
 Plan
 ----
-Documents go in doc_id order into pages of ``PAGE_BYTES``; words become codes
-into the page's own vocabulary.  Pages and replies are tables bucketed by page,
-so pages are dealt once and every round shuffles only its distinct contents, as
-packed blocks: one row for a page and a bucket, never more than there are names.
-A passage that fills a third of the rows costs a name a page.
+Documents go in doc_id order into pages of ``PAGE_BYTES``.  Pages and replies are
+tables bucketed by page (a page's number is chosen so that the range of documents
+it comes from is its bucket), so the text is shuffled once and every round shuffles
+only its distinct contents, as packed blocks: one row for a page and a bucket,
+never more than there are names.  A passage that fills a third of the rows costs a
+name a page.
 
 Null and empty texts have no words; repeated doc_ids count in an order fixed by
 their text; extra columns are ignored, or carried along when texts are rewritten.
@@ -52,52 +55,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import bucketed, documents, mix, slices, take_worker, text_bytes
+from lagloom.llm.common import Words, bucketed, documents, mix, slices, spark_hash, take_worker, text_bytes
 
 WINDOW = 20
 #: Words of a window's edge in which no cut is looked for, and words a side that a cut's symbol may span.
 EDGE = 7
-PAGE_BYTES = 2 << 20
+PAGE_BYTES = 1 << 20
 #: Names that one reducer should hold.
 BLOCK_NAMES = 1_500_000
 LEAST_BUCKETS = 32
-#: Bytes of text in one range of documents, and pages in one bucket of the page tables.
-RANGE_BYTES, SHELF = 128 << 20, 24
+#: Bytes of text in one range of documents, which is one bucket of the page tables; Spark takes so many buckets.
+RANGE_BYTES, MOST_BUCKETS = 32 << 20, 100_000
 NONE = np.uint64(2**64 - 1)
 
 
 # Pages ------------------------------------------------------------------------------------------------------------
 
+PAGE = pa.schema([("page", pa.int64()), ("n_words", pa.int64()), ("blob", pa.binary())])
 
-def _digests(words: list[bytes], key: bytes) -> np.ndarray:
-    """Two 64-bit lanes of every word."""
-    raw = b"".join([hashlib.blake2b(w, digest_size=16, key=key).digest() for w in words])
-    return np.ascontiguousarray(np.frombuffer(raw, "<u8").reshape(-1, 2).T)
 
+def page_number(part: int, n: int, buckets: int) -> int:
+    """Numbers ascend with part and n, and Spark puts the page into the bucket of its part."""
+    first = (part << 43) + (n << 22)
+    for at in range(0, 1 << 22 if part < buckets else 0, 1 << 16):
+        fits = np.flatnonzero(spark_hash(first + at + np.arange(1 << 16)) % buckets == part)
+        if len(fits):
+            return first + at + int(fits[0])
+    return first  # dealt elsewhere: a file more
 
-def _codes(texts: list[bytes], key: bytes) -> tuple[bytes, int, int]:
-    """The words of the texts as codes into their vocabulary, which is in the order of its digests."""
-    seen: dict[bytes, int] = {}
-    found, bounds = [], [0]
-    put = seen.setdefault
-    for t in texts:
-        found += [put(w, len(seen)) for w in t.split()]
-        bounds.append(len(found))
-    words = list(seen)
-    order = np.lexsort(_digests(words, key)[::-1]) if words else np.zeros(0, np.int64)
-    place = np.empty(len(words), np.uint32)
-    place[order] = np.arange(len(words), dtype=np.uint32)
-    codes = place[np.array(found, np.int64)] if found else np.zeros(0, np.uint32)
-    if len(words) <= 1 << 16:
-        codes = codes.astype(np.uint16)
-    head = np.array([len(texts), len(found), len(words)], "<i8")
-    return b"".join([head.tobytes(), np.array(bounds, "<i8").tobytes(), codes.tobytes(), b" ".join([words[k] for k in order])]), len(found), len(words)
 
-
-PAGE = pa.schema([("page", pa.int64()), ("n_words", pa.int64()), ("n_distinct", pa.int64()), ("codes", pa.binary()), ("blob", pa.binary())])
-
-
-def _page_rows(key: bytes):
+def _page_rows(buckets: int):
     def run(batches):
         take_worker("substring")
         part, n, waiting, size = TaskContext.get().partitionId(), 0, [], 0
@@ -106,14 +93,11 @@ def _page_rows(key: bytes):
         def page():
             nonlocal n
             table = pa.Table.from_batches(waiting).combine_chunks()
-            data, offsets = text_bytes(table.column("text"))
-            data = data.tobytes()
-            codes, words, distinct = _codes([data[a:b] for a, b in zip(offsets, offsets[1:])], key)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as out:
                 out.write_table(table)
             n += 1
-            return pa.record_batch([[(part << 32) + n], [words], [distinct], [packer.compress(codes)], [packer.compress(sink.getvalue().to_pybytes())]], schema=PAGE)
+            return pa.record_batch([[page_number(part, n, buckets)], [len(Words(*text_bytes(table.column("text"))))], [packer.compress(sink.getvalue())]], schema=PAGE)
 
         for batch in batches:
             for x in slices(batch, limit=PAGE_BYTES):
@@ -152,67 +136,65 @@ def merge(names: np.ndarray, at: np.ndarray, first: np.ndarray, new: np.ndarray)
     return names[keep], at[keep]
 
 
-def distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, both parts and multiplicity over one of each distinct content, by hash; and the index of each content among them."""
-    h = mix(x * np.uint64(0x9FB21C651E98DF25) + mix(y))
-    order = np.argsort(h, kind="stable")
-    for _ in range(2):
-        u, v, g = x[order], y[order], h[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
-        if not (new[1:] & (g[1:] == g[:-1])).any():
-            break
-        order = np.lexsort((y, x, h))  # unlike contents share a hash
-    first = np.flatnonzero(new)
-    index = np.empty(len(order), np.int64)
-    index[order] = np.cumsum(new) - 1
-    return g[first], u[first], v[first], np.diff(first, append=len(order)) > 1, index
+def distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct contents, in order, whether each occurs twice, and the index of each content among them."""
+    h = mix(mix(x * np.uint64(0x9FB21C651E98DF25) + np.uint64(1)) + y)
+    found, index, many = np.unique(h, return_inverse=True, return_counts=True)
+    return found, many > 1, index
 
 
 class Page:
     """The symbols of one page, as far as the replies of earlier rounds go."""
 
-    def __init__(self, blob: bytes):
-        raw = zstandard.ZstdDecompressor().decompress(blob)
-        rows, n, size = np.frombuffer(raw, "<i8", 3).tolist()
-        self.bounds = np.frombuffer(raw, "<i8", rows + 1, 24)
-        at, kind = 24 + 8 * (rows + 1), "<u2" if size <= 1 << 16 else "<u4"
-        self.codes = np.frombuffer(raw, kind, n, at)
-        self.n, self.words = n, raw[at + self.codes.nbytes :].split(b" ") if size else []
-        self.opens = np.zeros(n + 1, bool)
+    def __init__(self, blob: bytes, keys: tuple[int, ...]):
+        self.table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all().combine_chunks()
+        self.words, self.keys = Words(*text_bytes(self.table.column("text"))), keys
+        self.bounds, self.n = self.words.bounds, len(self.words)
+        self.w = self.words.hashes(keys[0])
+        self.w[self.w == 0] = 1
+        self.opens = np.zeros(self.n + 1, bool)
         self.opens[self.bounds] = True
-        self.dead = np.zeros(n + WINDOW + 2, np.int32)
+        self.dead = np.zeros(self.n + WINDOW + 2, np.int32)
+        starts = np.arange(self.n)
+        self._forbid(starts[starts + WINDOW > np.repeat(self.bounds[1:], self.words.counts)], None, 0)
 
-    def _forbid(self, start: np.ndarray, end: np.ndarray, margin: int) -> None:
-        """No window holds a dead symbol, with margin words beside it."""
-        lo, hi = np.maximum(0, end + margin - WINDOW), start - margin + 1
+    def _forbid(self, start: np.ndarray, end: np.ndarray | None, margin: int) -> None:
+        """No window holds a dead symbol, with margin words beside it; end None: no window starts there."""
+        lo, hi = (start, start + 1) if end is None else (np.maximum(0, end + margin - WINDOW), start - margin + 1)
         some = lo < hi
         np.add.at(self.dead, lo[some], 1)
         np.add.at(self.dead, hi[some], -1)
 
-    def round1(self, reply) -> tuple:
-        """Contents of round 1, from the names of the words."""
-        self.vocabulary = _names(reply, len(self.words))
-        self.w = self.vocabulary[self.codes]
-        gone = np.flatnonzero(self.w == 0)
-        self._forbid(gone, gone + 1, 0)
-        self.pairs = joined(self.w, np.arange(self.n), self.opens, 1)
-        self.runs = in_runs(self.w, self.opens)
-        at = np.concatenate([self.pairs, self.runs])
-        found = distinct(self.w[at], self.w[at + 1])
-        self.index = found[-1]
-        return found
-
-    def round2(self, reply) -> tuple:
+    def _possible(self) -> np.ndarray:
+        """Whether a window may still start at each word."""
+        return np.cumsum(self.dead)[: self.n] == 0
+
+    def _within(self, start: np.ndarray, end: np.ndarray, margin: int) -> np.ndarray:
+        """Whether each symbol lies in a window that may be repeated, with margin words beside it."""
+        total = np.concatenate([[0], np.cumsum(self._possible())])
+        lo, hi = np.clip(end + margin - WINDOW, 0, self.n), np.clip(start - margin + 1, 0, self.n)
+        return total[np.maximum(lo, hi)] > total[lo]
+
+    def round1(self) -> tuple[np.ndarray, np.ndarray]:
+        """Contents of round 1: pairs and runs of words."""
+        at = np.arange(self.n)
+        pairs, runs = joined(self.w, at, self.opens, 1), in_runs(self.w, self.opens)
+        self.pairs, self.runs = (x[self._within(x, x + 2, 0)] for x in (pairs, runs))
+        both = np.concatenate([self.pairs, self.runs])
+        found, many, self.index = distinct(self.w[both], self.w[both + 1])
+        return found, many
+
+    def round2(self, reply) -> tuple[np.ndarray, np.ndarray]:
         """Contents of round 2, from the names of the pairs and runs."""
         names = _names(reply, int(self.index.max(initial=-1)) + 1)[self.index]
         at = np.concatenate([self.pairs, self.runs])[names == 0]
         self._forbid(at, at + 2, 0)
         self.s1, self.at1 = merge(self.w, np.arange(self.n), self.pairs, names[: len(self.pairs)])
-        self.pairs2 = joined(self.s1, self.at1, self.opens, 2)
-        found = distinct(self.s1[self.pairs2], self.s1[self.pairs2 + 1])
-        self.index2 = found[-1]
-        return found
+        ends = np.append(self.at1[1:], self.n)
+        pairs = joined(self.s1, self.at1, self.opens, 2)
+        self.pairs2 = pairs[self._within(self.at1[pairs], ends[pairs + 1], 1)]
+        found, many, self.index2 = distinct(self.s1[self.pairs2], self.s1[self.pairs2 + 1])
+        return found, many
 
     def round3(self, reply) -> np.ndarray:
         """Sorted high-level symbols of the windows that may be repeated."""
@@ -235,27 +217,23 @@ class Page:
         here[at2[k]] = symbol
         for step in (1, 2, 3):  # least of 7 places from each one on
             here[:-step] = np.minimum(here[:-step], here[step:])
-        starts = np.arange(max(0, self.n - WINDOW + 1))
-        starts = starts[starts + WINDOW <= np.repeat(self.bounds[1:], np.diff(self.bounds))[: len(starts)]]
-        self.starts = starts[np.cumsum(self.dead)[starts] == 0]
+        self.starts = np.flatnonzero(self._possible())
         self.symbol = here[self.starts + EDGE]
         found, many = np.unique(symbol, return_counts=True)
         self.found = np.unique(self.symbol)
         self.twice = many[np.searchsorted(found, self.found)] > 1 if len(found) else np.zeros(0, bool)
         return self.found
 
-    def round4(self, reply, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def round4(self, reply) -> tuple[np.ndarray, np.ndarray]:
         """128-bit names of the distinct candidate windows, in order."""
         shared = _bits(reply, len(self.found)) | self.twice
         self.starts = self.starts[shared[np.searchsorted(self.found, self.symbol)]]
-        rng = np.random.default_rng(list(key))
         lanes = []
-        for _ in range(2):
-            salt, *factors = (rng.integers(0, 2**63, WINDOW + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).tolist()
-            w = mix(mix(self.vocabulary + np.uint64(salt)))[self.codes]
-            total = np.zeros(len(self.starts), np.uint64)
+        for key in self.keys[1:3]:
+            factors = np.random.default_rng(key).integers(0, 2**63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            w, total = self.words.hashes(key), np.zeros(len(self.starts), np.uint64)
             for k, f in enumerate(factors):
-                total += w[self.starts + k] * np.uint64(f)
+                total += w[self.starts + k] * f
             lanes.append(mix(total))
         n1, n2 = lanes
         order = np.lexsort((n2, n1))
@@ -295,11 +273,11 @@ BLOCK_DDL = "bucket long, page long, x binary, y binary, twice binary"
 REPLY = "page long, bucket long, data binary"
 
 
-def _blocks(page: int, h: np.ndarray, x: np.ndarray, y: np.ndarray | None, twice: np.ndarray | None, shift: int) -> pa.RecordBatch:
-    """Contents, sorted by h, cut into blocks by its high bits."""
-    bucket = (h >> np.uint64(shift)).astype(np.int64)
-    edges = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(h) else np.zeros(0, np.int64)
-    spans = list(zip(edges, [*edges[1:], len(h)]))
+def _blocks(page: int, x: np.ndarray, y: np.ndarray | None, twice: np.ndarray | None, shift: int) -> pa.RecordBatch:
+    """Contents, sorted by x, cut into blocks by its high bits."""
+    bucket = (x >> np.uint64(shift)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(x) else np.zeros(0, np.int64)
+    spans = list(zip(edges, [*edges[1:], len(x)]))
     xs = [_planes(x[a:b]) for a, b in spans]
     ys = [b"" if y is None else _planes(y[a:b]) for a, b in spans]
     ts = [b"" if twice is None else np.packbits(twice[a:b]).tobytes() for a, b in spans]
@@ -327,11 +305,9 @@ def _bits(reply, count: int) -> np.ndarray:
     return out
 
 
-def _gathered(table: pa.Table) -> tuple:
-    table = table.sort_by("page")
-    x = [_unplanes(b.as_py()) for b in table.column("x")]
-    y = [_unplanes(b.as_py()) for b in table.column("y")]
-    return table, [len(p) for p in x], np.concatenate(x), np.concatenate(y)
+def _gathered(table: pa.Table, column: str) -> tuple[np.ndarray, list[int]]:
+    parts = [_unplanes(b.as_py()) for b in table.column(column)]
+    return np.concatenate(parts), [len(p) for p in parts]
 
 
 def _answers(table: pa.Table, data: list[bytes]) -> pa.Table:
@@ -342,19 +318,13 @@ def _name(level: int):
     """The reducer of a naming round: numbers the contents that occur twice at least."""
 
     def run(key, table):
-        table, sizes, x, y = _gathered(table)
+        x, sizes = _gathered(table, "x")
         twice = np.concatenate([np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=n) for b, n in zip(table.column("twice"), sizes)])
-        order = np.lexsort((y, x))
-        u, v = x[order], y[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
-        content = np.cumsum(new) - 1
-        live = np.bincount(content, 1 + twice[order]) > 1
+        _, content, n = np.unique(x, return_inverse=True, return_counts=True)
+        live = (n > 1) | (np.bincount(content, twice) > 0)
         names = (np.uint64(key[0].as_py()) << np.uint64(32) | np.cumsum(live).astype(np.uint64)) << np.uint64(2) | np.uint64(level)
         names[~live] = 0
-        out = np.empty(len(order), np.uint64)
-        out[order] = names[content]
-        ends = np.cumsum(sizes)
+        out, ends = names[content], np.cumsum(sizes)
         return _answers(table, [_planes(out[e - n : e]) for e, n in zip(ends, sizes)])
 
     return run
@@ -364,16 +334,13 @@ def _share(first_only: bool):
     """The reducer of a comparing round: does another page (first_only: an earlier one) have the content?"""
 
     def run(key, table):
+        table = table.sort_by("page")
+        x, sizes = _gathered(table, "x")
+        y = _gathered(table, "y")[0] if first_only else np.zeros(0, np.uint64)
+        order = np.lexsort((y, x)) if first_only else np.argsort(x, kind="stable")  # stable: of equal contents the earliest page comes first
+        same = x[order][1:] == x[order][:-1]
         if first_only:
-            table, sizes, x, y = _gathered(table)
-            order = np.lexsort((y, x))  # stable: of equal contents the earliest page comes first
-            same = (x[order][1:] == x[order][:-1]) & (y[order][1:] == y[order][:-1])
-        else:
-            table = table.sort_by("page")
-            parts = [_unplanes(b.as_py()) for b in table.column("x")]
-            sizes, x = [len(p) for p in parts], np.concatenate(parts)
-            order = np.argsort(x, kind="stable")
-            same = x[order][1:] == x[order][:-1]
+            same &= y[order][1:] == y[order][:-1]
         bit = np.zeros(len(x), bool)
         bit[order[1:]] |= same
         if not first_only:
@@ -384,59 +351,57 @@ def _share(first_only: bool):
     return run
 
 
-def _send(k: int, shift: int, key: bytes):
+def _at_round(k: int, row: dict, keys: tuple[int, ...]) -> tuple[Page, np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """A page as far as round k, and what it sends then."""
+    page = Page(row["blob"], keys)
+    x, many = page.round1()
+    if k > 1:
+        x, many = page.round2(row["r1"])
+    if k <= 2:
+        return page, x, None, many
+    x, y = page.round3(row["r2"]), None
+    if k > 3:
+        x, y = page.round4(row["r3"])
+    return page, x, y, None
+
+
+def _rows(batch: pa.RecordBatch):
+    """The rows one at a time."""
+    for k in range(batch.num_rows):
+        yield {n: batch.column(n)[k].as_py() for n in batch.schema.names}
+
+
+def _send(k: int, shift: int, keys: tuple[int, ...]):
     """Blocks of round k from pages and the replies of all rounds before."""
 
     def run(batches):
         take_worker("substring")
         for batch in batches:
-            for row in batch.to_pylist():
-                page = Page(row["codes"])
-                if k == 0:
-                    x, y = _digests(page.words, key)
-                    many = np.bincount(page.codes, minlength=len(page.words)) > 1
-                    yield _blocks(row["page"], x, x, y, many, shift)
-                    continue
-                h, x, y, many, _ = page.round1(row["r0"])
-                if k > 1:
-                    h, x, y, many, _ = page.round2(row["r1"])
-                if k <= 2:
-                    yield _blocks(row["page"], h, x, y, many, shift)
-                    continue
-                x = page.round3(row["r2"])
-                if k == 3:
-                    yield _blocks(row["page"], x, x, None, None, shift)
-                    continue
-                x, y = page.round4(row["r3"], key)
-                yield _blocks(row["page"], x, x, y, None, shift)
+            for row in _rows(batch):
+                _, x, y, many = _at_round(k, row, keys)
+                yield _blocks(row["page"], x, y, many, shift)
 
     return run
 
 
-def _finish(key: bytes, rewrite: bool):
+def _finish(keys: tuple[int, ...], rewrite: bool):
     def run(batches):
         take_worker("substring")
-        opener = zstandard.ZstdDecompressor()
         for batch in batches:
-            for row in batch.to_pylist():
-                page = Page(row["codes"])
-                page.round1(row["r0"]), page.round2(row["r1"]), page.round3(row["r2"]), page.round4(row["r3"], key)
-                gone, codes, words = page.gone(row["r4"]), page.codes, page.words
-                bounds = page.bounds.tolist()
-                table = pa.ipc.open_stream(opener.decompress(row["blob"])).read_all().combine_chunks()
-                lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[page.bounds])
-
-                def kept(k: int) -> bytes:
-                    a, b = bounds[k], bounds[k + 1]
-                    mine = map(words.__getitem__, codes[a:b].tolist())
-                    return b" ".join(compress(mine, ~gone[a:b]) if lost[k] else mine)
-
+            for row in _rows(batch):
+                page = _at_round(4, row, keys)[0]
+                gone, table, words = page.gone(row["r4"]), page.table, page.words
+                lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[page.bounds]).tolist()
+                kept, data = [], words.data.tobytes()
+                for k in range(words.rows):
+                    left = data[words.offsets[k] : words.offsets[k + 1]].split()
+                    kept.append(b" ".join(compress(left, ~gone[words.bounds[k] : words.bounds[k + 1]]) if lost[k] else left))
                 if rewrite:
-                    texts = [kept(k).decode() if lost[k] else t.as_py() for k, t in enumerate(table.column("text"))]
+                    texts = [k.decode() if n else t.as_py() for k, n, t in zip(kept, lost, table.column("text"))]
                     out = {n: table.column(n).combine_chunks() for n in table.column_names} | {"text": pa.array(texts, pa.string())}
                 else:
-                    shas = [hashlib.sha256(kept(k)).hexdigest() for k in range(table.num_rows)]
-                    out = {"doc_id": table.column("doc_id").combine_chunks(), "n_words": pa.array(np.diff(page.bounds), pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
+                    shas = [hashlib.sha256(k).hexdigest() for k in kept]
+                    out = {"doc_id": table.column("doc_id").combine_chunks(), "n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
                 yield pa.record_batch(out)
 
     return run
@@ -459,25 +424,23 @@ def remove_repeats(docs: DataFrame, rewrite: bool = False) -> DataFrame:
     columns, spark = docs.columns if rewrite else ["doc_id", "text"], docs.sparkSession
     docs = docs.select(*[F.col(f"`{c}`").cast({"doc_id": "long", "text": "string"}[c]).alias(c) if c in ("doc_id", "text") else F.col(f"`{c}`") for c in columns])
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cores, key = spark.sparkContext.defaultParallelism, secrets.token_bytes(16)
-    few = min(4 * cores, 1 + size // PAGE_BYTES)
-    ranges, shelves = max(few, size // RANGE_BYTES), max(few, size // (PAGE_BYTES * SHELF))
+    keys = tuple(secrets.randbits(64) for _ in range(3))
+    few = min(4 * spark.sparkContext.defaultParallelism, 1 + size // PAGE_BYTES)
+    ranges = min(MOST_BUCKETS, max(few, size // RANGE_BYTES))
     # documents of one id are dealt by how their texts begin
     ordered = docs.repartitionByRange(ranges, "doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
-    page_ddl = "page long, n_words long, n_distinct long, codes binary, blob binary"
-    pages = bucketed(ordered.mapInArrow(_page_rows(key), page_ddl), "pages", "page", shelves)
-    words, vocabulary = pages.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
-    known = pages.select("page", "codes")
-    # about so many contents are sent: distinct words; a fourth of the neighbours merge; a window's least cut
-    rounds = [(vocabulary, _name(0)), (words * 0.25, _name(1)), (words * 0.2, _name(2)), (words * 0.25, _share(False)), (words * 0.5, _share(True))]
-    for k, (names, reducer) in enumerate(rounds):
-        sent = known.mapInArrow(_send(k, 64 - _power(names), key), BLOCK_DDL)
-        answers = sent.groupBy("bucket").applyInArrow(reducer, REPLY)
-        reply = bucketed(answers, f"names{k}", "page", shelves, lambda d: d.groupBy("page").agg(F.collect_list(F.struct("bucket", "data")).alias(f"r{k}")))
+    pages = bucketed(ordered.mapInArrow(_page_rows(ranges), "page long, n_words long, blob binary"), "pages", "page", ranges)
+    words = pages.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    # about so many contents are sent: a fourth of the neighbours merge; a window's least cut; windows in passages
+    rounds = [(words * 0.25, _name(1)), (words * 0.2, _name(2)), (words * 0.25, _share(False)), (words * 0.5, _share(True))]
+    known = pages.select("page", "blob")
+    for k, (names, reducer) in enumerate(rounds, 1):
+        sent = known.mapInArrow(_send(k, 64 - _power(names), keys), BLOCK_DDL)
+        answers = sent.groupBy("bucket").applyInArrow(reducer, REPLY).repartition(ranges, "page")
+        reply = bucketed(answers.groupBy("page").agg(F.collect_list(F.struct("bucket", "data")).alias(f"r{k}")), f"names{k}", "page", ranges)
         known = known.join(reply.hint("shuffle_hash"), "page", "left")
-    done = known.join(pages.select("page", "blob").hint("shuffle_hash"), "page", "left")
     schema = docs.schema if rewrite else "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return done.mapInArrow(_finish(key, rewrite), schema)
+    return known.mapInArrow(_finish(keys, rewrite), schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

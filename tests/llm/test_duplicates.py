@@ -98,13 +98,18 @@ def test_words_that_polynomials_confuse(spark):
 
 def test_rows_between_rounds_follow_names():
     """A page sends no more blocks than it has contents, at any number of buckets."""
-    words = [f"w{k}".encode() for k in range(30)]
-    x, y = substring_dedup._digests(words, b"k" * 16)
-    order = np.argsort(x)
+    x, y = np.sort(np.random.default_rng(1).integers(0, 2**64, (2, 30), dtype=np.uint64))
     for bits in (1, 5, 40):
-        blocks = substring_dedup._blocks(7, x[order], x[order], y[order], np.zeros(30, bool), 64 - bits)
+        blocks = substring_dedup._blocks(7, x, y, np.zeros(30, bool), 64 - bits)
         assert blocks.num_rows <= min(30, 2**bits)
-        assert np.array_equal(np.concatenate([substring_dedup._unplanes(b.as_py()) for b in blocks.column("y")]), y[order])
+        assert np.array_equal(np.concatenate([substring_dedup._unplanes(b.as_py()) for b in blocks.column("y")]), y)
+
+
+def test_pages_are_in_order_and_in_the_bucket_of_their_range(spark):
+    numbers = [substring_dedup.page_number(part, n, 24) for part in range(24) for n in range(1, 5)]
+    assert numbers == sorted(set(numbers))
+    got = spark.createDataFrame([(p,) for p in numbers], "page long").selectExpr("pmod(hash(page), 24) AS b").collect()
+    assert [r.b for r in got] == [part for part in range(24) for _ in range(4)]
 
 
 def brute_fingerprint(text):
