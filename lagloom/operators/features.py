@@ -19,6 +19,8 @@ from lagloom.sources.grid import INDEX, check_order, row_index
 
 log = logging.getLogger(__name__)
 MANY_LEVELS = 50
+#: Levels that a category column may have where none are given: each is a column of the result.
+MOST_LEVELS = 2_000
 EVIDENCE_COLUMNS = "feature_name string, source_col string, feature_family string, kernel_name string, kernel_family string, interpretation string, evidence_completeness string, warning_count long, warning_codes string, has_fit_evidence boolean, has_comparison_evidence boolean, has_bootstrap_evidence boolean"
 REGISTRY_COLUMNS = "name string, kernel_name string, source_col string, family string, metric string, category_level string, lag_steps array<long>, kernel_summary string"
 
@@ -194,7 +196,10 @@ class KernelFeatureBuilder:
         for c in self.category_cols:
             found = self.category_levels.get(c)
             if found is None:
-                found = sorted(r[0] for r in df.select(ident(c).cast("string").alias("v")).where("v IS NOT NULL").distinct().collect())
+                rows = df.select(ident(c).cast("string").alias("v")).where("v IS NOT NULL").distinct().limit(MOST_LEVELS + 1).collect()
+                if len(rows) > MOST_LEVELS:
+                    raise ValueError(f"column {c!r} has over {MOST_LEVELS} levels, each of which is a feature; give category_levels")
+                found = sorted(r[0] for r in rows)
             if len(found) > MANY_LEVELS:
                 log.warning("column %s has %d levels", c, len(found))
             out[c] = list(found)

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagloom.functions.kernels import Kernel
-from lagloom.sources.grid import INDEX
+from lagloom.sources.grid import INDEX, ident
 
 ZERO = 1e-12
 CHUNK = 65_536
@@ -30,11 +30,6 @@ NUMERIC_METRICS = ("wmean", "wstd", "wsum")
 AGE_METRICS = ("mean", "p50", "p90", "tail_gt_threshold")
 
 
-def ident(name: str) -> Column:
-    """A column by its exact name, whatever letters it has."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def finite(column: Column) -> Column:
     """The column as double, null where it is not finite."""
     x = column.cast("double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from datetime import timedelta
 
@@ -12,6 +13,13 @@ from pyspark.sql import types as T
 
 _UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 INDEX = "_idx"
+#: Rows of a range, ranges at most, and rows from which a range of one value is cut by the next column.
+RANGE_ROWS, MOST_RANGES, HEAVY_ROWS = 1_000_000, 1024, 100_000
+
+
+def ident(name: str) -> Column:
+    """A column by its exact name, whatever letters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def duration_seconds(value: timedelta | str, name: str = "duration") -> float:
@@ -109,9 +117,16 @@ def resolve_dt(df: DataFrame, *, time_col: str, dt: float | str | timedelta | No
 
 
 def check_order(df: DataFrame, *, time_col: str, input_order_col: str) -> DataFrame:
-    """The frame, if time never falls along input_order_col; raises otherwise."""
-    bad = df.select(F.col(time_col).alias("t"), F.lag(time_col).over(W.orderBy(input_order_col)).alias("before")).where("before > t")
-    if bad.limit(1).count():
+    """The frame, if time never falls along input_order_col; raises otherwise.
+
+    Ranges of the order are looked at by themselves, then where they meet.
+    """
+    parted, _ = _ranges(df.select(ident(time_col).alias("_t"), ident(input_order_col).alias("_o")), ["_o"], None)
+    before = F.lag("_t").over(W.partitionBy("_part").orderBy("_o"))
+    inside = parted.select("_part", "_t", before.alias("_before"))
+    ends = inside.groupBy("_part").agg(F.min("_t").alias("first"), F.max("_t").alias("last"), F.max(F.col("_before") > F.col("_t")).alias("falls"))
+    # one row a range
+    if ends.select("falls", (F.max("last").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)) > F.col("first")).alias("apart")).where("falls OR apart").limit(1).count():
         raise ValueError("the time column is not sorted")
     return df
 
@@ -138,28 +153,62 @@ def grid_index(df: DataFrame, *, time_col: str, dt: float) -> DataFrame:
     return df.withColumn(INDEX, ((micros(time_col) - F.lit(lo)) / F.lit(round(dt * 1e6))).cast("long"))
 
 
-def row_index(df: DataFrame, order_by: list[str], parts: int = 64) -> DataFrame:
+def _number(df: DataFrame, column: str) -> Column:
+    """The column as a double in the same order; null where it has no such form."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return micros(ident(column)).cast("double")
+    return ident(column).cast("double") if isinstance(kind, T.NumericType) else F.lit(None).cast("double")
+
+
+def _cuts(df: DataFrame, column: str, parts: int) -> list[float]:
+    """Approximate quantiles; a value that is several of them gets a range of its own."""
+    found = sorted(df.stat.approxQuantile(column, [k / parts for k in range(1, parts)], 0.2 / parts)) if parts > 1 else []
+    return sorted({*found, *(math.nextafter(a, math.inf) for a, b in zip(found, found[1:]) if a == b)})
+
+
+def _place(cuts: list[float], column: str) -> Column:
+    """How many cuts are not above the column; -1 for null, which comes first."""
+    if not cuts:
+        return F.when(F.col(column).isNull(), -1).otherwise(0)
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(column))), F.lit(-1))
+
+
+def _ranges(df: DataFrame, order_by: list[str], parts: int | None) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """The frame with _part, ranges of the order columns that ascend with it, and (part, rows) of each.
+
+    Ranges are cut at quantiles of the first column; a range that one value fills
+    far beyond its share is cut at quantiles of the second.
+    """
+    keyed = df.withColumn("_key", _number(df, order_by[0])).withColumn("_next", _number(df, order_by[1]) if len(order_by) > 1 else F.lit(None).cast("double"))
+    n = keyed.count()
+    parts = parts or min(MOST_RANGES, max(64, n // RANGE_ROWS))
+    parted = keyed.withColumn("_part", _place(_cuts(keyed, "_key", parts), "_key") * (MOST_RANGES + 2))
+    stats = parted.groupBy("_part").agg(F.count("*").alias("n"), F.min("_key").alias("lo"), F.max("_key").alias("hi")).collect()  # one row a range
+    heavy = [r for r in stats if r.n > max(4 * n / parts, HEAVY_ROWS) and (r.lo == r.hi)]
+    if heavy and len(order_by) > 1:
+        inner = F.lit(0)
+        for r in heavy:
+            mine = F.col("_part") == r["_part"]
+            cuts = _cuts(parted.where(mine), "_next", min(MOST_RANGES, int(r.n * parts / n)))
+            inner = F.when(mine, _place(cuts, "_next") + 1).otherwise(inner)
+        parted = parted.withColumn("_part", F.col("_part") + inner)
+        stats = parted.groupBy("_part").agg(F.count("*").alias("n")).collect()
+    return parted.drop("_key", "_next"), sorted((r["_part"], r["n"]) for r in stats)
+
+
+def row_index(df: DataFrame, order_by: list[str], parts: int | None = None) -> DataFrame:
     """The frame with _idx, the row's place in the order, for irregular grids.
 
-    Rows are cut into ranges of the first order column at approximate
-    quantiles; each range is numbered by itself and starts where the ranges
-    before it end.  Rows without an order value come first.
+    Rows are cut into ranges, whose number follows the rows; each range is numbered
+    by itself and starts where the ranges before it end.  Rows without an order
+    value come first.
     """
-    key = F.col(order_by[0])
-    if isinstance(df.schema[order_by[0]].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        key = micros(order_by[0])
-    keyed = df.withColumn("_key", key.cast("double"))
-    cuts = sorted(set(keyed.stat.approxQuantile("_key", [k / parts for k in range(1, parts)], 0.005)))
-    part = F.lit(0)
-    if cuts:
-        edges = F.array(*[F.lit(c) for c in cuts])
-        part = F.coalesce(F.size(F.filter(edges, lambda c: c <= F.col("_key"))), F.lit(-1))
-    parted = keyed.withColumn("_part", part)
-    sizes = sorted((r["_part"], r["count"]) for r in parted.groupBy("_part").count().collect())  # one row a range
+    parted, sizes = _ranges(df, order_by, parts)
     before, total = [], 0
     for p, n in sizes:
         before.append((p, total))
         total += n
     offsets = df.sparkSession.createDataFrame(before or [(0, 0)], "_part int, _before long")
-    number = F.row_number().over(W.partitionBy("_part").orderBy(*[F.col(c) for c in order_by])) - 1
-    return parted.join(F.broadcast(offsets), "_part").withColumn(INDEX, (number + F.col("_before")).cast("long")).drop("_part", "_key", "_before")
+    number = F.row_number().over(W.partitionBy("_part").orderBy(*[ident(c) for c in order_by])) - 1
+    return parted.join(F.broadcast(offsets), "_part").withColumn(INDEX, (number + F.col("_before")).cast("long")).drop("_part", "_before")

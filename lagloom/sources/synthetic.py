@@ -132,19 +132,37 @@ def _unit(kind: str, dt: float) -> K.Kernel:
         "plug_flow": lambda: discrete([8], [1.0], dt, "plug_flow"),
         "spread": lambda: discrete([4, 5, 6, 7], [0.15, 0.35, 0.35, 0.15], dt, "spread"),
         "flotation_bank": lambda: K.convolve(K.convolve(K.tank_kernel(0.65, 16, dt), K.tank_kernel(0.65, 16, dt)), K.tank_kernel(0.65, 16, dt), "flotation_bank"),
-        "closed_loop": lambda: K.recycle(0.4, discrete([3, 4, 5], [0.25, 0.5, 0.25], dt), 16, "closed_loop"),
+        "closed_loop": lambda: K.recycle(PRODUCT, crusher_pass(dt), PASSES, "closed_loop"),
     }[kind]()
 
 
 UNITS = ("tank", "plug_flow", "spread", "flotation_bank", "closed_loop")
 
 
+#: The crusher of the closed loop: share that leaves as product, passes, and the kernel of one pass (lags and weights): fixed values.
+PRODUCT, PASSES = 0.35, 12
+PASS_LAGS, PASS_WEIGHTS = [1, 2, 3], [0.2, 0.6, 0.2]
+
+
+def crusher_pass(dt: float) -> K.Kernel:
+    return discrete(PASS_LAGS, PASS_WEIGHTS, dt, "crusher_pass")
+
+
+def closed_loop_masses(feed: np.ndarray, dt: float) -> dict[str, np.ndarray]:
+    """What the screen discharges, pass by pass: each pass gets what the one before returned; a part is product, the rest goes back."""
+    one, again, discharge = crusher_pass(dt), np.asarray(feed, float), np.zeros(len(feed))
+    for _ in range(PASSES):
+        passed = apply_partial(again, one)
+        discharge, again = discharge + passed, (1 - PRODUCT) * passed
+    return {"crusher_screen_discharge_mass": discharge, "product_mass": PRODUCT * discharge, "recycle_mass": (1 - PRODUCT) * discharge}
+
+
 def make_unit_dataset(kind: str, n_rows: int = 256, dt: float = 1.0, feed_mass: float = 1000.0) -> Synthetic:
-    """One process unit: constant feed, a grade that steps and waves, and the grade that leaves the unit."""
+    """One process unit: constant feed, a grade that steps and waves, and the grade that leaves the unit; the closed loop has its masses."""
     t = np.arange(n_rows)
     grade = 1.0 + 0.08 * np.sin(6 * np.pi * t / n_rows) + 0.1 * (t >= n_rows // 2)
     kernel = _unit(kind, dt)
-    data = pd.DataFrame({"time": times(n_rows, dt), "feed_mass": feed_mass, "feed_grade": grade, "target_grade": apply_partial(grade, kernel)})
+    data = pd.DataFrame({"time": times(n_rows, dt), "feed_mass": feed_mass, "feed_grade": grade, "target_grade": apply_partial(grade, kernel), **(closed_loop_masses(np.full(n_rows, feed_mass), dt) if kind == "closed_loop" else {})})
     return Synthetic(data, {kind: kernel}, {"name": kind, "n_rows": n_rows, "dt": dt, "feed_mass": feed_mass})
 
 

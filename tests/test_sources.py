@@ -3,10 +3,11 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lagloom.functions import kernels as K
 from lagloom.operators import graph
-from lagloom.sources import archives, synthetic
+from lagloom.sources import archives, grid, synthetic
 from lagloom.streaming.fir_stream import fir_stream
 from lagloom.operators.features import KernelFeatureBuilder
 
@@ -124,3 +125,42 @@ def test_stream_equals_batch(spark, tmp_path):
     for r in want:
         g = got[r.series, r.t]
         assert g == r["k_num_value_wmean"] or g == pytest.approx(r["k_num_value_wmean"])
+
+
+def test_row_index_cuts_heavy_values(spark, monkeypatch):
+    monkeypatch.setattr(grid, "HEAVY_ROWS", 50)
+    rows = [(5 if k % 3 else None if k % 7 == 0 else k, k * 37 % 1000, k) for k in range(1000)]
+    df = spark.createDataFrame(rows, "a long, b long, c long").repartition(5)
+    parted, sizes = grid._ranges(df, ["a", "b"], 8)
+    assert max(n for _, n in sizes) < 300
+    want = {c: i for i, (_, _, c) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])))}
+    assert {r.c: r["_idx"] for r in grid.row_index(df, ["a", "b"], parts=8).collect()} == want
+
+
+def test_order_is_checked_in_ranges(spark):
+    df = spark.createDataFrame([(k, k // 3) for k in range(500)], "n long, t long").repartition(4)
+    assert grid.check_order(df, time_col="t", input_order_col="n") is df
+    for at in (0, 250, 499):
+        bad = df.withColumn("t", F.when(F.col("n") == at, 250 if at else 1).otherwise(F.col("t")))
+        with pytest.raises(ValueError):
+            grid.check_order(bad.withColumn("t", F.when(F.col("n") == 251, -1).otherwise(F.col("t"))), time_col="t", input_order_col="n")
+
+
+def test_closed_loop_masses():
+    """Against the mixture over the number of passes; in the long run product is what was fed, but for the last passes."""
+    s = synthetic.make_unit_dataset("closed_loop", n_rows=200)
+    weights: dict[int, float] = {}
+    passed = {0: 1.0}
+    for n in range(12):
+        passed_next: dict[int, float] = {}
+        for k, w in passed.items():
+            for lag, v in zip((1, 2, 3), (0.2, 0.6, 0.2)):
+                passed_next[k + lag] = passed_next.get(k + lag, 0.0) + w * v
+        passed = passed_next
+        for k, w in passed.items():
+            weights[k] = weights.get(k, 0.0) + 0.65**n * w
+    for t in (0, 1, 5, 20, 199):
+        want = sum(1000.0 * w for k, w in weights.items() if k <= t)
+        row = s.data.iloc[t]
+        assert row.crusher_screen_discharge_mass == pytest.approx(want) and row.product_mass == pytest.approx(0.35 * want) and row.recycle_mass == pytest.approx(0.65 * want)
+    assert s.data.product_mass.iloc[-1] == pytest.approx(1000 * (1 - 0.65**12))
