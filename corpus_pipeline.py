@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagloom.llm import bpe_transducer, decontaminate, language_id, near_copies, substring_dedup
-from lagloom.llm.common import materialize, scratch
+from lagloom.llm.common import if_few, materialize, scratch
 from lagloom.llm.token_counts import tokenizer_path
 
 
@@ -27,12 +27,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (5-word shingles, Jaccard 0.8): the smallest doc_id, ids before none, then the hash of the text."""
     rows = near_copies.groups(docs.select("doc_id", "text")).groupBy("group", "doc_id", "text_key").count()
-    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "count")).alias("r"))
-    picked = materialize(first.select("r.no_id", F.coalesce("r.doc_id", F.lit(0).cast("long")).alias("id"), F.col("r.text_key").alias("key"), "r.count"), "picked")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("text_key").alias("key"))
+    rows = materialize(rows.select("group", place.alias("row"), "count"), "rows")
+    # what goes is marked, and what stays of repeated rows: few rows as a rule
+    several = rows.groupBy("group").agg(F.min("row").alias("first"), F.count("*").alias("n"), F.max("count").alias("most")).where("n > 1 or most > 1")
+    marked = rows.join(several, "group").withColumn("stays", F.col("row") == F.col("first")).where("NOT stays OR count > 1")
+    marked = materialize(marked.select("row.no_id", "row.id", "row.key", "stays"), "marked")
+    keys = ["no_id", "id", "key"]
     d = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)], F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
-    kept = d.join(picked.select("no_id", "id", "key"), ["no_id", "id", "key"], "left_semi")
-    kept = kept if picked.where("count > 1").isEmpty() else kept.dropDuplicates(["no_id", "id", "key"])
-    return kept.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])
+    out = d.join(if_few(marked), keys, "left_anti")
+    repeated = marked.where("stays")
+    if not repeated.isEmpty():
+        out = out.unionByName(d.join(if_few(repeated), keys, "left_semi").dropDuplicates(keys))
+    return out.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +53,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     key = F.xxhash64(F.col("text").cast("string"))
     leaks = materialize(decontaminate.overlaps(docs.select(key.alias("doc_id"), "text"), benchmark).where(F.col("item_words") >= decontaminate.SHORTEST).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, key == F.col("_leak"), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return docs.join(if_few(leaks), key == F.col("_leak"), "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
