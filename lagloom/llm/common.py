@@ -150,6 +150,15 @@ def bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+#: Rows of a few numbers each that are broadcast at most: some 30 MB in an executor.
+FEW_ROWS = 400_000
+
+
+def if_few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """A stored frame of a few numbers a row, marked to be broadcast if it has at most so many; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def spark_hash(x: np.ndarray) -> np.ndarray:
     """Spark's hash of whole numbers of 64 bits, by which it deals rows into partitions and buckets (Murmur3, 32 bits, seed 42)."""
     x = np.asarray(x, np.int64).view(np.uint64)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import LOWER, Words, materialize, mix, slices, spread, take_worker, text_bytes
+from lagloom.llm.common import LOWER, Words, if_few, materialize, mix, slices, spread, take_worker, text_bytes
 from lagloom.llm.components import stars
 from lagloom.llm.simhash_trie import trie_links, voted
 
@@ -147,9 +147,10 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _one_text(docs: DataFrame, prints: DataFrame, nodes: DataFrame) -> DataFrame:
-    """A text of each node."""
-    reps = prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
-    return _texts(docs).select("text_key", "text").join(reps, "text_key", "left_semi").dropDuplicates(["text_key"])
+    """A text of each node; the other texts are not shuffled if the nodes are few."""
+    reps = prints.select("node", "text_key").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
+    keys = materialize(reps.select("text_key"), "text-keys")
+    return _texts(docs).select("text_key", "text").join(if_few(keys), "text_key", "left_semi").dropDuplicates(["text_key"])
 
 
 def _verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
