@@ -276,9 +276,8 @@ def _predict(shared, pred, score_name):
 
 
 def identify(docs: DataFrame, samples: tuple, pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """The rows with two columns added: the language of the column text, and the score."""
-    if clash := {pred, score} & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    """The rows with two columns added (or replaced): the language of the column text, and the score."""
+    docs = docs.drop(pred, score)
     shared = docs.sparkSession.sparkContext.broadcast(Model([(k, list(v)) for k, v in samples]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return spread(docs).mapInArrow(_predict(shared, pred, score), f"{fields}, `{pred}` string, `{score}` double")

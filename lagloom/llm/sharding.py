@@ -11,9 +11,10 @@ gathered by a hash of the text into shards * ``BINS`` bins, which are packed
 like groups.  So the packing sees a bounded number of items at any input size.
 A group larger than a shard's capacity has a shard that is larger by necessity.
 
-Slots: rows of a shard are numbered through units of about ``UNIT`` rows (item
-and a salt by doc_id), so neither a shard nor a large group passes through one
-task.  Repeated rows each get a slot of their own.
+Slots: rows of a shard are numbered through units (item and a salt by doc_id) of
+about ``UNIT`` rows or, where that is more, the square root of a shard's rows, so
+neither a shard nor a large group passes through one task, and the units of a
+shard are as few as the rows of a unit.  Repeated rows each get a slot of their own.
 """
 
 from __future__ import annotations
@@ -67,7 +68,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     light.sort(key=lambda r: r.item)
     items = [(bins + k, r.g1, r.g2, r.bytes, r.tokens, r.rows) for k, r in enumerate(heavy)] + [(r.item, None, None, r.bytes, r.tokens, r.rows) for r in light]
     to = pack(np.array([i[3:] for i in items], np.float64).reshape(-1, len(DIMS)), shards)
-    placed = spark.createDataFrame([(i[0], i[1], i[2], int(s), max(1, -(-i[5] // UNIT))) for i, s in zip(items, to)], "item long, g1 long, g2 long, shard int, salts long")
+    unit = max(UNIT, int((total["rows"] / shards) ** 0.5))
+    placed = spark.createDataFrame([(i[0], i[1], i[2], int(s), max(1, -(-i[5] // unit))) for i, s in zip(items, to)], "item long, g1 long, g2 long, shard int, salts long")
     own = F.broadcast(placed.where(F.col("g1").isNotNull()).select("g1", "g2", F.col("item").alias("own")))
     dealt = rows.join(own, ["g1", "g2"], "left").withColumn("item", F.coalesce("own", F.pmod("g1", F.lit(bins))))
     dealt = dealt.join(F.broadcast(placed.select("item", "shard", "salts")), "item")

@@ -1,7 +1,8 @@
 """Token ids as binary files with a shared zstandard dictionary.
 
 A dataset is a folder with ``dict`` (the dictionary) and ``data`` (the files,
-in ascending doc_id order by name).  A file is a row of blocks, each
+in ascending doc_id order by the two numbers in their names; of ``FILE_BLOCKS``
+blocks at most, so that a reader's task holds no more).  A file is a row of blocks, each
 
     magic "TKZD" | version u8 | id width u8 | dictionary hash, 32 bytes |
     n u32 | index: doc_id i64[n], n_tokens u64[n], frame end u64[n] |
@@ -24,11 +25,13 @@ their contents.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -41,6 +44,8 @@ from lagloom.llm.token_counts import tokenizer_path
 MAGIC, VERSION, END_ID = b"TKZD", 1, 1
 SAMPLE, SAMPLE_BYTES, DICT_BYTES = 600, 1 << 14, 1 << 16
 BLOCK_BYTES = 4 << 20
+#: Blocks in a file, and bytes of frames in the range of documents that one task writes.
+FILE_BLOCKS, RANGE_BYTES = 8, 128 << 20
 TABLE, WORDS = 250_000, 250_000
 NULL_ID = -(2**63)
 
@@ -129,7 +134,8 @@ def _compress(path, end_id, width, shared):
     def run(batches):
         packer = zstandard.ZstdCompressor(level=1, dict_data=_dictionary(shared.value))
         for x in encode(batches):
-            yield pa.record_batch({"doc_id": x.column("doc_id"), "n_tokens": x.column("n_tokens"), "frame": pa.array([packer.compress(b.as_py()) for b in x.column("ids")], pa.binary())})
+            frames = pa.array([packer.compress(b.as_py()) for b in x.column("ids")], pa.binary())
+            yield pa.record_batch({"doc_id": x.column("doc_id"), "n_tokens": x.column("n_tokens"), "size": pc.binary_length(frames).cast(pa.int64()), "frame": frames})
 
     return run
 
@@ -170,9 +176,11 @@ def write_tokens(docs: DataFrame, path: str, to: str, end_id: int = END_ID) -> s
     digest, shared = hashlib.sha256(content).digest(), spark.sparkContext.broadcast(content)
     text = lambda df, name: df.select(F.col(name).cast("string").alias("value"))
     text(spark.createDataFrame([(bytearray(content),)], "block binary").coalesce(1), "block").write.text(f"{to}/dict")
-    frames = materialize(spread(docs).mapInArrow(_compress(path, end_id, width, shared), "doc_id long, n_tokens long, frame binary"), "frames")
-    rows = frames.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "frame")
-    text(rows.mapInArrow(_pack(width, digest), "block binary"), "block").write.text(f"{to}/data")
+    frames = materialize(spread(docs).mapInArrow(_compress(path, end_id, width, shared), "doc_id long, n_tokens long, size long, frame binary"), "frames")
+    size = frames.agg(F.sum("size")).first()[0] or 0
+    ranges = max(min(4 * spark.sparkContext.defaultParallelism, 1 + size // BLOCK_BYTES), size // RANGE_BYTES)
+    rows = frames.drop("size").repartitionByRange(ranges, "doc_id", "n_tokens").sortWithinPartitions("doc_id", "n_tokens", "frame")
+    text(rows.mapInArrow(_pack(width, digest), "block binary"), "block").write.option("maxRecordsPerFile", FILE_BLOCKS).text(f"{to}/data")
     return to
 
 
@@ -193,6 +201,14 @@ def blocks_of(content: bytes):
         at = first + (int(ends[-1]) if n else 0) + 1
 
 
+def file_place(name: str) -> tuple[int, int]:
+    """Number of the task that wrote a file, and of the file among the task's."""
+    found = re.search(r"part-(\d+)-[^/]*-c(\d+)\.txt$", name)
+    if not found:
+        raise ValueError(f"not a file of a dataset: {name}")
+    return int(found[1]), int(found[2])
+
+
 def _read(shared, with_ids):
     def run(batches):
         take_worker("token_files, reading")
@@ -200,7 +216,7 @@ def _read(shared, with_ids):
         opener, digest = zstandard.ZstdDecompressor(dict_data=_dictionary(content)), hashlib.sha256(content).digest()
         for batch in batches:
             for name, body in zip(batch.column("path").to_pylist(), batch.column("content")):
-                body, before = body.as_py(), 0
+                body, before, (part, nth) = body.as_py(), 0, file_place(name)
                 for width, made_with, ids, counts, ends, first in blocks_of(body):
                     if made_with != digest:
                         raise ValueError("the block was made with another dictionary")
@@ -213,7 +229,7 @@ def _read(shared, with_ids):
                         begin = end
                     totals = np.cumsum(counts.astype(np.int64))
                     doc_id = pa.array(ids, pa.int64(), mask=ids == NULL_ID)
-                    out = {"file": pa.array([name] * len(ids)), "doc_id": doc_id, "local": pa.array(before + totals - counts.astype(np.int64)), "n_tokens": pa.array(counts.astype(np.int64)), "ids_crc32": pa.array(crcs, pa.int64())}
+                    out = {"part": pa.array([part] * len(ids), pa.int64()), "nth": pa.array([nth] * len(ids), pa.int64()), "doc_id": doc_id, "local": pa.array(before + totals - counts.astype(np.int64)), "n_tokens": pa.array(counts.astype(np.int64)), "ids_crc32": pa.array(crcs, pa.int64())}
                     before += int(totals[-1])
                     yield pa.record_batch(out | ({"ids": pa.array(texts, pa.binary())} if with_ids else {}))
 
@@ -222,16 +238,16 @@ def _read(shared, with_ids):
 
 def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (unsigned 32-bit) of every document of a dataset."""
-    raw = spark.read.format("binaryFile").load(f"{folder}/dict/*.txt").select("content").collect()
-    content = max((bytes(r.content) for r in raw), key=len)[:-1]
+    raw = driver_rows(spark.read.format("binaryFile").load(f"{folder}/dict/*.txt").select("content"), 1, "dictionary files")
+    content = bytes(raw[0].content)[:-1]
     shared = spark.sparkContext.broadcast(content)
-    schema = "file string, doc_id long, local long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    schema = "part long, nth long, doc_id long, local long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{folder}/data").select("path", "content")
     rows = materialize(files.mapInArrow(_read(shared, with_ids), schema), "read")
-    # one row a file; names ascend with doc_id
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = F.coalesce(F.sum("total").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(totals.select("file", before.alias("before")), "file").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
+    # one row a file; the numbers of files ascend with doc_id
+    totals = rows.groupBy("part", "nth").agg(F.sum("n_tokens").alias("total"))
+    before = F.coalesce(F.sum("total").over(W.orderBy("part", "nth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(totals.select("part", "nth", before.alias("before")), ["part", "nth"]).select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
 def fetch(content: bytes, dictionary: bytes, doc_id: int) -> np.ndarray | None:

@@ -8,10 +8,12 @@ so the model that is broadcast is the list of the non-zero ones.
 
 Labels are read only from rows whose crc32(doc_id) mod 4 is not 2.  The sample
 is bounded: about ``TRAIN`` labelled documents, chosen by a threshold on a hash
-of doc_id that follows the number of labels.  A doc_id with several labels
+of doc_id that follows the number of labels, of which so many are used, by
+ascending hash, as have ``TRAIN_BYTES`` of text together (the first in any case).  A doc_id with several labels
 counts as toxic if one of them says so, and a doc_id with several texts gives
 its smallest one to training; null labels are ignored; without any label all
 scores are (next to) 0.  Null and empty texts are scored by the bias alone.
+Columns of the rows to score that are named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import LOWER, PUNCTUATION, Words, documents, driver_rows, held_out, mix, slices, spread, take_worker, text_bytes
+from lagloom.llm.common import LOWER, PUNCTUATION, Words, documents, driver_rows, held_out, materialize, mix, slices, spread, take_worker, text_bytes
 
 BUCKETS = 1 << 20
-TRAIN = 8_000
+TRAIN, TRAIN_BYTES = 8_000, 32 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 10.0, 1.0, 5
 THRESHOLD = 0.3
 BIAS = BUCKETS
@@ -86,8 +88,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     share = min(1.0, TRAIN / max(1, total))
     picked = known.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "toxic", h.alias("h"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    once = texts.groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
-    rows = once.mapInArrow(_feature_rows, "h long, toxic int, x binary")
+    once = materialize(texts.groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")), "labelled")
+    sizes = sorted(driver_rows(once.select("h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")), 4 * TRAIN, "labelled sample"), key=lambda r: r.h)
+    used = np.cumsum([r.n for r in sizes]) <= TRAIN_BYTES
+    last = sizes[max(1, int(used.sum())) - 1].h if sizes else 0
+    rows = once.where(F.col("h") <= last).mapInArrow(_feature_rows, "h long, toxic int, x binary")
     found = driver_rows(rows, 4 * TRAIN, "labelled sample")
     found.sort(key=lambda r: (r.h, r.x))
     return train([(np.append(np.frombuffer(r.x, "<i4").astype(np.int64), BIAS), r.toxic) for r in found])
@@ -115,7 +120,8 @@ def _score(shared):
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The columns of docs but the text, with score and predicted added."""
+    """The columns of docs but the text, with score and predicted added (or replaced)."""
+    docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
     return spread(docs).mapInArrow(_score(shared), f"{fields}score double, predicted int")

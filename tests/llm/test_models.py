@@ -3,7 +3,11 @@
 import random
 import zlib
 
+import math
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lagloom.llm import decontaminate, language_id, toxicity
 
@@ -34,6 +38,8 @@ def test_toxicity_reads_no_held_out_label(spark, docs):
 def test_toxicity_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (4, 0), (7, None), (None, 1), (13, 0), (11, 1)], "doc_id long, toxic int")
     model = toxicity.learn(odd, labels)
+    replaced = toxicity.score(odd.withColumn("predicted", F.lit("x")), model)
+    assert replaced.columns.count("score") == 1 and {r.predicted for r in replaced.collect()} <= {0, 1}
     rows = toxicity.score(odd.select("doc_id", "text"), model).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
     assert len({r.score for r in rows if r.doc_id in (0, 1, 2)}) == 1
@@ -71,8 +77,8 @@ def test_phrases_are_greedy_longest_matches():
 
 def test_language_on_odd_rows(spark, odd, none, docs):
     samples = language_id.learn(docs)
-    with pytest.raises(ValueError):
-        language_id.identify(odd, samples)  # a column named score is there already
+    clash = language_id.identify(odd, samples)  # a column named score is there already: it is replaced
+    assert clash.columns.count("score") == 1 and clash.where("score = 1.5").count() == 0
     rows = {r.doc_id: r for r in language_id.identify(odd.drop("score"), samples).collect()}
     assert all(rows[i].lang_pred == "und" and rows[i].score == 0 for i in (0, 1, 2, 13))
     assert {rows[4].lang_pred, rows[8].lang_pred} <= {"de", "en", "es", "fr"}
@@ -177,3 +183,44 @@ def test_word_hashes_tell_long_words_apart():
     data = " ".join(words).encode()
     h = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)])).hashes()
     assert len(set(h.tolist())) == len(words) - 1 and h[2] == h[-1]
+
+
+def test_training_is_ftrl_proximal_coordinate_by_coordinate():
+    """Against a plain dictionary of coordinates."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(60):
+        label = rng.randrange(2)
+        words = {rng.randrange(30) + 30 * label * (rng.random() < 0.8) for _ in range(12)}
+        rows.append((sorted(words) + [toxicity.BIAS], label))
+    z, n = {}, {}
+
+    def weight(i):
+        if i not in z:
+            return 0.0
+        rate = (toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA
+        if i == toxicity.BIAS:
+            return -z[i] / rate
+        return 0.0 if abs(z[i]) <= toxicity.L1 else -(z[i] - math.copysign(toxicity.L1, z[i])) / (rate + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for x, label in rows:
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in x:
+                sigma = (math.sqrt(n.get(i, 0) + g * g) - math.sqrt(n.get(i, 0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0) + g - sigma * w[i]
+                n[i] = n.get(i, 0) + g * g
+    want = {i: weight(i) for i in z if weight(i) != 0}
+    at, w = toxicity.train([(np.array(x), label) for x, label in rows])
+    got = dict(zip(at.tolist(), w.tolist()))
+    assert set(got) == set(want) and 5 < len(want) < 61 and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_labelled_sample_is_bounded_in_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 5_000)
+    monkeypatch.setattr(toxicity, "train", lambda rows: seen.append(len(rows)) or (np.zeros(0, np.int64), np.zeros(0)))
+    docs = spark.createDataFrame([(i, f"word{i} " * 100) for i in range(200)], "doc_id long, text string")
+    toxicity.learn(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int"))
+    assert 3 <= seen[0] <= 8

@@ -117,3 +117,22 @@ def test_one_document_by_the_index(spark, odd, tmp_path):
     found = [f for p in (tmp_path / "c/data").glob("*.txt") if (f := token_files.fetch(p.read_bytes(), dictionary, 4)) is not None]
     assert len(found) == 1 and found[0].tolist() == [*ids_of(dict(ODD)[4]), 1]
     assert folder
+
+
+def test_files_are_in_order_of_their_numbers():
+    names = [f"x/part-{p:05d}-8a1e-c0de-c{c:03d}.txt" for p, c in ((99_999, 0), (100_000, 0), (100_001, 999), (100_001, 1000), (7, 0))]
+    assert sorted(map(token_files.file_place, names)) == [(7, 0), (99_999, 0), (100_000, 0), (100_001, 999), (100_001, 1000)]
+    with pytest.raises(ValueError):
+        token_files.file_place("x/_SUCCESS")
+
+
+def test_datasets_of_many_files(spark, docs, tmp_path, monkeypatch):
+    """Several files a task: starts go on over all of them."""
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(token_files, "FILE_BLOCKS", 2)
+    folder = token_files.write_tokens(docs, tokenizer_path("word_bpe_49k.json"), f"file://{tmp_path}/many")
+    assert len(list((tmp_path / "many" / "data").glob("part-*.txt"))) > 20
+    at = 0
+    for r in sorted(token_files.read_tokens(spark, folder).collect()):
+        assert r.start == at
+        at += r.n_tokens
