@@ -225,11 +225,13 @@ class KernelFeatureBuilder:
             full, lags = fir.with_lags(df, columns, steps, self.series_cols, self.chunk)
         else:
             full, lags = df, {}
-        mass, specs, zero = lags.get("w:"), [], {}
+        mass, specs, zero, blocks, constants = lags.get("w:"), [], {}, [], {}
+        taken = set(own)
 
         def add(name, kernel_name, kernel, source, family, metric, level=None):
-            if name in own or any(s.name == name for s in specs):
+            if name in taken:
                 raise ValueError(f"feature {name!r} collides with another column")
+            taken.add(name)
             specs.append(FeatureSpec(name, kernel_name, source, family, metric, level, tuple(kernel.lag_steps), kernel.summary()))
 
         for kn, kernel in self.kernels.items():
@@ -238,7 +240,7 @@ class KernelFeatureBuilder:
                 for m in NUMERIC_METRICS:
                     add(names[m], kn, kernel, c, "numeric", m)
                     zero[names[m]] = f"_zero{len(zero)}" if m == "wmean" else zero[names["wmean"]]
-                full = fir.numeric(full, kernel, lags[f"n:{c}"], mass, names, zero[names["wmean"]])
+                blocks.append(fir.Block(kernel, lags[f"n:{c}"], mass, names, zero[names["wmean"]]))
             for c in self.category_cols:
                 if not levels[c]:
                     continue
@@ -248,11 +250,12 @@ class KernelFeatureBuilder:
                     add(n, kn, kernel, c, "categorical", "frac", v)
                 add(entropy, kn, kernel, c, "categorical", "entropy")
                 zero |= dict.fromkeys([*fracs, entropy], flag)
-                full = fir.categorical(full, kernel, lags[f"c:{c}"], mass, levels[c], fracs, entropy, flag)
+                blocks.append(fir.Block(kernel, lags[f"c:{c}"], mass, {"entropy": entropy}, flag, levels[c], fracs))
             ages = fir.age_values(kernel, self.age_tail_threshold)
             for m in AGE_METRICS:
                 add(age_feature_name(kn, m), kn, kernel, self.time_col, "age", m)
-            full = full.withColumns({age_feature_name(kn, m): F.lit(float(ages[m])) for m in AGE_METRICS})
+            constants |= {age_feature_name(kn, m): F.lit(float(ages[m])) for m in AGE_METRICS}
+        full = fir.with_blocks(full, blocks).withColumns(constants)
         full = full.drop(*[c for c in full.columns if c.startswith("_v") and c not in own])
         if self.missing == "nan":
             full = full.withColumns({s.name: F.coalesce(ident(s.name), F.lit(float("nan"))) for s in specs})

@@ -7,18 +7,20 @@ before it, and if the sum of the weights is not within 1e-12 of zero.  All
 other rows get null.
 
 Sums run over ascending lags, first term first, so results do not depend on the
-physical plan.  A long series is cut into chunks that each begin with a copy of
+physical plan.  Expressions are written as SQL text, which Spark parses at once and
+compiles into one stage; all features of a call take four projections.  A long series is cut into chunks that each begin with a copy of
 the max_lag rows before them, so that windows run in parallel and every lag
 column is made once for all kernels.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagloom.functions.kernels import Kernel
@@ -44,6 +46,21 @@ def total(terms: Iterable[Column]) -> Column:
     return out
 
 
+def quoted(name: str) -> str:
+    """A column by its exact name, in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def number(x: float) -> str:
+    """A double in SQL text."""
+    return f"{float(x)!r}D" if math.isfinite(x) else f"double('{x}')"
+
+
+def text(x: str) -> str:
+    """A string in SQL text."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @dataclass(frozen=True)
 class Lags:
     """Names of the lag columns of one frame."""
@@ -54,6 +71,9 @@ class Lags:
     def __getitem__(self, k: int) -> Column:
         return ident(f"{self.prefix}{k}")
 
+    def sql(self, k: int) -> str:
+        return quoted(f"{self.prefix}{k}")
+
 
 def haloed(df: DataFrame, max_lag: int, keys: list[str], chunk: int = CHUNK) -> tuple[DataFrame, list[str]]:
     """Rows dealt into chunks of the index, each with the max_lag rows before it marked _halo."""
@@ -70,67 +90,69 @@ def with_lags(df: DataFrame, columns: dict[str, Column], steps: Iterable[int], s
     steps = tuple(sorted(set(steps)))
     prepared = df.select("*", *[c.alias(f"_v{n}") for n, c in enumerate(columns.values())])
     dealt, keys = haloed(prepared, max(steps, default=0), list(series or []), chunk)
-    w = W.partitionBy(*keys).orderBy(INDEX)
+    w = f"(PARTITION BY {', '.join(map(quoted, keys))} ORDER BY {INDEX})"
     lags = {name: Lags(f"_v{n}_", steps) for n, name in enumerate(columns)}
-    made = dealt.select("*", *[F.lag(f"_v{n}", k).over(w).alias(f"_v{n}_{k}") for n in range(len(columns)) for k in steps])
+    made = dealt.selectExpr("*", *[f"lag(_v{n}, {k}) OVER {w} AS _v{n}_{k}" for n in range(len(columns)) for k in steps])
     return made.where("NOT _halo").drop("_halo", "_chunk"), lags
 
 
-def present(kernel: Kernel, *lags: Lags) -> Column:
+def present(kernel: Kernel, *lags: Lags) -> str:
     """Every value of the window is there, and so are max_lag_steps rows before."""
-    out = F.col(INDEX) >= kernel.max_lag_steps
-    for x in lags:
-        for k in kernel.lag_steps:
-            out = out & x[k].isNotNull()
-    return out
-
-
-def weights(kernel: Kernel, mass: Lags | None) -> list[Column | float]:
-    """The window's weights: the kernel's, times the weight column if there is one."""
-    return [F.lit(w) * mass[k] if mass else w for w, k in zip(kernel.weights, kernel.lag_steps)]
-
-
-def denominator(a: list) -> Column:
-    if isinstance(a[0], Column):
-        return total(a)
-    value = a[0]
-    for x in a[1:]:
-        value += x
-    return F.lit(value)
-
-
-def _lit(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
-
-
-def numeric(df: DataFrame, kernel: Kernel, x: Lags, mass: Lags | None, names: dict[str, str], zero_name: str) -> DataFrame:
-    """wmean, wstd, wsum under the given names, and a flag for windows without mass."""
-    a = weights(kernel, mass)
-    there = present(kernel, x, *([mass] if mass else []))
-    d = denominator(a)
-    df = df.withColumns({"_there": there, "_d": d})
-    df = df.withColumns({"_ok": F.col("_there") & (F.abs("_d") > ZERO), zero_name: F.coalesce(F.col("_there") & (F.abs("_d") <= ZERO), F.lit(False))})
-    s = total(_lit(w) * x[k] for w, k in zip(a, kernel.lag_steps))
-    df = df.withColumn("_s", F.when(F.col("_ok"), s)).withColumn("_m", F.when(F.col("_ok"), F.col("_s") / F.col("_d")))
-    v = total(_lit(w) * ((x[k] - F.col("_m")) * (x[k] - F.col("_m"))) for w, k in zip(a, kernel.lag_steps))
-    df = df.withColumn("_var", F.when(F.col("_ok"), v / F.col("_d")))
-    out = {"wmean": F.col("_m"), "wstd": F.when(F.col("_ok"), F.sqrt(F.greatest(F.col("_var"), F.lit(0.0)))), "wsum": F.col("_s")}
-    return df.withColumns({names[m]: out[m] for m in NUMERIC_METRICS if m in names}).drop("_there", "_d", "_ok", "_s", "_m", "_var")
-
-
-def categorical(df: DataFrame, kernel: Kernel, x: Lags, mass: Lags | None, levels: list[str], frac_names: list[str], entropy_name: str, zero_name: str) -> DataFrame:
-    """The share of each level, and the entropy of the shares."""
-    a = weights(kernel, mass)
-    there = present(kernel, x, *([mass] if mass else []))
-    df = df.withColumns({"_there": there, "_d": denominator(a)})
-    df = df.withColumns({"_ok": F.col("_there") & (F.abs("_d") > ZERO), zero_name: F.coalesce(F.col("_there") & (F.abs("_d") <= ZERO), F.lit(False))})
-    shares = {}
-    for level, name in zip(levels, frac_names):
-        s = total(F.when(x[k] == F.lit(level), _lit(w)).otherwise(F.lit(0.0)) for w, k in zip(a, kernel.lag_steps))
-        shares[name] = F.when(F.col("_ok"), s / F.col("_d"))
-    df = df.withColumns(shares)
-    terms = [F.when(ident(n) > 0, ident(n) * F.log(ident(n))).otherwise(F.lit(0.0)) for n in frac_names]
-    return df.withColumn(entropy_name, F.when(F.col("_ok"), -total(terms) + F.lit(0.0))).drop("_there", "_d", "_ok")
+    return " AND ".join([f"{INDEX} >= {kernel.max_lag_steps}", *(f"{x.sql(k)} IS NOT NULL" for x in lags for k in kernel.lag_steps)])
+
+
+@dataclass
+class Block:
+    """The features of one kernel and one column; level None: numeric, else the shares of the levels and their entropy."""
+
+    kernel: Kernel
+    x: Lags
+    mass: Lags | None
+    names: dict[str, str]
+    zero_name: str
+    levels: list[str] | None = None
+    fracs: list[str] | None = None
+
+    def weights(self) -> list[str]:
+        """The window's weights: the kernel's, times the weight column if there is one."""
+        return [number(w) + (f" * {self.mass.sql(k)}" if self.mass else "") for w, k in zip(self.kernel.weights, self.kernel.lag_steps)]
+
+    def denominator(self) -> str:
+        if self.mass:
+            return " + ".join(self.weights())
+        value = self.kernel.weights[0]
+        for w in self.kernel.weights[1:]:
+            value += w
+        return number(value)
+
+    def projections(self, n: int) -> tuple[list[str], list[str], list[str], list[str]]:
+        """What each of four projections adds; those whose names begin with _b go at the end."""
+        there, d, ok = f"_b{n}_there", f"_b{n}_d", f"_b{n}_ok"
+        terms = list(zip(self.weights(), self.kernel.lag_steps))
+        first = [f"({present(self.kernel, self.x, *([self.mass] if self.mass else []))}) AS {there}", f"({self.denominator()}) AS {d}"]
+        second = [f"({there} AND abs({d}) > {number(ZERO)}) AS {ok}", f"coalesce({there} AND abs({d}) <= {number(ZERO)}, false) AS {quoted(self.zero_name)}"]
+        usable = f"{there} AND abs({d}) > {number(ZERO)}"
+        if self.levels is None:
+            second.append(f"CASE WHEN {usable} THEN {' + '.join(f'{w} * {self.x.sql(k)}' for w, k in terms)} END AS _b{n}_s")
+            mean = f"_b{n}_m"
+            third = [f"CASE WHEN {ok} THEN _b{n}_s / {d} END AS {mean}"]
+            spread = " + ".join(f"{w} * (({self.x.sql(k)} - {mean}) * ({self.x.sql(k)} - {mean}))" for w, k in terms)
+            out = {"wmean": mean, "wstd": f"CASE WHEN {ok} THEN sqrt(greatest(({spread}) / {d}, 0.0D)) END", "wsum": f"_b{n}_s"}
+            return first, second, third, [f"{out[m]} AS {quoted(self.names[m])}" for m in NUMERIC_METRICS if m in self.names]
+        for level, name in zip(self.levels, self.fracs):
+            share = " + ".join(f"CASE WHEN {self.x.sql(k)} = {text(level)} THEN {w} ELSE 0.0D END" for w, k in terms)
+            second.append(f"CASE WHEN {usable} THEN ({share}) / {d} END AS {quoted(name)}")
+        entropy = " + ".join(f"CASE WHEN {quoted(c)} > 0.0D THEN {quoted(c)} * ln({quoted(c)}) ELSE 0.0D END" for c in self.fracs)
+        return first, second, [f"CASE WHEN {ok} THEN -({entropy}) + 0.0D END AS {quoted(self.names['entropy'])}"], []
+
+
+def with_blocks(df: DataFrame, blocks: list[Block]) -> DataFrame:
+    """The frame with the features of all blocks and their flags."""
+    stages = [block.projections(n) for n, block in enumerate(blocks)]
+    for k in range(4):
+        if added := [e for stage in stages for e in stage[k]]:
+            df = df.selectExpr("*", *added)
+    return df.drop(*[c for c in df.columns if re.fullmatch(r"_b\d+_(there|d|ok|s|m)", c)])
 
 
 def age_values(kernel: Kernel, threshold: float | None = None) -> dict[str, float]:

@@ -193,26 +193,32 @@ def loss_of(residual: Column, loss: str, delta: float) -> Column:
     return 0.5 * q * q + delta * (r - q)
 
 
+def loss_sql(residual: str, loss: str, delta: float) -> str:
+    """The same of a residual's column, in SQL text."""
+    if loss == "mse":
+        return f"{residual} * {residual}"
+    q, d = f"least(abs({residual}), {fir.number(delta)})", fir.number(delta)
+    return f"0.5D * {q} * {q} + {d} * (abs({residual}) - {q})"
+
+
 def mean_loss(predicted: Column, observed: Column, loss: str, delta: float) -> Column:
     """Mean over finite pairs, infinity if there is none."""
     r = fir.finite(predicted) - fir.finite(observed)
     return F.coalesce(F.avg(loss_of(r, loss, delta)), F.lit(float("inf")))
 
 
-def dot(column: str, weights: list[float]) -> Column:
-    """Product sum of an array column with fixed weights, first term first; many terms as one higher-order function, which keeps plans small."""
+def dot(column: str, weights: list[float]) -> str:
+    """Product sum of an array column with fixed weights in SQL text, first term first; many terms as one higher-order function, which keeps plans small."""
     if len(weights) > UNROLLED:
-        return F.aggregate(F.zip_with(column, F.array(*[F.lit(float(w)) for w in weights]), lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
-    return fir.total(F.col(column)[i] * w for i, w in enumerate(weights))
+        return f"aggregate(zip_with({column}, array({', '.join(map(fir.number, weights))}), (x, w) -> x * w), 0.0D, (s, v) -> s + v)"
+    return " + ".join(f"{column}[{i}] * {fir.number(w)}" for i, w in enumerate(weights))
 
 
 def weight_losses(data: FitData, kernels: dict[str, list[float]], loss: str = "huber", delta: float = 1.0) -> dict[str, tuple[float, float]]:
     """(train, validation) loss of every weight vector, in one pass."""
-    aggs = []
-    for n, w in enumerate(kernels.values()):
-        r = loss_of(dot("x", w) - F.col("y"), loss, delta)
-        aggs += [F.avg(F.when(F.col("is_train"), r)).alias(f"t{n}"), F.avg(F.when(~F.col("is_train"), r)).alias(f"v{n}")]
-    row = data.windows.agg(*aggs).first()
+    rows = data.windows.selectExpr("is_train", *[f"{dot('x', w)} - y AS r{n}" for n, w in enumerate(kernels.values())])
+    losses = [loss_sql(f"r{n}", loss, delta) for n in range(len(kernels))]
+    row = rows.selectExpr(*[f"avg({r}) FILTER (WHERE {part}) AS {c}{n}" for n, r in enumerate(losses) for c, part in (("t", "is_train"), ("v", "NOT is_train"))]).first()
     return {k: (row[f"t{n}"], row[f"v{n}"]) for n, k in enumerate(kernels)}
 
 
@@ -242,12 +248,12 @@ class BaselineComparison:
 
 def baseline_losses(data: FitData, loss: str = "huber", delta: float = 1.0) -> dict[str, float]:
     """Validation losses: no_lag, best_single_lag, uniform (the row mean) and exponential (best of a grid of decays), in one pass."""
-    n, valid, y = len(data.lags), ~F.col("is_train"), F.col("y")
-    over = lambda p: F.avg(F.when(valid, loss_of(p - y, loss, delta)))
-    aggs = [F.coalesce(over(F.col("x0")), F.lit(float("inf"))).alias("no_lag"), over(fir.total(F.col("x")[i] for i in range(n)) / n).alias("uniform")]
-    aggs += [over(F.col("x")[i]).alias(f"l{i}") for i in range(n)] + [over(dot("x", exponential_weights(n, a))).alias(f"e{k}") for k, a in enumerate(EXPONENTIAL_GRID)]
-    r = data.windows.agg(*aggs).first()
-    return {"no_lag": r["no_lag"], "best_single_lag": min(r[f"l{i}"] for i in range(n)), "uniform": r["uniform"], "exponential": min(r[f"e{k}"] for k in range(len(EXPONENTIAL_GRID)))}
+    n = len(data.lags)
+    predicted = {"no_lag": "x0", "uniform": f"({' + '.join(f'x[{i}]' for i in range(n))}) / {n}.0D"}
+    predicted |= {f"l{i}": f"x[{i}]" for i in range(n)} | {f"e{k}": dot("x", exponential_weights(n, a)) for k, a in enumerate(EXPONENTIAL_GRID)}
+    rows = data.windows.where("NOT is_train").selectExpr(*[f"{p} - y AS {k}" for k, p in predicted.items()])
+    r = rows.selectExpr(*[f"avg({loss_sql(k, loss, delta)}) AS {k}" for k in predicted]).first()
+    return {"no_lag": float("inf") if r["no_lag"] is None else r["no_lag"], "best_single_lag": min(r[f"l{i}"] for i in range(n)), "uniform": r["uniform"], "exponential": min(r[f"e{k}"] for k in range(len(EXPONENTIAL_GRID)))}
 
 
 def compare_baselines(losses: dict[str, float], learned: float) -> BaselineComparison:
