@@ -207,6 +207,8 @@ class Decoder:
         self.special = {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.bytes = {c: b for b, c in byte_letters().items()}
+        #: What each id stands for, by its decimal digits, where tokens are joined by spaces.
+        self.written = {} if self.byte_level else {b"%d" % k: s.encode() for k, s in {**self.letters, **self.special}.items()}
         self.reset()
 
     def reset(self) -> None:
@@ -230,6 +232,12 @@ class Decoder:
     def decode(self, ids) -> str:
         return "".join(map(self.feed, ids)) + self.end()
 
+    def decode_written(self, ids: bytes) -> bytes:
+        """The text of ids that are written in decimal digits, with spaces between."""
+        if self.byte_level:
+            return self.decode(map(int, ids.split())).encode()
+        return b" ".join(map(self.written.__getitem__, ids.split()))
+
 
 @worker_cache(1)
 def _tools(path: str, words: int, pieces: int) -> tuple[Encoder, Decoder, Table, Table]:
@@ -242,16 +250,12 @@ def _round_trip(path, n_words=WORDS, n_pieces=TABLE):
         take_worker("bpe_transducer")
         encoder, decoder, table, words = _tools(path, n_words, n_pieces)
 
-        def word(w: str | int) -> tuple[bytes, bytes]:
-            ids = [w] if isinstance(w, int) else encoder.transducer.encode(w)
-            out = " ".join(map(str, ids)).encode(), decoder.decode(ids).encode()
+        def word(w: str | int) -> bytes:
+            out = b"%d" % w if isinstance(w, int) else " ".join(map(str, encoder.transducer.encode(w))).encode()
             return out if isinstance(w, str) and len(w) > PIECE else words.put(w, out)
 
-        def made(piece: bytes) -> tuple[bytes, bytes]:
-            got = [words.get(w) or word(w) for w in encoder.of_piece(piece)]
-            if len(got) == 1:
-                return got[0]
-            return b" ".join([g[0] for g in got]), b" ".join([g[1] for g in got])
+        def made(piece: bytes) -> bytes:
+            return b" ".join(filter(None, [words.get(w) or word(w) for w in encoder.of_piece(piece)]))
 
         for batch in batches:
             for x in slices(batch):
@@ -263,12 +267,12 @@ def _round_trip(path, n_words=WORDS, n_pieces=TABLE):
                         for k, g in enumerate(got):
                             if g is None:
                                 p = pieces[k]
-                                got[k] = table.get(p) or (made(p) if len(p) > PIECE else table.put(p, made(p)))
-                    got = [g for g in got if g[0]]
-                    ids = b" ".join([g[0] for g in got])
+                                found = table.get(p)
+                                got[k] = found if found is not None else made(p) if len(p) > PIECE else table.put(p, made(p))
+                    ids = b" ".join(filter(None, got))
                     n.append(ids.count(b" ") + 1 if ids else 0)
                     sha.append(hashlib.sha256(ids).hexdigest())
-                    back.append(hashlib.sha256(b" ".join([g[1] for g in got])).hexdigest())
+                    back.append(hashlib.sha256(decoder.decode_written(ids)).hexdigest())
                 yield pa.record_batch({"doc_id": x.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(back, pa.string())})
 
     return run
@@ -279,8 +283,9 @@ def round_trip(docs: DataFrame, path: str, words: int = WORDS, pieces: int = TAB
 
     words, pieces: entries of a generation of a worker's tables; fewer take less memory and more time.
 
-    For tokenizers that drop white space and have no decoder, so that pieces
-    between ASCII white space are encoded and decoded on their own.
+    For tokenizers whose pre-tokenizer drops white space: pieces between ASCII
+    white space are encoded on their own.  Decoding starts from the ids of the
+    whole text.
     """
     return spread(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(_round_trip(path, words, pieces), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

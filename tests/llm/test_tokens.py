@@ -58,6 +58,7 @@ def test_any_text(text):
     mine = [k for p in text.encode().split() for k in encoder.piece(p.decode())]
     assert mine == ids_of(text)
     assert decoder.decode(mine) == library.decode(mine, skip_special_tokens=False)
+    assert decoder.decode_written(" ".join(map(str, mine)).encode()).decode() == library.decode(mine, skip_special_tokens=False)
 
 
 def test_long_pretokens_stream_in_bounded_state():
