@@ -406,7 +406,6 @@ _add(
 
 _SPLIT = oof.ForwardChainingSplitConfig(4, 200, 100, 12, 300)
 _FOLDS = oof.forward_chaining(700, _SPLIT)
-_fv = ", ".join(f"({f.fold_id}, {f.train_start}, {f.train_end}, {f.validation_start}, {f.validation_end}, {f.gap})" for f in _FOLDS)
 _add(
     "oof_splits",
     lambda spark, d: oof.folds_frame(spark, _FOLDS),
@@ -416,7 +415,9 @@ _add(
 
 def _oof_fixed(spark, d):
     df = signals.events_hour(spark, d).select("t", INDEX, "x")
-    out = oof.fixed_oof(df, gamma, _FOLDS, time_col="t", kernel_name="o", numeric_cols=["x"])
+    # as many folds of 100 rows as the grid holds
+    folds = oof.forward_chaining((n := df.count()), replace(_SPLIT, n_folds=max(1, (n - 212) // 100)))
+    out = oof.fixed_oof(df, gamma, folds, time_col="t", kernel_name="o", numeric_cols=["x"])
     return _rounded(out.select("t", "fold_id", *[ident(f"o_num_x_{m}") for m in fir.NUMERIC_METRICS]), ("t", "fold_id"))
 
 
@@ -424,7 +425,7 @@ _of = statements.numeric(gamma, "o", "x", "lagged")
 _add(
     "oof_fixed_kernel",
     _oof_fixed,
-    f"WITH {signals.EVENTS_HOUR.replace(', sig AS (', ', sig0 AS (')}, folds(fold_id, ts0, te, vs, ve, gap) AS (VALUES {_fv}), sig AS (SELECT s.t, f.fold_id, s.i - f.vs AS i, s.x FROM sig0 s JOIN folds f ON s.i >= f.vs AND s.i < f.ve), lagged AS ({statements.lags(['x'], list(gamma.lag_steps), keep='t, fold_id, i', partition='PARTITION BY fold_id ')}), " + ", ".join(f"{n} AS ({b})" for n, b in _of) + f" SELECT s.t, e.fold_id::INTEGER AS fold_id, {statements.rounded(['o_num_x_wmean', 'o_num_x_wstd', 'o_num_x_wsum'])} FROM sig0 s LEFT JOIN {_of[-1][0]} e ON e.t = s.t",
+    f"WITH {signals.EVENTS_HOUR.replace(', sig AS (', ', sig0 AS (')}, folds AS (SELECT f AS fold_id, 212 + f * 100 AS vs, 312 + f * 100 AS ve FROM generate_series(0, (SELECT greatest(1, (count(*) - 212) // 100) - 1 FROM sig0)) AS g(f)), sig AS (SELECT s.t, f.fold_id, s.i - f.vs AS i, s.x FROM sig0 s JOIN folds f ON s.i >= f.vs AND s.i < f.ve), lagged AS ({statements.lags(['x'], list(gamma.lag_steps), keep='t, fold_id, i', partition='PARTITION BY fold_id ')}), " + ", ".join(f"{n} AS ({b})" for n, b in _of) + f" SELECT s.t, e.fold_id::INTEGER AS fold_id, {statements.rounded(['o_num_x_wmean', 'o_num_x_wstd', 'o_num_x_wsum'])} FROM sig0 s LEFT JOIN {_of[-1][0]} e ON e.t = s.t",
 )
 
 
