@@ -58,7 +58,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of what they decode to; with small tables, as other stages share the workers."""
-    return bpe_transducer.round_trip(docs, tokenizer_path("word_bpe_49k.json"), words=150_000, pieces=60_000)
+    return bpe_transducer.round_trip(docs, tokenizer_path("word_bpe_49k.json"), words=100_000, pieces=40_000)
 
 
 STAGES = [
