@@ -54,18 +54,24 @@ def worker_cache(maxsize: int = 2):
     return wrap
 
 
+def trim() -> None:
+    """Give memory that is free back to the system, for the other workers and the JVM beside them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def take_worker(operator: str) -> None:
-    """Called first in a task: a reused worker keeps the tables of one operator at a time."""
+    """Called first in a task: a reused worker keeps the tables of one operator at a time, and no free memory."""
     global _owner
     if _owner != operator:
         for c in _caches:
             c.cache_clear()
         gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
         _owner = operator
+    trim()
 
 
 def without_gc(run):
@@ -80,6 +86,7 @@ def without_gc(run):
         finally:
             if was:
                 gc.enable()
+            trim()
 
     return wrapped
 
