@@ -14,18 +14,24 @@ at 0.8 has none in common with probability (1 - 0.8**4)**24 = 3e-6, a more
 similar pair with less.
 
 Every link is verified by the exact Jaccard of the sets.  With the forest each
-node is held against the least node of its keys and the one with most company;
-then all pairs of a key that lie in different components follow, but those of
-which over ``UNLIKE`` of 512 further MinHash values differ in two bits (77 at 0.8 on
-average, deviation 8.1: more than 117 with probability 2e-6 or less).  No pair
-is left out for the size of its group.
+node is held against the least node of its keys and the one with most company,
+the hub.  What may still be linked in different components is found by edits:
+the members x of a hub's keys are seen as their differences e(x) from the hub's
+set, as x and y differ in as many shingles as e(x) and e(y) do.  A Jaccard of
+0.8 is at most (|x| + |y|) / 9 differing shingles, so with
+f(x) = 9 |e(x)| - |x| a pair is linked if and only if 18 |e(x) & e(y)| >=
+f(x) + f(y).  A node that is not linked to the hub p has f > |p|, and no f
+is below -|p|: such a pair has an edit in common, and the first one in an order
+from rare to frequent leaves so many behind it, in both, that the sum can be reached.
+Only pairs that share such an edit are verified.  No pair is left out for the
+size of its group, and none by chance at this step.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.llm.common import LOWER, Words, if_few, materialize, mix, slices, spread, take_worker, text_bytes
@@ -36,14 +42,13 @@ SHINGLE = 5
 #: Bits that may differ in linked fingerprints.
 BUDGET = 3
 BANDS, ROWS = 24, 4
-#: MinHash values that may differ in their two bits, and columns that hold 32 of them each.
-UNLIKE, SKETCH = 117, 16
 #: Pairs of one pivot that travel together.
 PIVOT_ROWS = 500
 _rng = np.random.default_rng(811)
 _FACTORS = _rng.integers(0, 2**63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LINES = _rng.integers(0, 2**63, BANDS * ROWS + 32 * SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _rng.integers(0, 2**64, BANDS * ROWS + 32 * SKETCH, dtype=np.uint64)
+_LINES = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_rng.bit_generator.advance(512)  # the keys are those of earlier versions, which drew more
+_SHIFTS = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 #: Jaccard >= 0.8 of sets a and b with so many shingles in common.
 SIMILAR = "9L * size(array_intersect(a, b)) >= 4L * (size(a) + size(b))"
 
@@ -94,21 +99,6 @@ def _keys(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Two bits of each further MinHash value of the rows."""
-    out = np.zeros((len(begin), SKETCH), np.uint64)
-    if len(begin):
-        for k in range(32 * SKETCH):
-            out[:, k // 32] |= mix(_least(h, begin, BANDS * ROWS + k)) >> np.uint64(62) << np.uint64(2 * (k % 32))
-    return out
-
-
-def _differing(a: str, b: str) -> str:
-    """Number of sketched values that differ."""
-    pairs = [f"({a}{k} ^ {b}{k})" for k in range(SKETCH)]
-    return " + ".join(f"bit_count(({x} | shiftrightunsigned({x}, 1)) & {0x5555555555555555}L)" for x in pairs)
-
-
 def _print_batches(batches):
     take_worker("near_copies")
     for batch in batches:
@@ -131,16 +121,6 @@ def _set_batches(batches):
             yield pa.record_batch({"node": pa.array(node.view(np.int64)), "shingles": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))})
 
 
-def _sketch_batches(batches):
-    take_worker("near_copies")
-    for batch in batches:
-        for x in slices(batch, limit=1 << 20):
-            h, bounds = shingle_sets(*text_bytes(x.column("text")))
-            node, some = _nodes(h, bounds)
-            bits = _sketch(h, bounds[some]).view(np.int64)
-            yield pa.record_batch({"node": pa.array(node[some].view(np.int64)), "n": pa.array(np.diff(bounds)[some].astype(np.int64))} | {f"s{k}": pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH)})
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
@@ -153,20 +133,43 @@ def _one_text(docs: DataFrame, prints: DataFrame, nodes: DataFrame) -> DataFrame
     return _texts(docs).select("text_key", "text").join(if_few(keys), "text_key", "left_semi").dropDuplicates(["text_key"])
 
 
-def _verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The similar ones of the pairs (u, v) as links, u > v."""
-    pairs = materialize(pairs.distinct(), "pairs")
+def _with_sets(docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The stored pairs (u, v) with the sets a of u and b of v."""
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     sets = materialize(_one_text(docs, prints, needed).mapInArrow(_set_batches, "node long, shingles array<long>"), "sets")
     # a pivot of many pairs is sent in so many copies that no task gets all of its pairs
     many = materialize(pairs.groupBy("v").count().where(F.col("count") > PIVOT_ROWS).select("v", F.expr(f"count div {PIVOT_ROWS}").alias("parts")), "many")
     part = F.expr("pmod(hash(u), coalesce(parts, 0) + 1)")
-    pairs = pairs.join(F.broadcast(many), "v", "left").select("u", "v", part.alias("part"))
+    pairs = pairs.join(F.broadcast(many), "v", "left").select(*pairs.columns, part.alias("part"))
     right = sets.join(F.broadcast(many.withColumnRenamed("v", "node")), "node", "left").select(F.col("node").alias("v"), F.col("shingles").alias("b"), F.explode(F.expr("sequence(0L, coalesce(parts, 0L))")).alias("part"))
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(right, ["v", "part"])
+    return pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(right, ["v", "part"])
+
+
+def _verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The similar ones of the pairs (u, v) as links, u > v."""
+    both = _with_sets(docs, prints, materialize(pairs.distinct(), "pairs"))
     return materialize(both.where(SIMILAR).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links")
 
 
+def _by_edits(docs: DataFrame, prints: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (u, v) of a hub's members (hub, node, root; the hub is one, and held against all) that may be linked and have different roots."""
+    members = members.select("hub", "node", "root").distinct()
+    hubs = members.where("node = hub").select("hub", F.col("root").alias("hub_root"))
+    pairs = materialize(members.where("node <> hub").join(hubs, "hub").select(F.col("node").alias("u"), F.col("hub").alias("v"), "root", F.expr("root <> hub_root").alias("out")), "hub-pairs")
+    edits = _with_sets(docs, prints, pairs).select(F.col("v").alias("hub"), F.col("u").alias("node"), "root", "out", F.expr("size(a)").alias("n"), F.expr("array_union(array_except(a, b), array_except(b, a))").alias("edits"))
+    edits = materialize(edits.withColumn("f", F.expr("9L * size(edits) - n")).drop("n").repartition("hub", "node"), "edits")
+    least = materialize(edits.groupBy("hub").agg(F.min("f").alias("least"), F.min(F.expr("if(out, f, null)")).alias("least_out")), "least")
+    rows = edits.join(if_few(least), "hub").select("hub", "node", "root", "out", "f", "least", "least_out", F.explode("edits").alias("edit"))
+    # an edit within one component is shared by no pair that matters; what is left of a row counts from the frequent end
+    same = Window.partitionBy("hub", "edit")
+    rows = rows.withColumn("n", F.count("*").over(same)).withColumn("low", F.min("root").over(same)).withColumn("high", F.max("root").over(same)).where("low < high")
+    rows = rows.withColumn("left", F.row_number().over(Window.partitionBy("hub", "node").orderBy(F.desc("n"), F.desc("edit"))))
+    rows = materialize(rows.where("18L * left >= f + if(out, least, least_out)").select("hub", "edit", "node", "root", "out", "f", "left", F.expr("18L * left >= f + least_out").alias("short")), "shared")
+    other = rows.where("short").select("hub", "edit", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "out", "f", "left")])
+    found = rows.where("out").join(other, ["hub", "edit"]).where("root <> root2 and (not out2 or node > node2) and 18L * least(left, left2) >= f + f2")
+    return found.select(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).distinct()
+
+
 def _forest(prints: DataFrame) -> DataFrame:
     """Pairs of nodes (u, v): each with the first of its fingerprint, and those of linked fingerprints."""
     nodes = prints.where("node <> 0").select("node", "fp").distinct()
@@ -180,7 +183,6 @@ def _forest(prints: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (XXH64 of the text) and group of every row; rows of a group are linked by similar pairs."""
-    sketch = [f"s{k}" for k in range(SKETCH)]
     prints = materialize(spread(_texts(docs)).mapInArrow(_print_batches, "doc_id long, text_key long, node long, fp long, keys array<long>"), "prints")
     rows = prints.select("node", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
@@ -192,12 +194,7 @@ def groups(docs: DataFrame) -> DataFrame:
     tree = stars(_verified(docs, prints, pairs.unionByName(_forest(prints))))
     named = members.join(tree.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = named.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
-    left = materialize(named.join(apart, "key"), "open")
-    sketches = _one_text(docs, prints, left.select("node").distinct()).mapInArrow(_sketch_batches, "node long, n long, " + ", ".join(f"{c} long" for c in sketch))
-    left = materialize(left.join(sketches, "node").select("key", "node", "n", "root", "low", "hub", *sketch), "apart")
-    other = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "root")], *[F.col(c).alias(f"o{c}") for c in sketch])
-    cross = left.join(other, "key").where(f"node > node2 and root <> root2 and node <> hub and node2 <> hub and node2 <> low and 5 * least(n, n2) >= 4 * greatest(n, n2) and {_differing('s', 'os')} <= {UNLIKE}")
-    cross = materialize(cross.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct(), "cross")
+    cross = materialize(_by_edits(docs, prints, materialize(named.join(apart, "key").select("hub", "node", "root"), "open")), "cross")
     if not cross.isEmpty():
         tree = stars(tree.select("u", "v").unionByName(_verified(docs, prints, cross)))
     return prints.join(tree.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("group"))
